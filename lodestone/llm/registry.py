@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lodestone.llm import near_dedup
+from lodestone.llm import near_dedup, packing
 
 
 def queries() -> dict:
-    return {"op7_near_dedup": near_dedup.op7_near_dedup}
+    return {"op7_near_dedup": near_dedup.op7_near_dedup, "op9_pack": packing.op9_pack}
 
 
 def oracle_sql() -> dict[str, str]:
