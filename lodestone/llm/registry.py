@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import near_dedup, packing
+from lodestone.llm import near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
-    return {"op7_near_dedup": near_dedup.op7_near_dedup, "op9_pack": packing.op9_pack}
+    return {"op7_near_dedup": near_dedup.op7_near_dedup, "op9_pack": packing.op9_pack, "op10_substring_dedup": substring_dedup.op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": near_dedup.OP7_SQL}
+    return {"op7_near_dedup": near_dedup.OP7_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
