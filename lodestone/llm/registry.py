@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import near_dedup, packing, substring_dedup
+from lodestone.llm import language_id, near_dedup, packing, substring_dedup, toxicity
 
 
 def queries() -> dict:
-    return {"op7_near_dedup": near_dedup.op7_near_dedup, "op9_pack": packing.op9_pack, "op10_substring_dedup": substring_dedup.op10_substring_dedup}
+    return {
+        "op1_language_id": language_id.op1_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op9_pack": packing.op9_pack,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
