@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import language_id, near_dedup, packing, substring_dedup, toxicity
+from lodestone.llm import decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op3_decontamination": decontamination.op3_decontamination,
+        "op4_topk": topk_search.op4_topk,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op9_pack": packing.op9_pack,
@@ -16,4 +18,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_near_dedup": near_dedup.OP7_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+    return {
+        "op3_decontamination": decontamination.OP3_SQL,
+        "op4_topk": topk_search.OP4_SQL,
+        "op7_near_dedup": near_dedup.OP7_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
+    }
