@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity
+from lodestone.llm import decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_topk": topk_search.op4_topk,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_warc": warc.op8_warc,
         "op9_pack": packing.op9_pack,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": decontamination.OP3_SQL,
         "op4_topk": topk_search.OP4_SQL,
         "op7_near_dedup": near_dedup.OP7_SQL,
+        "op8_warc": warc.OP8_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
     }
