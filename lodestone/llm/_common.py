@@ -8,6 +8,7 @@ no loop runs over words or bytes.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,12 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._remove(t._scratch_path)
+        self.free()
+
+    def free(self) -> None:
+        """Has the driver let go of finished steps, so that executors delete their shuffle files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _remove(self, path: str) -> None:
         try:

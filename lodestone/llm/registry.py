@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
+from lodestone.llm import byte_dedup, decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_topk": topk_search.op4_topk,
+        "op5_byte_dedup": byte_dedup.op5_byte_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_warc": warc.op8_warc,

@@ -1,10 +1,11 @@
 """Fixed-length windows that occur twice anywhere in a corpus, found through anchors.
 
-1. A scan names each document's anchors: (key: the anchor's name, u: a digest
-   of all its windows together).
-2. A name that occurs once has only unique windows. Equal (key, u) are copies:
-   all their windows are repeated, and one of them stands for the rest.
-3. Of names with several classes, each class's windows are digested in blocks
+1. A scan names each document's anchors by key: a digest of the anchor and of
+   half a window beside it. A key that occurs once has only unique windows.
+2. A second scan emits the anchors of the other keys, with u: a digest of all
+   windows of an anchor together. Equal (key, u) are copies: all their windows
+   are repeated, and one of them stands for the rest.
+3. Of keys with several classes, each class's windows are digested in blocks
    of neighbours: a block equal as a whole is repeated, one whose common middle
    is unique is not, and only the windows of other blocks are compared singly.
 4. Spans of repeated windows go back to their documents.
@@ -95,7 +96,14 @@ def word_anchors(width: int, rounds: int) -> Callable:
     return find
 
 
-def _anchor_rows(sequences: Callable, anchors: Callable, width: int):
+def _anchor_rows(sequences: Callable, anchors: Callable, width: int, keys_only: bool = False):
+    """Runs of windows with one anchor, split where it passes their middle.
+
+    The key is a digest of what every window of the half holds beside the
+    anchor: the stretch after it, or before it for windows that end near it.
+    """
+    half = (width + 1) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, texts = batch.column(0).to_numpy(), texts_of(batch)
@@ -105,10 +113,16 @@ def _anchor_rows(sequences: Callable, anchors: Callable, width: int):
                 if not len(start):
                     continue
                 at, name = anchors(s, start)
-                first, last = runs(at, doc)
-                a, s0, s1, d = at[first], start[first], start[last], doc[first]
+                late = at - start >= half
+                first, last = runs(at, doc, late)
+                a, s0, s1, d, late = at[first], start[first], start[last], doc[first], late[first]
+                beside = s.digest(a - np.where(late, half, 0), a + np.where(late, 0, width - half + 1))
+                key = splitmix(name[first] + splitmix(beside + late.astype(U64)))
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key))], names=["key"])
+                    continue
                 u = s.digest(s0, s1 + width) + splitmix((a - s0).astype(U64))
-                columns = [k[lo:hi][d], signed(splitmix(name[first])), signed(u), *((x - s.begin[d]).astype(np.int32) for x in (a, s0, s1))]
+                columns = [k[lo:hi][d], signed(key), signed(u), *((x - s.begin[d]).astype(np.int32) for x in (a, s0, s1))]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["k", "key", "u", "a", "s0", "s1"])
 
     return run
@@ -151,11 +165,12 @@ def _block_rows(sequences: Callable, width: int, block: int):
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, anchors: Callable, width: int, block: int) -> DataFrame:
-    """(k, s0, s1) over ``docs`` (k, doc_id, text): windows s0 to s1 of that document occur elsewhere."""
-    found = scratch.save(docs.select("k", "text").mapInArrow(_anchor_rows(sequences, anchors, width), ANCHORS), "anchors")
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    again = scratch.save(found.join(keys, "key"), "again")
-    scratch.drop(found)
+    """(k, spans of s0, s1) over ``docs`` (k, doc_id, text): windows s0 to s1 of that document occur elsewhere."""
+    texts = docs.select("k", "text")
+    names = texts.mapInArrow(_anchor_rows(sequences, anchors, width, keys_only=True), "key long")
+    keys = scratch.save(names.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    again = scratch.save(texts.mapInArrow(_anchor_rows(sequences, anchors, width), ANCHORS).join(keys, "key"), "again")
+    scratch.drop(keys)
     classes = scratch.save(
         again.groupBy("key", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "s0", "s1")).alias("at")), "classes"
     )
@@ -163,8 +178,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key")
     rest = classes.join(mixed, "key").select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
     rest = scratch.save(rest.groupBy("k").agg(F.collect_list("span").alias("spans")), "rest")
-    texts = with_spans(docs.select("k", "text"), rest, 40, "inner").select("text", "spans")
-    blocks = scratch.save(texts.mapInArrow(_block_rows(sequences, width, block), BLOCKS), "blocks")
+    held = with_spans(texts, rest, 40, "inner").select("text", "spans")
+    blocks = scratch.save(held.mapInArrow(_block_rows(sequences, width, block), BLOCKS), "blocks")
 
     by_whole = ["key", "t", "size", "whole"]
     wholes = blocks.groupBy(by_whole).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_whole)
@@ -180,7 +195,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
     windows = single.groupBy("key", "t", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "t", "h")
     lone = single.where("single").join(windows, ["key", "t", "h"], "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
     parts = equal.union(lone).join(classes.select("key", "u", "at"), ["key", "u"]).select("at.k", (F.col("at.a") + F.col("t")).alias("s0"), (F.col("at.a") + F.col("t1")).alias("s1"))
-    return scratch.save(copies.union(parts), "spans")
+    spans = scratch.save(merged_spans(copies.union(parts)), "spans")
+    scratch.drop(again, classes, rest, blocks)
+    return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, row_bytes: int, how: str) -> DataFrame:

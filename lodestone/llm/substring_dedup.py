@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Chunk, Scratch, chunk_ranges, keyed, texts_of
-from lodestone.llm.repeats import covered, merged_spans, repeated_spans, with_spans, word_anchors, word_sequences
+from lodestone.llm.repeats import covered, repeated_spans, with_spans, word_anchors, word_sequences
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -53,7 +53,7 @@ def _removal(window: int, digest: bool):
     return run
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 4, digest: bool = False) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 3, digest: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept.
 
     Words are maximal runs of other than ASCII white space. Removed is each word
@@ -69,7 +69,7 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 4, d
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     rows = keyed(docs)
     spans = repeated_spans(rows, scratch, word_sequences, word_anchors(window, rounds), window, 1)
-    joined = with_spans(rows, scratch.save(merged_spans(spans), "merged"), 8, "left").select("doc_id", "text", "spans")
+    joined = with_spans(rows, spans, 8, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removal(window, digest), RESULT)
 
 
