@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import byte_dedup, decontamination, language_id, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
+from lodestone.llm import byte_dedup, decontamination, language_id, lm_scoring, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_topk": topk_search.op4_topk,
         "op5_byte_dedup": byte_dedup.op5_byte_dedup,
