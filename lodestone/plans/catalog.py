@@ -2,14 +2,466 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import chunking, text
+from lodestone.operators import chat, clusters, fulltext, graph, ingest, kg, retrieval, vector
+from lodestone.plans.model_sql import with_tables
+from lodestone.sources.tables import AS_OF, Model
+
 FLAGSHIP = "hybrid_search"
-_QUERIES: dict = {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
+#: Words that the full-text queries look for, and the node around which neighbourhoods are taken.
+WORDS, START = "automobile building", "nation:7"
+_TERMS = ", ".join(f"'{w}'" for w in WORDS.split())
+
+
+def query(name: str, sql: str | None = None):
+    """Registers f(model) -> DataFrame, with its SQL if there is one."""
 
-def queries() -> dict:
+    def add(f):
+        _QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# ---------------------------------------------------------------- vectors
+
+_COS = "list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0))"
+
+
+def _vector_sql(where: str, k: int = 10) -> str:
+    return with_tables("vecs", sql=f", s as (select chunk_id, document_id, {_COS} as similarity from vecs where embedding is not null) select chunk_id, document_id, round(similarity, 6) as similarity from s where {where} order by s.similarity desc, chunk_id limit {k}")
+
+
+def _near(m: Model, **how) -> DataFrame:
+    v = m.vectors()
+    return _rounded(vector.search(v, vector.query_vector(v, 0), **how), "similarity")
+
+
+@query("vector_topk", _vector_sql("similarity >= -1"))
+def _(m):
+    return _near(m, k=10, threshold=-1.0)
+
+
+@query("vector_topk_threshold", _vector_sql("similarity >= 0.3"))
+def _(m):
+    return _near(m, k=10, threshold=0.3)
+
+
+@query("vector_topk_document", _vector_sql("similarity >= -1 and document_id = 7"))
+def _(m):
+    return _near(m, k=10, threshold=-1.0, document_id=7)
+
+
+@query("vector_topk_by_label", with_tables("vecs", sql=f""", s as (select chunk_id, label, {_COS} as similarity from vecs),
+r as (select *, row_number() over (partition by label order by similarity desc, chunk_id) as rank from s where similarity is not null)
+select label, chunk_id, round(similarity, 6) as similarity, cast(rank as integer) as rank from r where rank <= 3"""))
+def _(m):
+    from pyspark.sql import Window
+
+    v = m.vectors()
+    s = v.select("chunk_id", "label", vector.cosine(F.col("embedding"), vector.query_vector(v, 0)).alias("similarity")).where("similarity is not null")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "chunk_id"))
+    return _rounded(s.withColumn("rank", rank).where("rank <= 3").select("label", "chunk_id", "similarity", "rank"), "similarity")
+
+
+@query("embeddings_without_document", with_tables("vecs", sql=" select label, count(*) as n from vecs where document_id <> 7 group by label"))
+def _(m):
+    return m.vectors().where("document_id <> 7").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- full text and hybrid
+
+_BM25 = f""", toks as (select id, unnest(regexp_extract_all(lower(concat_ws(' ', name, description)), '[\\p{{L}}\\p{{N}}]+')) as term from ents),
+lens as (select id, count(*) as len from toks group by id),
+mean as (select count(*) as n_all, (select sum(len) from lens) / count(*) as mean from ents),
+tf as (select id, term, count(*) as tf from toks where term in ({_TERMS}) group by id, term),
+df as (select term, count(*) as df from tf group by term),
+bm as (select tf.id, sum(ln(1 + (n_all - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score
+  from tf join df using (term) join lens using (id) cross join mean group by tf.id)"""
+
+
+@query("fulltext_entities", with_tables("ents", sql=_BM25 + " select id, name, entity_type, description, round(score, 6) as score from bm join ents using (id) order by round(bm.score, 9) desc, id limit 10"))
+def _(m):
+    return _rounded(fulltext.search(m.entities(), WORDS), "score")
+
+
+@query("fulltext_by_type", with_tables("ents", sql=_BM25 + " select id, name, entity_type, description, round(score, 6) as score from bm join ents using (id) where entity_type in ('Customer') order by round(bm.score, 9) desc, id limit 5"))
+def _(m):
+    return _rounded(fulltext.search(m.entities(), WORDS, 5, ["Customer"]), "score")
+
+
+def _hybrid_sql(weight: float, k: int = 10) -> str:
+    parts = []
+    if weight > 0:
+        parts.append(f"(select 'vector' as source, 'chunk:' || chunk_id as key, similarity * {weight} as score, 0 as o from (select chunk_id, {_COS} as similarity from vecs) where similarity >= 0.3 order by similarity desc, chunk_id limit {k})")
+    if weight < 1:
+        parts.append(f"(select 'graph' as source, 'entity:' || id as key, least(score / 5, 1.0) * (1 - {weight}) as score, 1 as o from bm order by round(bm.score, 9) desc, id limit {k})")
+    return with_tables("vecs", "ents", sql=_BM25 + f", u as ({' union all '.join(parts)}) select source, key, round(score, 6) as score from u order by round(u.score, 9) desc, o, key limit {k}")
+
+
+for _name, _weight in (("hybrid_search", 0.5), ("hybrid_vector_only", 1.0), ("hybrid_graph_only", 0.0)):
+
+    @query(_name, _hybrid_sql(_weight))
+    def _(m, weight=_weight):
+        v = m.vectors()
+        return _rounded(retrieval.hybrid(v, m.entities(), WORDS, vector.query_vector(v, 0), vector_weight=weight), "score")
+
+
+# ---------------------------------------------------------------- graph
+
+
+@query("graph_stats", with_tables("ents", "rels", sql=""", t as (select 'entity' as kind, entity_type as type, count(*) as n from ents group by entity_type
+  union all select 'relationship', relationship_type, count(*) from rels group by relationship_type)
+select * from t union all select kind, null, cast(sum(n) as bigint) from t group by kind"""))
+def _(m):
+    return graph.stats(m.entities(), m.relationships())
+
+
+_NODES = ", nodes as (select id from ents where entity_type in ('Region', 'Nation', 'Supplier') order by id limit 500)"
+
+
+@query("graph_visualization", with_tables("ents", "rels", sql=_NODES + " select id, source, target, relationship_type, weight from rels where source in (select id from nodes) and target in (select id from nodes)"))
+def _(m):
+    return graph.visualization(m.entities(), m.relationships(), ["Region", "Nation", "Supplier"])[1]
+
+
+@query("visualization_nodes", with_tables("ents", sql=_NODES + " select id, name, entity_type from ents join nodes using (id)"))
+def _(m):
+    return graph.visualization(m.entities(), m.relationships(), ["Region", "Nation", "Supplier"])[0].select("id", "name", "entity_type")
+
+
+@query("induced_edges", with_tables("rels", sql=" select * from rels where source in (select 'part:' || p_partkey from part where p_size <= 10) and target in (select 'supplier:' || s_suppkey from supplier where s_acctbal > 0)"))
+def _(m):
+    nodes = m.read("part").where("p_size <= 10").select(F.concat(F.lit("part:"), "p_partkey").alias("id")).union(m.read("supplier").where("s_acctbal > 0").select(F.concat(F.lit("supplier:"), "s_suppkey")))
+    return graph.induced_edges(m.relationships(), nodes)
+
+
+def _reach_sql(depth: int, both: bool, limit: int | None) -> str:
+    def way(name: str, a: str, b: str) -> str:
+        return f"{name} as (select {b} as id, 1 as d from rels r where {a} = 'customer:1' union select r.{b}, d + 1 from {name} x join rels r on r.{a} = x.id where d < {depth})"
+
+    end = f" order by id limit {limit}" if limit else ""
+    ctes = ", " + way("outs", "source", "target") + (", " + way("ins", "target", "source") if both else "")
+    sel = f"(select distinct id from outs{end})" + (f" union (select distinct id from ins{end})" if both else "")
+    return with_tables("rels", sql=ctes + f" select distinct id from ({sel})")
+
+
+for _depth in (1, 2, 3):
+
+    @query(f"neighbors_out_d{_depth}", _reach_sql(_depth, False, None))
+    def _(m, depth=_depth):
+        return graph.neighbours(m.relationships(), "customer:1", depth, None, both=False)
+
+
+@query("neighbors_both_d2", _reach_sql(2, True, 50))
+def _(m):
+    return graph.neighbours(m.relationships(), "customer:1", 2, 50)
+
+
+@query("entity_relationships", with_tables("ents", "rels", sql=f""", i as (select id, target as other, relationship_type, 'out' as direction from rels where source = '{START}'
+  union all select id, source, relationship_type, 'in' from rels where target = '{START}' and source <> '{START}')
+select i.*, coalesce(e.name, '') as other_name from i left join ents e on e.id = other"""))
+def _(m):
+    return graph.with_names(graph.incident(m.relationships(), START), m.entities())
+
+
+@query("entities_with_source", with_tables("ents", "docs", sql=" select d.source, count(*) as n from ents e join docs d on e.source_document_id = d.id group by d.source"))
+def _(m):
+    d = m.documents().select(F.col("id").alias("source_document_id"), "source")
+    return m.entities().join(d, "source_document_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("entity_contexts", with_tables("ents", "rels", sql=""", n as (select source as id, relationship_type as r, target as o from rels union all select target, relationship_type, source from rels where source <> target),
+l as (select distinct n.id, '  - ' || r || ' -> ' || coalesce(e.name, '') as line from n left join ents e on e.id = o where n.id like 'nation:%'),
+a as (select id, (list(line order by line))[1:5] as x from l group by id)
+select e.id, array_to_string(list_concat(list_concat(['Entity: ' || name || ' (' || entity_type || ')'], case when description is not null then [description] else [] end), coalesce(x, [])), chr(10)) as context
+from ents e left join a using (id) where entity_type = 'Nation'"""))
+def _(m):
+    e = m.entities()
+    return graph.contexts(e.where("entity_type = 'Nation'"), m.relationships(), e)
+
+
+# ---------------------------------------------------------------- building the graph
+
+
+@query("kg_dedup_entities", with_tables("cands", sql=""", g as (select lower(name) as n, lower(entity_type) as t, min(struct_pack(c := chunk, p := position, n := name, t := entity_type, d := description)) as f, count(*) as mentions
+  from cands where trim(coalesce(name, '')) <> '' and trim(coalesce(entity_type, '')) <> '' group by 1, 2)
+select f.n as name, f.t as entity_type, f.d as description, f.c as chunk, f.p as position, mentions from g"""))
+def _(m):
+    return kg.first_entities(m.candidates())
+
+
+@query("kg_resolve_relationships", with_tables(sql="""x as (select lower(p_name) as n, max_by('part:' || p_partkey, p_partkey) as id from part group by 1),
+raw as (select p_name as s, upper(lead(p_name) over (order by p_partkey)) as t from part)
+select a.id as source_id, b.id as target_id, 'NEXT' as type from raw join x a on lower(raw.s) = a.n join x b on lower(raw.t) = b.n where a.id <> b.id"""))
+def _(m):
+    p = m.read("part").select("p_partkey", "p_name")
+    following = m.read("part").select((F.col("p_partkey") - 1).alias("p_partkey"), F.upper("p_name").alias("target"))
+    raw = p.join(following, "p_partkey").select(F.col("p_name").alias("source"), "target", F.lit("NEXT").alias("type"))
+    entities = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"))
+    return kg.resolved_relationships(raw, entities)
+
+
+@query("kg_merge_nodes", with_tables("ents", sql=""", u as (select 'supplier:' || s_suppkey as id, s_name || ' (new)' as name, 'Vendor' as entity_type, null::varchar as description from supplier where s_suppkey % 3 = 0
+  union all select 'supplier:new' || s_suppkey, s_name, 'Vendor', 'added' from supplier where s_suppkey % 10 = 0)
+select id, name, entity_type, description from ents where id like 'supplier:%' and id not in (select id from u) union all select * from u"""))
+def _(m):
+    s = m.read("supplier")
+    key = F.concat(F.lit("supplier:"), "s_suppkey")
+    changed = s.where("s_suppkey % 3 = 0").select(key.alias("id"), F.concat("s_name", F.lit(" (new)")).alias("name"), F.lit("Vendor").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(1).alias("seq"))
+    added = s.where("s_suppkey % 10 = 0").select(F.concat(F.lit("supplier:new"), "s_suppkey"), "s_name", F.lit("Vendor"), F.lit("added"), F.lit(1))
+    return kg.merged_nodes(m.entities().where("id like 'supplier:%'"), changed.union(added))
+
+
+_GONE = ", gone as (select id from ents where source_document_id = 'doc:3')"
+
+
+@query("kg_delete_document", with_tables("ents", "rels", sql=_GONE + " select relationship_type, count(*) as n from rels where source not in (select id from gone) and target not in (select id from gone) group by 1"))
+def _(m):
+    return kg.without_document(m.entities(), m.relationships(), "doc:3")[1].groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kg_delete_document_entities", with_tables("ents", sql=" select entity_type, count(*) as n from ents where source_document_id is distinct from 'doc:3' group by 1"))
+def _(m):
+    return kg.without_document(m.entities(), m.relationships(), "doc:3")[0].groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("graph_merge_edges", with_tables("rels", sql=""", base as (select * from rels where relationship_type <> 'ORDERED' and source < 'part:5'), more as (select id || ':again' as id, source, target, relationship_type, 0.5::double as weight from rels where relationship_type = 'SUPPLIED_BY')
+select * from base union all select * from more where (source, target, relationship_type) not in (select (source, target, relationship_type) from base)"""))
+def _(m):
+    r = m.relationships()
+    more = r.where("relationship_type = 'SUPPLIED_BY'").withColumns({"id": F.concat("id", F.lit(":again")), "weight": F.lit(0.5)})
+    return kg.merged_graph(r.where("relationship_type <> 'ORDERED' and source < 'part:5'"), more, ["source", "target", "relationship_type"])
+
+
+# ---------------------------------------------------------------- clusters
+
+
+_PLACED = {1: ", placed as (select node_id, parent_id as cluster_id from members join tree on cluster_id = tree.id)", 2: ", placed as (select * from members)"}
+
+for _tier in (1, 2):
+
+    @query(f"cluster_tier{_tier}", with_tables("tree", sql=_PLACED[_tier] + " select t.id, label || ' (' || count(*) || ')' as label, count(*) as size from placed join tree t on t.id = cluster_id group by t.id, label"))
+    def _(m, tier=_tier):
+        tree, members = m.clusters()
+        return clusters.cluster_nodes(tree, clusters.node_clusters(tree, members, tier))
+
+
+@query("cluster_edges", with_tables("tree", "rels", sql=_PLACED[1] + """, e as (select coalesce(a.cluster_id, source) as source, coalesce(b.cluster_id, target) as target, relationship_type, weight
+  from rels left join placed a on a.node_id = source left join placed b on b.node_id = target)
+select source, target, relationship_type, round(sum(weight), 6) as weight from e where source <> target group by 1, 2, 3"""))
+def _(m):
+    tree, members = m.clusters()
+    return _rounded(clusters.cluster_edges(m.relationships(), clusters.node_clusters(tree, members, 1)), "weight")
+
+
+@query("dominant_type", with_tables("tree", "ents", sql=_PLACED[2] + """, c as (select cluster_id, entity_type, count(*) as n from placed join ents on id = node_id group by 1, 2)
+select cluster_id, entity_type, n from (select *, row_number() over (partition by cluster_id order by n desc, entity_type) as r from c) where r = 1"""))
+def _(m):
+    tree, members = m.clusters()
+    return clusters.dominant_type(members, m.entities())
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query("documents_page", with_tables("docs", sql=", d as (select * from docs where user_id = 1 and status = 'ready') select id, filename, status, (select count(*) from d) as total from d order by uploaded_at desc, id limit 20 offset 20"))
+def _(m):
+    rows = m.documents().where("user_id = 1 and status = 'ready'").select("id", "filename", "status", "uploaded_at")
+    return chat.page(rows, [F.desc("uploaded_at"), "id"], 2, 20).select("id", "filename", "status", "total")
+
+
+@query("expired_documents", with_tables("docs", sql=f" select id, expires_at from docs where expires_at < timestamp '{AS_OF}' and status <> 'expired'"))
+def _(m):
+    return ingest.expired(m.documents(), AS_OF).select("id", "expires_at")
+
+
+@query("document_states", with_tables("docs", sql=" select user_id, status, source, count(*) as n, cast(sum(n_chars) as bigint) as chars from docs group by 1, 2, 3"))
+def _(m):
+    return m.documents().groupBy("user_id", "status", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("dashboard_stats", with_tables("docs", "ents", "rels", sql=""" select (select count(*) from docs where user_id = 1) as documents, (select count(*) from docs where user_id = 1 and status = 'processing') as processing,
+(select count(*) from ents) as entities, (select count(*) from rels) as relationships, (select count(*) from embeddings) as embeddings"""))
+def _(m):
+    d = m.documents().where("user_id = 1").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "processing").alias("processing"))
+    one = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))  # noqa: E731  one row each
+    return d.crossJoin(one(m.entities(), "entities")).crossJoin(one(m.relationships(), "relationships")).crossJoin(one(m.vectors(), "embeddings"))
+
+
+@query("token_estimates", """select doc_id, cast(length(text) // 4 as bigint) as by_length, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as bigint) as by_words,
+case when length(text) > 200 then left(text, 200) || '...' else text end as shortened from documents""")
+def _(m):
+    c = F.col("text")
+    return m.read("documents").select("doc_id", text.tokens_by_length(c).alias("by_length"), text.word_count(c).alias("by_words"), text.shortened(c).alias("shortened"))
+
+
+@query("file_names", with_tables("files", sql=""" select distinct file_name, regexp_replace(file_name, '[^\\p{L}\\p{N}]', '_', 'g') as safe, regexp_extract(file_name, '\\.([^.]+)$', 1) as extension,
+case regexp_extract(file_name, '\\.([^.]+)$', 1) when 'pdf' then 'pdf' when 'docx' then 'docx' end as processor, folder_path || '/' || file_name as path from files"""))
+def _(m):
+    n = F.col("file_name")
+    return m.files().select("file_name", text.safe_filename(n).alias("safe"), text.extension(n).alias("extension"), text.processor(n).alias("processor"), text.joined_path(F.col("folder_path"), n).alias("path")).distinct()
+
+
+@query("chunk_documents")
+def _(m):
+    return chunking.chunks(m.read("documents")).select("doc_id", "chunk_index", "content", "token_count")
+
+
+@query("chunk_documents_paragraphs")
+def _(m):
+    return chunking.chunks(m.read("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", "chunk_index", "content", "token_count")
+
+
+@query("sections")
+def _(m):
+    marked = m.read("documents").withColumn("text", F.regexp_replace("text", r"\n([A-M])", "\n# $1"))
+    return chunking.chunks(marked, by_section=True)
+
+
+@query("chunk_page")
+def _(m):
+    return chunking.chunks(m.read("documents").where("doc_id = 0")).orderBy("chunk_index").offset(1).limit(5).select("chunk_index", "content")
+
+
+# ---------------------------------------------------------------- ingestion
+
+
+@query("latest_indexed_file", with_tables("files", sql=" select id, drive_file_id, job_id, stage, created_at from files qualify row_number() over (partition by drive_file_id order by created_at desc, id desc) = 1"))
+def _(m):
+    return ingest.latest_files(m.files()).select("id", "drive_file_id", "job_id", "stage", "created_at")
+
+
+@query("drive_tree_rollup", with_tables("files", sql=""", p as (select array_to_string(string_split(folder_path, '/')[1:i], '/') as path, status from files, range(1, 3) t(i) where folder_path <> '')
+select path, cast(len(string_split(path, '/')) - 1 as integer) as depth, count(*) as total, count(*) filter (status = 'completed') as completed from p group by path"""))
+def _(m):
+    return ingest.folder_rollup(m.files())
+
+
+@query("job_stats", with_tables("jobs", sql=""" select status, count(*) as jobs, cast(sum(processed_files) as bigint) as processed, cast(sum(failed_files) as bigint) as failed, cast(sum(skipped_files) as bigint) as skipped from jobs group by status"""))
+def _(m):
+    sums = [F.coalesce(F.sum(f"{c}_files"), F.lit(0)).alias(c) for c in ("processed", "failed", "skipped")]
+    return m.jobs().groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), *sums)
+
+
+@query("stage_counts", with_tables("files", sql=" select job_id, stage, count(*) as n from files group by 1, 2"))
+def _(m):
+    return m.files().groupBy("job_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stale_jobs", with_tables("jobs", sql=f" select job_id, status, started_at from jobs where status in ('pending', 'processing') and started_at < timestamp '{AS_OF}' - interval 135 minute"))
+def _(m):
+    return ingest.stale_jobs(m.jobs(), AS_OF).select("job_id", "status", "started_at")
+
+
+@query("latest_active_job", with_tables("jobs", sql=" select job_id, status, started_at from jobs where status in ('pending', 'processing') order by started_at desc, job_id limit 1"))
+def _(m):
+    return m.jobs().where("status in ('pending', 'processing')").orderBy(F.desc("started_at"), "job_id").limit(1).select("job_id", "status", "started_at")
+
+
+@query("dedup_skip", with_tables("files", "docs", sql=""", k as (select distinct json_extract_string(metadata, '$.drive_file_id') as f from docs where source = 'google_drive' and is_base_knowledge and status in ('ready', 'processing'))
+select id, case when k.f is not null then 'skip' else 'process' end as action from files left join k on k.f = drive_file_id"""))
+def _(m):
+    return ingest.marked_known(m.files(), m.documents()).select("id", "action")
+
+
+@query("size_guard", with_tables("files", sql=" select id, size_bytes, case when size_bytes > 0.5 * 1048576 then 'skipped' else 'pending' end as action from files"))
+def _(m):
+    return m.files().select("id", "size_bytes", ingest.size_action(F.col("size_bytes"), 0.5).alias("action"))
+
+
+@query("stage_state", with_tables("files", sql=" select drive_file_id as file_id, max(struct_pack(t := created_at, s := stage)).s as stage, max(created_at) as ts, max(struct_pack(t := created_at, s := stage)).s in ('kg_done', 'failed', 'skipped', 'embed_failed', 'kg_failed', 'cancelled') as ended from files group by 1"))
+def _(m):
+    return ingest.file_states(m.files().select(F.col("drive_file_id").alias("file_id"), "stage", F.col("created_at").alias("ts")))
+
+
+@query("retry_backoff", with_tables("files", sql=" select id, case when stage = 'failed' then 'download' else 'embed' end as step, retry_count + 1 as attempt, cast(least(2 ** retry_count, 30) as bigint) as wait_seconds from files where stage in ('failed', 'embed_failed', 'kg_failed') and retry_count < 2"))
+def _(m):
+    return ingest.retry_plan(m.files())
+
+
+@query("retry_reset", with_tables("files", sql=" select case when job_id = 'job:src1' and status in ('failed', 'pending', 'processing') then 'pending' else status end as status, case when job_id = 'job:src1' and status in ('failed', 'pending', 'processing') then 'pending' else stage end as stage, count(*) as n from files group by 1, 2"))
+def _(m):
+    return ingest.reset_for_retry(m.files(), "job:src1").groupBy("status", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rate_limit", """with e as (select event_id, user_id, ts from events),
+c as (select a.event_id, a.user_id, a.ts, count(b.event_id) as n from e a left join e b on a.user_id = b.user_id and b.ts > a.ts - interval 86400 second and (b.ts < a.ts or (b.ts = a.ts and b.event_id < a.event_id)) group by 1, 2, 3)
+select event_id, user_id, ts, n as recent, n < 3 as allowed from c""")
+def _(m):
+    return ingest.rate_limited(m.read("events").select("event_id", "user_id", "ts"), 86400, 3)
+
+
+# ---------------------------------------------------------------- chat and usage
+
+
+@query("conversation_list", with_tables("msgs", sql=" select conversation_id, min(created_at) as created_at, count(*) as messages from msgs where user_id = 1 group by 1 order by 2 desc, 1 limit 50"))
+def _(m):
+    return chat.conversation_list(m.messages(), 1)
+
+
+@query("messages_first_n", with_tables("msgs", sql=" select conversation_id, turn, role, token_count from msgs where conversation_id = 3 order by created_at, turn limit 20"))
+def _(m):
+    return chat.first_messages(m.messages(), 3, 20).select("conversation_id", "turn", "role", "token_count")
+
+
+@query("transcripts", with_tables("msgs", sql=" select conversation_id, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || content, chr(10) || chr(10) order by turn) as prompt from msgs group by 1"))
+def _(m):
+    return chat.transcript(m.messages())
+
+
+@query("usage_ledger", with_tables("calls", sql=""", s as (select model, count(*) as calls, cast(sum(input_tokens) as bigint) as i, cast(sum(output_tokens) as bigint) as o, sum(cost) as c from calls group by model)
+select model, calls, i as input_tokens, o as output_tokens, i + o as total_tokens, round(c, 6) as cost from s
+union all select null, cast(sum(calls) as bigint), cast(sum(i) as bigint), cast(sum(o) as bigint), cast(sum(i + o) as bigint), round(sum(c), 6) from s"""))
+def _(m):
+    return chat.usage_by_model(m.usage())
+
+
+def _results(m: Model) -> DataFrame:
+    """Tool results with a document, an entity, or nothing to cite, made from documents."""
+    i = F.col("doc_id")
+    document = F.to_json(F.struct(F.concat(F.lit("doc:"), i % 50).alias("document_id"), F.col("text").alias("content"), (i % 10 / 10).alias("similarity")))
+    entity = F.to_json(F.struct(F.concat(F.lit("e"), i % 20).alias("entity_id"), F.concat(F.lit("n"), i).alias("entity_name"), F.lit("T").alias("entity_type"), F.lit(0.5).alias("relevance_score")))
+    return m.read("documents").select(i.alias("call_id"), F.when(i % 3 == 0, document).when(i % 3 == 1, F.concat(F.lit("["), entity, F.lit(","), document, F.lit("]"))).otherwise('{"content": ""}').alias("result"))
+
+
+_CITED = """, items as (select doc_id as call_id, 0 as ordinal, 'doc:' || doc_id % 50 as document_id, cast(null as varchar) as entity_id, cast(null as varchar) as entity_name, left(text, 200) as snippet, doc_id % 10 / 10 as score from documents where doc_id % 3 = 0
+  union all select doc_id, 1, 'doc:' || doc_id % 50, null, null, left(text, 200), doc_id % 10 / 10 from documents where doc_id % 3 = 1
+  union all select doc_id, 0, null, 'e' || doc_id % 20, 'n' || doc_id, 'n' || doc_id || ' (T): ', 0.5 from documents where doc_id % 3 = 1)"""
+
+
+@query("citations_extract", "with " + _CITED[2:] + " select call_id, ordinal, document_id, entity_id, snippet, score from items")
+def _(m):
+    return chat.citations(_results(m)).select("call_id", "ordinal", "document_id", "entity_id", "snippet", "score")
+
+
+@query("citations_dedup", "with " + _CITED[2:] + " select coalesce(document_id, entity_id) as source_key, call_id, ordinal, snippet from items qualify row_number() over (partition by coalesce(document_id, entity_id) order by call_id, ordinal) = 1")
+def _(m):
+    return chat.first_citations(chat.citations(_results(m))).select("source_key", "call_id", "ordinal", "snippet")
+
+
+@query("citations_enrich", with_tables("docs", sql=_CITED + " select call_id, ordinal, coalesce(filename, entity_name) as title from items left join docs d on d.id = items.document_id"))
+def _(m):
+    return chat.enriched(chat.citations(_results(m)), m.documents()).select("call_id", "ordinal", "title")
