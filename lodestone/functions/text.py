@@ -92,7 +92,7 @@ def backoff_seconds(retry: Column, most: int = 30) -> Column:
 
 def salvaged_json(c: Column) -> Column:
     """A JSON text from a model's answer: the whole, a fenced block, or from the first brace to the last; else null."""
-    fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     tries = [F.trim(c), F.trim(fence), braces]
     return F.coalesce(*[F.when((t != "") & F.try_parse_json(t).isNotNull(), t) for t in tries])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import chunking, text
 from lodestone.operators import chat, clusters, fulltext, graph, ingest, kg, retrieval, vector
 from lodestone.plans.model_sql import with_tables
+from lodestone.sources import jsonl
 from lodestone.sources.tables import AS_OF, Model
 
 FLAGSHIP = "hybrid_search"
@@ -465,3 +466,39 @@ def _(m):
 @query("citations_enrich", with_tables("docs", sql=_CITED + " select call_id, ordinal, coalesce(filename, entity_name) as title from items left join docs d on d.id = items.document_id"))
 def _(m):
     return chat.enriched(chat.citations(_results(m)), m.documents()).select("call_id", "ordinal", "title")
+
+
+# ---------------------------------------------------------------- exports and streams
+
+
+@query("jsonl_roundtrip", with_tables("ents", sql=" select entity_type, count(*) as n, cast(sum(length(name)) as bigint) as signs from ents group by 1"))
+def _(m):
+    e = m.entities()
+    path = jsonl.shared_folder(m.spark, "export")
+    jsonl.write_jsonl(e, path)
+    back = jsonl.read_jsonl(m.spark, [path, f"{path}-missing"], e.schema)
+    return back.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("name")).alias("signs"))
+
+
+@query("export_differences", with_tables("ents", sql=" select entity_type, count(*) as n_left, count(*) filter (id not like '%9') as n_right from ents group by 1 having count(*) <> count(*) filter (id not like '%9')"))
+def _(m):
+    e = m.entities()
+    rest = jsonl.manifest(e.where("id not like '%9'"), "entity_type")
+    return jsonl.differing(jsonl.manifest(e, "entity_type"), rest, "entity_type").withColumn("n_right", F.coalesce("n_right", F.lit(0)))
+
+
+@query("drive_walk", """with recursive f as (select distinct source, lang from documents),
+e as (select 'root' as id, null::varchar as parent_id, 'Base' as name, 'folder' as kind union all select distinct source, 'root', source, 'folder' from f
+  union all select source || '/' || lang, source, lang, 'folder' from f union all select 'file:' || doc_id, source || '/' || lang, 'doc_' || doc_id, case when doc_id % 9 = 0 then 'drop' else 'keep' end from documents),
+w as (select id, name as path, kind from e where id = 'root' union all select e.id, w.path || '/' || e.name, e.kind from w join e on e.parent_id = w.id where w.kind = 'folder')
+select id, path from w where kind = 'keep'""")
+def _(m):
+    d = m.read("documents")
+    entry = lambda i, parent, name, mime: [i.alias("id"), parent.alias("parent_id"), name.alias("name"), mime.alias("mime")]
+    folder, c = F.lit(ingest.FOLDER), F.col
+    place = F.concat_ws("/", "source", "lang")
+    kind = F.when(c("doc_id") % 9 == 0, ingest.SHORTCUT).otherwise(ingest.READ[0])
+    folders = d.select(*entry(c("source"), F.lit("root"), c("source"), folder)).union(d.select(*entry(place, c("source"), c("lang"), folder))).distinct()
+    files = d.select(*entry(F.concat(F.lit("file:"), "doc_id"), place, F.concat(F.lit("doc_"), "doc_id"), kind))
+    root = m.spark.range(1).select(*entry(F.lit("root"), F.lit(None).cast("string"), F.lit("Base"), folder))
+    return ingest.walk(root.union(folders).union(files), ["root"])
