@@ -165,13 +165,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     those of its own vec_id; ties go to the smaller vec_id. Inner products are
     exact below 2**63.
 
-    Vectors that are null or hold a null or non-finite component, and rows with
+    Vectors that are null, empty or hold a null or non-finite component, and rows with
     a null vec_id, take no part. Repeated rows count once. Other columns are
     ignored. An empty table, or one without partners, gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    whole = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), as_integers(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null").distinct()
+    whole = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), as_integers(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null and size(v) > 0").distinct()
     rows = scratch.save(whole(vectors), "vectors")
     asked = scratch.save(whole(queries).select(F.xxhash64("vec_id", "v").alias("q"), F.col("vec_id").alias("query_id"), "v"), "queries")
     total = rows.count()
