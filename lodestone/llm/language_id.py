@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import CHUNK_BYTES, chunk_ranges, texts_of
+from lodestone.llm._common import CHUNK_BYTES, carried, chunk_ranges, texts_of
 
 UNKNOWN = "und"
 #: Bytes in a window; states start anew at its ends.
@@ -29,7 +29,7 @@ WINDOW = 64
 HIDDEN = 8
 #: Training sample: documents a language, characters of each, and languages (the most frequent) at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 512, 640, 200
-EPOCHS, BATCH, RATE, SEED = 10, 256, 0.02, 11
+EPOCHS, STEPS, BATCH, RATE, SEED = 10, 400, 256, 0.02, 11
 #: Windows handled together when scoring: arrays stay in a core's cache.
 TOGETHER = 2048
 
@@ -126,11 +126,14 @@ def train(texts: list[bytes], target: np.ndarray, labels: list[str], hidden: int
     weight = (share.sum() / np.maximum(share, 1) / k).astype(F32)
     params = [net.x, net.u, net.o, net.b]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    turn, total = 0, epochs * -(-len(y) // BATCH)
-    for _ in range(epochs):
+    batch = int(np.clip(len(y) // 40, 16, BATCH))  # small samples need steps more than large batches
+    each = max(1, -(-len(y) // batch))
+    epochs = epochs and max(epochs, -(-STEPS // each))
+    turn, total = 0, epochs * each
+    for _ in range(epochs if len(y) else 0):
         order = rng.permutation(len(y))
-        for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
+        for i in range(0, len(order), batch):
+            rows = order[i : i + batch]
             grads = _gradients(net, np.ascontiguousarray(codes[:, rows]), real[:, rows], y[rows], weight[y[rows]])
             turn += 1
             rate = RATE * (1 - (turn - 1) / total)
@@ -179,7 +182,7 @@ def _add(net: Network, part: list[tuple[int, bytes]], sums: np.ndarray) -> None:
 def _predict(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held, letter, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist(), texts_of(batch)
+            letter, texts = batch.column(2).to_pylist(), texts_of(batch)
             for lo, hi in chunk_ranges(texts):
                 known = [i for i in range(lo, hi) if letter[i]] if net.labels else []
                 names, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
@@ -198,7 +201,11 @@ def _predict(net: Network):
                     for i, best in zip(known, p.argmax(axis=1).tolist(), strict=True):
                         names[i - lo] = net.labels[best]
                     score[np.array(known) - lo] = np.clip(p.max(axis=1), 0, 1)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), held.slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                same = [batch.column(i).slice(lo, hi - lo) for i in (0, 1, *range(4, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays(
+                    [*same[:2], pa.array(names, pa.string()), pa.array(score), *same[2:]],
+                    names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[4:]],
+                )
 
     return run
 
@@ -222,8 +229,10 @@ def fitted(labelled: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SA
     return train(texts, np.array([labels.index(r["lang"]) for r in got], dtype=np.int64), labels)
 
 
-def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, held_out: str = "pmod(crc32(cast(doc_id as string)), 3) = 1") -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score.
+def identify_languages(
+    docs: DataFrame, labelled: DataFrame | None = None, held_out: str = "pmod(crc32(cast(doc_id as string)), 3) = 1", carry: list[str] | None = None
+) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score, and the columns named in ``carry``.
 
     The network learns from the rows of ``labelled`` (by default: of docs that
     aren't held out) with a non-null lang, and reads nothing but texts when it
@@ -236,11 +245,13 @@ def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, held_
     gives none.
     """
     held = F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["lang"] if labelled is None else []))
-    learn = rows.where(~held).select("doc_id", "text", "lang") if labelled is None else labelled.select("doc_id", "text", "lang")
-    net = fitted(learn)
+    learn = docs.where(~held) if labelled is None else labelled
+    net = fitted(learn.select("doc_id", "text", "lang"))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return rows.select("doc_id", held, letter.alias("letter"), "text").mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    inside, schema, back = carried(docs, carry or [])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, letter.alias("letter"), F.col("text").alias("text"), *inside)
+    out = rows.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double" + schema)
+    return out.select("doc_id", "held_out", "lang_pred", "score", *back)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
