@@ -88,16 +88,27 @@ class Scratch:
             return
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more) -> DataFrame:
     """(k, doc_id, text): k is a row's join key, made of id and text, so that rows
     that repeat an id with another text stay apart."""
     return docs.select(
         F.xxhash64(F.col("doc_id"), F.lit("|"), F.col("text")).alias("k"),
         F.col("doc_id"),
         F.col("text"),
+        *more,
     )
 
 
+def carried(docs: DataFrame, names: list[str]) -> tuple[list, str, list]:
+    """Columns that an operator passes through: (as x0, x1, ... ; their schema ; back under their names).
+
+    Inside an operator they can't clash with its own columns.
+    """
+    inside = [F.col(f"`{n}`").alias(f"x{i}") for i, n in enumerate(names)]
+    schema = "".join(f", x{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    return inside, schema, [F.col(f"x{i}").alias(n) for i, n in enumerate(names)]
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import byte_dedup, decontamination, language_id, lm_scoring, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_language_id": language_id.op1_language_id,
         "op2_lm_scoring": lm_scoring.op2_lm_scoring,
         "op3_decontamination": decontamination.op3_decontamination,

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Chunk, Scratch, chunk_ranges, keyed, texts_of
-from lodestone.llm.repeats import covered, repeated_spans, with_spans, word_anchors, word_sequences
+from lodestone.llm._common import Chunk, Scratch, carried, chunk_ranges, keyed, texts_of
+from lodestone.llm.repeats import covered, repeated_spans, word_anchors, word_sequences
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -46,15 +46,18 @@ def _removal(window: int, digest: bool):
                     else:
                         out.append(text.decode("utf-8", "replace") if texts[lo + i] is not None else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(c.n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
+                    [
+                        ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(c.n_words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(out, pa.string()),
+                        *(batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)),
+                    ],
+                    names=["doc_id", "n_words", "n_removed", "kept", *batch.schema.names[3:]],
                 )
 
     return run
 
 
-def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 3, digest: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept.
+def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 3, digest: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept, and the columns named in ``carry``.
 
     Words are maximal runs of other than ASCII white space. Removed is each word
     covered by a window of ``window`` words that also starts anywhere else in
@@ -67,10 +70,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 3, d
     repeat each other. Other columns are ignored. An empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    rows = keyed(docs)
+    inside, schema, back = carried(docs, carry or [])
+    rows = keyed(docs, *inside)
     spans = repeated_spans(rows, scratch, word_sequences, word_anchors(window, rounds), window, 1)
-    joined = with_spans(rows, spans, 8, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_removal(window, digest), RESULT)
+    joined = rows.join(spans, "k", "left").select("doc_id", "text", "spans", *(f"x{i}" for i in range(len(inside))))
+    return joined.mapInArrow(_removal(window, digest), RESULT + schema).select("doc_id", "n_words", "n_removed", "kept", *back)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
