@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Scratch, chunk_ranges, keyed, texts_of
-from lodestone.llm.repeats import byte_anchors, byte_sequences, covered, repeated_spans, with_spans
+from lodestone.llm.repeats import byte_anchors, byte_sequences, covered, repeated_spans
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept "
 #: Bytes in a trigger, and windows whose digests stand in one row while copies' surroundings are compared.
@@ -72,7 +72,7 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 200, digest: bool = False
     scratch = Scratch(docs.sparkSession, "byte-dedup")
     rows = keyed(docs)
     spans = repeated_spans(rows, scratch, byte_sequences, byte_anchors(window, GRAM), window, BLOCK)
-    joined = with_spans(rows, spans, 8, "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans, "k", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removal(window, digest), RESULT + ("string" if digest else "binary"))
 
 

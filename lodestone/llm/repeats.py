@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import BYTE_CODE, CHUNK_BYTES, Chunk, Rolling, Scratch, U64, chunk_ranges, keyed, signed, splitmix, texts_of
 from lodestone.llm.anchors import minimum_anchors, recompression_anchors, runs
 
-#: Bytes of per-document spans that are broadcast to a scan; beyond, both sides are shuffled by document.
-BROADCAST_BYTES = 48 << 20
-
 ANCHORS = "k long, key long, u long, a int, s0 int, s1 int"
 BLOCKS = "key long, u long, single boolean, t int, size int, core long, whole long, hashes array<long>"
 
@@ -174,12 +171,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
     classes = scratch.save(
         again.groupBy("key", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "s0", "s1")).alias("at")), "classes"
     )
-    copies = again.join(classes.where("n > 1").select("key", "u"), ["key", "u"], "left_semi").select("k", "s0", "s1")
+    copies = scratch.save(again.join(classes.where("n > 1").select("key", "u"), ["key", "u"], "left_semi").select("k", "s0", "s1"), "copies")
+    scratch.drop(again)
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key")
     rest = classes.join(mixed, "key").select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
     rest = scratch.save(rest.groupBy("k").agg(F.collect_list("span").alias("spans")), "rest")
-    held = with_spans(texts, rest, 40, "inner").select("text", "spans")
+    scratch.free()
+    held = texts.join(rest, "k").select("text", "spans")
     blocks = scratch.save(held.mapInArrow(_block_rows(sequences, width, block), BLOCKS), "blocks")
+    scratch.drop(rest)
 
     by_whole = ["key", "t", "size", "whole"]
     wholes = blocks.groupBy(by_whole).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_whole)
@@ -196,16 +196,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
     lone = single.where("single").join(windows, ["key", "t", "h"], "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
     parts = equal.union(lone).join(classes.select("key", "u", "at"), ["key", "u"]).select("at.k", (F.col("at.a") + F.col("t")).alias("s0"), (F.col("at.a") + F.col("t1")).alias("s1"))
     spans = scratch.save(merged_spans(copies.union(parts)), "spans")
-    scratch.drop(again, classes, rest, blocks)
+    scratch.drop(copies, classes, blocks)
     return spans
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, row_bytes: int, how: str) -> DataFrame:
-    """Joins documents with their spans by k; spans of a measured small size are broadcast, so that texts aren't shuffled."""
-    size = spans.agg(F.coalesce(F.sum(F.size("spans") * row_bytes + 60), F.lit(0)).alias("b")).first()["b"]
-    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "k", how)
-
-
 def covered(n: int, s0: np.ndarray, s1: np.ndarray, width: int) -> np.ndarray:
     """Which of n elements lie in windows s0 to s1."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -219,4 +213,4 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.distinct().groupBy("k").agg(F.collect_list(F.struct("s0", "s1")).alias("spans"))
 
 
-__all__ = ["CHUNK_BYTES", "Sequences", "byte_anchors", "byte_sequences", "covered", "keyed", "merged_spans", "repeated_spans", "with_spans", "word_anchors", "word_sequences"]
+__all__ = ["CHUNK_BYTES", "Sequences", "byte_anchors", "byte_sequences", "covered", "keyed", "merged_spans", "repeated_spans", "word_anchors", "word_sequences"]
