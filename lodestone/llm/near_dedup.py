@@ -4,9 +4,12 @@
    and a SuperMinHash signature, folded into band keys.
 2. Documents of equal sets form a class; only its smallest id goes on, so a
    group of thousands of copies costs one row.
-3. Classes that share a band key are compared with one pivot of that key, in
-   rounds; a round takes another pivot and looks only at keys whose classes
-   are not yet one component. What is then left is compared in full.
+3. Classes that share a band key are compared with one pivot of that key. If
+   these comparisons don't join a pivot's classes to one component, two of them
+   can still be linked in two ways: their shares of the pivot alone are large
+   enough, which their counts tell, or they share shingles that the pivot
+   lacks, and these shingles are the keys of the next round. So a group of n
+   variants costs about n comparisons a round, not n * n.
 4. Links hold if the full sets meet the threshold; components are the answer.
 """
 
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Chunk, Scratch, U64, chunk_ranges, shingle_sets, signed, splitmix, texts_of
@@ -25,6 +28,10 @@ from lodestone.llm.graph_components import components
 #: Up to so many candidate ids (8 bytes each) are broadcast to the second scan; more are shuffled.
 BROADCAST_IDS = 2_000_000
 
+#: The rounds end once the pairs within keys are no more than so many for each row of the bands, linear work: these
+#: are counted by matrix products, in blocks of about so many shingles and classes, and only links become rows.
+DIRECT, BLOCK_ITEMS, BLOCK_CLASSES = 64, 1 << 19, 1024
+
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 SETS = "doc_id long, items array<long>"
 
@@ -107,7 +114,7 @@ def _sets(width: int):
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, width: int = 5, bands: int = 32, rows: int = 4, pivots: int = 2
+    docs: DataFrame, percent: int = 75, width: int = 5, bands: int = 32, rows: int = 4
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -134,23 +141,20 @@ def near_duplicates(
     ids = banded.select(F.col("rep").alias("doc_id")).distinct()
     many = ids.count() > BROADCAST_IDS
     sets = scratch.save(texts.join(ids if many else F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets(width), SETS).dropDuplicates(["doc_id"]), "sets")
-    label, links = None, None
-    tested = None
-    for turn in range(pivots + 1):
-        here = banded if label is None else banded.join(label, banded.rep == label.node, "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-        if label is None:
-            here = banded.withColumn("comp", F.col("rep"))
-        pairs = _pairs(here, turn, turn == pivots, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, "pairs")
-        if pairs.isEmpty():
+    label, here, turn = None, banded, 0
+    limit = DIRECT * banded.count()
+    while not here.isEmpty():
+        if turn and _pairs_within(here) <= limit:
+            label = _joined(label, _all_links(here, sets, percent), scratch)
             break
-        new = scratch.save(_verified(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        if not new.isEmpty() or label is None:
-            label = scratch.save(components(links, scratch), "labels")
+        tested = scratch.save(_compared(_pivot_pairs(here, turn, scratch), sets), "tested")
+        label = _joined(label, tested.where(_linked(percent)).select("a", "b"), scratch)
+        rest = scratch.save(_undecided(tested, label), "rest")
+        near = _compared(_near_pivot(rest, percent), sets).where(_linked(percent)).select("a", "b")
+        following = scratch.save(_next_keys(rest, sets, percent, turn), "keys")
+        label = _joined(label, near, scratch)
+        scratch.drop(tested, rest, *([here] if turn else []))
+        here, turn = following, turn + 1
     out = sig.join(classes, ["s1", "s2", "n_shingles"], "left")
     if label is None:
         out = out.withColumn("component", F.lit(None).cast("long"))
@@ -165,32 +169,125 @@ def near_duplicates(
     )
 
 
-def _pairs(here: DataFrame, turn: int, full: bool, percent: int) -> DataFrame:
-    """Pairs (a < b) to test: each key's classes with its pivot, or, at last, with each other.
+def _pairs_within(here: DataFrame) -> int:
+    return here.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.expr("sum(m * (m - 1) div 2)"), F.lit(0))).first()[0]
+
 
-    Sizes further apart than the threshold allows can't be linked.
+def _all_links(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of a key in different components, all compared.
+
+    A key's classes are dealt to blocks of bounded size, and pairs of blocks to tasks.
     """
-    fits = F.expr(f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)")
+    blocks = here.groupBy("key").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("blocks"))
+    dealt = here.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")))
+    cells = dealt.select("key", "rep", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
+    held = cells.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("key", "i", "j", "rep", "comp", "items")
+    return held.groupBy("key", "i", "j").applyInArrow(lambda t: _cell_links(t, percent), "a long, b long").distinct()
+
+
+def _cell_links(cell: pa.Table, percent: int, slab: int = 4096) -> pa.Table:
+    rep, comp = (cell.column(c).to_numpy() for c in ("rep", "comp"))
+    lists = cell.column("items").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(rep)), size)
+    _, item, often = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    order = np.argsort(item, kind="stable")
+    order = order[often[item[order]] > 1]
+    number = np.cumsum(np.diff(item[order], prepend=-1) > 0) - 1  # of the items that several classes have
+    shared = np.zeros((len(rep), len(rep)), dtype=np.float32)
+    last = int(number[-1]) + 1 if len(number) else 0
+    for lo in range(0, last, slab):
+        x, y = np.searchsorted(number, (lo, min(lo + slab, last)))
+        part = np.zeros((len(rep), min(slab, last - lo)), dtype=np.float32)
+        part[row[order[x:y]], number[x:y] - lo] = 1
+        shared += part @ part.T
+    linked = (100 + percent) * shared.astype(np.float64) >= percent * (size[:, None] + size[None, :])
+    a, b = np.nonzero(linked & (rep[:, None] < rep[None, :]) & (comp[:, None] != comp[None, :]))
+    return pa.table({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+
+
+def _joined(label: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) after more links (a, b)."""
+    links = scratch.save(links, "links")
+    if label is not None and links.isEmpty():
+        return label
+    known = links if label is None else links.union(label.where("node <> component").select("node", "component"))
+    return scratch.save(components(known, scratch), "labels")
+
+
+def _pivot_pairs(here: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """(a, b, na, nb): each key's classes b with its pivot a. here: key, rep, n_shingles."""
     order = F.col("rep") if turn == 0 else F.xxhash64(F.col("rep"), F.lit(turn))
-    pivot = here.groupBy("key").agg(
-        F.min(F.struct(order.alias("o"), F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("n_shingles").alias("m"))).alias("x"),
-        F.min("comp").alias("c0"),
-        F.max("comp").alias("c1"),
-    ).where("c0 <> c1")
-    if full:
-        left = here.join(pivot.select("key"), "key")
-        other = left.select("key", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("n_shingles").alias("m"))
-        both = left.join(other, "key").where("rep < p")
-    else:
-        both = here.join(pivot.select("key", "x.p", "x.pc", "x.m"), "key")
-    return both.where((F.col("comp") != F.col("pc")) & fits).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    pivots = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))).alias("x"))
+    pivots = scratch.save(pivots.select("key", "x.a", "x.na"), "pivots")
+    both = here.join(pivots, "key").where("rep <> a")
+    return both.select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, na, nb) with i, the number of shingles they share."""
+    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("i"))
+
+
+def _linked(percent: int) -> Column:
+    return F.expr(f"{100 + percent} * i >= {percent} * (na + nb)")
+
+
+def _undecided(tested: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b, na, nb, i, comp, least) of pivots a, themselves among b, whose classes b aren't one component yet.
+
+    least: the smallest set size of the pivot's classes.
+    """
+    own = tested.select("a", F.col("a").alias("b"), "na", F.col("na").alias("nb"), F.col("na").cast("int").alias("i")).distinct()
+    named = tested.union(own).join(label, F.col("b") == F.col("node"), "left").select("a", "b", "na", "nb", "i", F.coalesce("component", "b").alias("comp"))
+    open_ = named.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.min("nb").alias("least"))
+    return named.join(open_.where("c0 <> c1 and m > 2").select("a", "least"), "a")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near_pivot(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shingles shared with their pivot would do for a link, if all of the lesser share were common.
+
+    One of the two isn't linked to the pivot itself, or both would be in its component.
+    """
+    q, w = percent, 100 + percent
+    fits = F.expr(f"{w} * i >= {q} * (nb + least)")
+    some = rest.where("a <> b").where(fits)
+    far = some.where(~_linked(percent)).withColumn("most", F.expr(f"floor(({w} * i - {q} * nb) / {q})"))
+    top = far.groupBy("a").agg(F.max("most").alias("top"))
+    near = some.join(top, "a").where("nb <= top").select("a", F.col("b").alias("d"), F.col("nb").alias("nd"), F.col("i").alias("j"), F.col("comp").alias("other"))
+    both = far.join(near, "a").where(f"comp <> other and nd <= most and {w} * least(i, j) >= {q} * (nb + nd)")
+    return both.select(
+        F.least("b", "d").alias("a"), F.greatest("b", "d").alias("b"),
+        F.when(F.col("b") < F.col("d"), F.col("nb")).otherwise(F.col("nd")).alias("na"),
+        F.when(F.col("b") < F.col("d"), F.col("nd")).otherwise(F.col("nb")).alias("nb"),
+    ).distinct()
+
+
+def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(key, rep, n_shingles): classes of a pivot by shingles that they have and it lacks, where these aren't one component.
+
+    A class must share a number of such shingles with another to be linked to
+    it; so all but that number less one, the rarest, are keys enough. What only
+    one class has is the rarest, and no key.
+    """
+    q, w = percent, 100 + percent
     one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.where(F.col("n") * 100 >= percent * (F.col("sum") - F.col("n"))).select("a", "b")
+    need = F.expr(f"greatest(1, cast(ceil({q} * (nb + least) / {w}) as int) - i)")
+    more = rest.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "nb", "comp", (F.col("nb") - F.col("i") - need + 1).cast("int").alias("most"), F.array_except("y", "x").alias("s"))
+    single = more.where("most > 0").select("a", "b", "nb", "comp", "most", F.explode("s").alias("s"))
+    often = single.select("b", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = single.join(often, "s", "left").select("a", "b", "nb", "comp", "most", "s", F.coalesce("f", F.lit(1)).alias("f"))
+    listed = shared.groupBy("a", "b", "nb", "comp", "most").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
+    chosen = listed.select("a", "b", "nb", "comp", F.explode(F.slice("x", F.lit(1), F.col("most"))).alias("e")).where("e.f > 1")
+    keyed = chosen.select(F.xxhash64("a", "e.s", F.lit(turn)).alias("key"), "b", "nb", "comp")
+    members = [F.bit_xor(F.xxhash64("b", F.lit(j))).alias(f"m{j}") for j in (0, 1)]
+    mixed = keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), *members).where("c0 <> c1")
+    once = mixed.groupBy("m", "m0", "m1").agg(F.min("key").alias("key")).select("key")  # keys of the same classes do the same work
+    return keyed.join(once, "key").select("key", F.col("b").alias("rep"), F.col("nb").alias("n_shingles"), "comp")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from lodestone.llm import near_dedup
 from lodestone.llm.near_dedup import near_duplicates
 
 
@@ -36,15 +39,18 @@ def changed(words, n, r, vocabulary):
     return out
 
 
-def test_variants_against_brute_force(frame):
+@pytest.mark.parametrize(("direct", "classes"), [(64, 7), (0, 1024)])  # in blocks; by rounds alone
+def test_variants_against_brute_force(frame, monkeypatch, direct, classes):
+    monkeypatch.setattr(near_dedup, "DIRECT", direct)
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", classes)
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [r.choice(vocabulary) for _ in range(120)]
     rows = [(1, " ".join(base))]
-    for i in range(50):  # many of these link to each other only through shared changes, or not at all
+    for i in range(36):  # many of these link to each other only through shared changes, or not at all
         rows.append((2 + i, " ".join(changed(base, r.randrange(1, 14), r, vocabulary))))
     second = changed(base, 9, r, vocabulary)
-    for i in range(16):
+    for i in range(12):
         rows.append((200 + i, " ".join(changed(second, r.randrange(0, 5), r, vocabulary)[: r.choice((120, 110, 100))])))
     rows += [(300 + i, " ".join(r.choice(vocabulary) for _ in range(60))) for i in range(10)]
     rows += [(400, None), (401, ""), (402, " \n "), (403, "a b"), (404, "A  b"), (405, "a b c"), (406, rows[3][1].upper())]
