@@ -7,7 +7,8 @@
    are repeated, and one of them stands for the rest.
 3. Of keys with several classes, each class's windows are digested in blocks
    of neighbours: a block equal as a whole is repeated, one whose common middle
-   is unique is not, and only the windows of other blocks are compared singly.
+   is unique is not. Only the windows of other blocks, and of those with the
+   same middle, are hashed in one more scan and compared singly.
 4. Spans of repeated windows go back to their documents.
 
 All counting is by grouped sums of digests with map-side partial sums, so a
@@ -28,7 +29,8 @@ from lodestone.llm._common import BYTE_CODE, CHUNK_BYTES, Chunk, Rolling, Scratc
 from lodestone.llm.anchors import minimum_anchors, recompression_anchors, runs
 
 ANCHORS = "k long, key long, u long, a int, s0 int, s1 int"
-BLOCKS = "key long, u long, single boolean, t int, size int, core long, whole long, hashes array<long>"
+BLOCKS = "key long, u long, single boolean, t int, size int, core long, whole long"
+HASHED = "key long, u long, single boolean, t int, hashes array<long>"
 
 
 class Sequences:
@@ -125,8 +127,8 @@ def _anchor_rows(sequences: Callable, anchors: Callable, width: int, keys_only:
     return run
 
 
-def _block_rows(sequences: Callable, width: int, block: int):
-    """(k, text, spans) -> blocks of at most ``block`` windows at equal distances from their anchor."""
+def _block_rows(sequences: Callable, width: int, block: int, hashed: bool):
+    """(text, spans) -> blocks of at most ``block`` windows at equal distances from their anchor: their digests, or each window's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,16 +149,20 @@ def _block_rows(sequences: Callable, width: int, block: int):
                 b = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
                 w0, w1 = np.maximum(s0[i], a[i] + b * block), np.minimum(s1[i], a[i] + b * block + block - 1)
                 at = begin[i]
+                size = w1 - w0 + 1
+                same = [get("key")[i], get("u")[i], get("single").astype(bool)[i], (w0 - a[i]).astype(np.int32)]
+                if hashed:
+                    j = np.repeat(np.arange(len(i)), size)
+                    w = at[j] + w0[j] + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
+                    hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(s.digest(w, w + width))))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, same), hashes], names=["key", "u", "single", "t", "hashes"])
+                    continue
                 whole = s.digest(at + w0, at + w1 + width)
                 core0, core1 = a[i] + b * block + block - 1, a[i] + b * block + width
                 inside = (core0 <= s1[i] + width) & (core1 <= s.size[doc][i])
                 core = s.digest(at + np.where(inside, core0, w1), at + np.where(inside, core1, w0 + width))
-                size = w1 - w0 + 1
-                j = np.repeat(np.arange(len(i)), size)
-                w = at[j] + w0[j] + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(s.digest(w, w + width))))
-                columns = [get("key")[i], get("u")[i], get("single").astype(bool)[i], (w0 - a[i]).astype(np.int32), size.astype(np.int32), signed(core), signed(whole)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), hashes], names=["key", "u", "single", "t", "size", "core", "whole", "hashes"])
+                columns = [*same, size.astype(np.int32), signed(core), signed(whole)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "u", "single", "t", "size", "core", "whole"])
 
     return run
 
@@ -177,26 +183,36 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
     rest = classes.join(mixed, "key").select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
     rest = scratch.save(rest.groupBy("k").agg(F.collect_list("span").alias("spans")), "rest")
     scratch.free()
-    held = texts.join(rest, "k").select("text", "spans")
-    blocks = scratch.save(held.mapInArrow(_block_rows(sequences, width, block), BLOCKS), "blocks")
+    blocks = texts.join(rest, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, False), BLOCKS)
+    blocks = scratch.save(blocks, "blocks")
     scratch.drop(rest)
 
     by_whole = ["key", "t", "size", "whole"]
-    wholes = blocks.groupBy(by_whole).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_whole)
-    b = F.expr(f"cast(floor(t / {block}) as int)").alias("b")
-    by_core = ["key", "b", "core"]
-    cores = blocks.select("key", b, "core").groupBy(by_core).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_core)
+    wholes = scratch.save(blocks.groupBy(by_whole).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_whole), "wholes")
+    places = classes.select("key", "u", "at.k", "at.a")
     equal = blocks.where("single").join(wholes, by_whole, "left_semi").select("key", "u", "t", (F.col("t") + F.col("size") - 1).alias("t1"))
-    single = (
-        blocks.withColumn("b", b).join(cores, by_core, "left_semi")
-        .select("key", "u", "single", F.posexplode("hashes").alias("i", "h"), "t")
-        .select("key", "u", "single", (F.col("t") + F.col("i")).alias("t"), "h")
-    )
-    windows = single.groupBy("key", "t", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "t", "h")
-    lone = single.where("single").join(windows, ["key", "t", "h"], "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
-    parts = equal.union(lone).join(classes.select("key", "u", "at"), ["key", "u"]).select("at.k", (F.col("at.a") + F.col("t")).alias("s0"), (F.col("at.a") + F.col("t1")).alias("s1"))
-    spans = scratch.save(merged_spans(copies.union(parts)), "spans")
-    scratch.drop(copies, classes, blocks)
+    own = lambda rows: rows.join(places, ["key", "u"]).select("k", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t1")).alias("s1"))
+    found = copies.union(own(equal))
+    done = [copies, classes, blocks, wholes]
+    if block > 1:  # a block of one window is settled as a whole
+        by_core = ["key", "b", "core"]
+        cored = blocks.withColumn("b", F.expr(f"cast(floor(t / {block}) as int)"))
+        twice = cored.groupBy(by_core).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_core)
+        unsettled = cored.where("single").join(wholes, by_whole, "left_anti").select(by_core).distinct().join(twice, by_core)
+        need = cored.join(scratch.save(unsettled, "cores"), by_core, "left_semi").join(places, ["key", "u"])
+        span = F.struct("key", "u", "single", "a", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t") + F.col("size") - 1).alias("s1"))
+        need = scratch.save(need.groupBy("k").agg(F.collect_list(span).alias("spans")), "need")
+        scratch.free()
+        hashed = scratch.save(texts.join(need, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, True), HASHED), "hashed")
+        scratch.drop(need)
+        single = hashed.select("key", "u", "single", F.posexplode("hashes").alias("i", "h"), "t").select("key", "u", "single", (F.col("t") + F.col("i")).alias("t"), "h")
+        windows = scratch.save(single.groupBy("key", "t", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "t", "h"), "windows")
+        scratch.free()
+        lone = single.where("single").join(windows, ["key", "t", "h"], "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
+        found = found.union(own(lone))
+        done += [hashed, windows]
+    spans = scratch.save(merged_spans(found), "spans")
+    scratch.drop(*done)
     return spans
 
 
