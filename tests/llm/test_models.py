@@ -114,3 +114,20 @@ def test_lm_is_a_distribution():
     t = lm_scoring.tokens_of([bytes([b]) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)] + [b""])
     first = t.first[:-1]
     assert (10 ** mixer.log10(t, first)).sum() <= 1 + 1e-6
+
+
+def test_lm_guesses_are_those_of_all_texts():
+    """A continuation that is second in each task, or there once a task, is first over all of them."""
+    import pyarrow as pa
+
+    def task(*after):
+        return list(lm_scoring._followers(iter([pa.RecordBatch.from_pydict({"text": [f"a b {x}" for x in after]})])))
+
+    tasks = [task("x", "x", "x", "m", "m"), task("y", "y", "y", "m", "m"), task("z", "z", "z", "m", "m")] + [task("c d" if i else "e f") for i in range(3)]
+    rows = sorted(((r["block"], r["data"]) for t in tasks for b in t for r in b.to_pylist()), key=lambda x: x[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "data"])
+    best = {r["slot"]: (r["h"], r["n"]) for b in lm_scoring._best_guesses(iter([batch])) for r in b.to_pylist()}
+    slot, name = lm_scoring.guess_keys(lm_scoring.tokens_of([b"a b m", b"b c d"]))
+    assert best[slot[2]] == (name[2], 6)
+    slot, name = lm_scoring.guess_keys(lm_scoring.tokens_of([b"a b c d"]))
+    assert best[slot[3]] == (name[3], 2)
