@@ -131,3 +131,26 @@ def test_lm_guesses_are_those_of_all_texts():
     assert best[slot[2]] == (name[2], 6)
     slot, name = lm_scoring.guess_keys(lm_scoring.tokens_of([b"a b c d"]))
     assert best[slot[3]] == (name[3], 2)
+
+
+def test_lm_contexts_reach_into_the_token_before(spark):
+    """The same token after another last byte is another pair, with bits in other slots, and its spelling is learned by it."""
+    t = lm_scoring.tokens_of([b"a x", b"b x", b"a x"])
+    rows, back = lm_scoring.distinct(t)
+    assert len(rows) == 5 and back[1] == back[7] != back[4]  # a, b, x after a, x after b, and the end
+    code = lm_scoring.huffman(np.arange(256))
+    bits = [lm_scoring.bits_of(t, np.array([i]), code).slots for i in (1, 4)]
+    assert [bool((x != y).any()) for x, y in zip(*bits, strict=True)] == [False, True, True, True, False]
+    r = random.Random(3)
+    begin = {"q": "zu", "w": "ko"}
+    word = lambda last, inside: "".join(r.choice("aeiou") for _ in range(3)) + inside + last
+
+    def text():
+        out, last = [], "q"
+        for _ in range(60):
+            last, out = (now := r.choice("qw")), [*out, begin[last] + word(now, "m")]
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(300)] + [(1000, "aaamq zuxxxmq"), (1001, "aaamq koxxxmq")]
+    by = {x.doc_id: x.score for x in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), held_out="doc_id >= 1000").collect()}
+    assert by[1000] > by[1001] + 0.5
