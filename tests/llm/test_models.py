@@ -154,3 +154,20 @@ def test_lm_contexts_reach_into_the_token_before(spark):
     rows = [(i, text()) for i in range(300)] + [(1000, "aaamq zuxxxmq"), (1001, "aaamq koxxxmq")]
     by = {x.doc_id: x.score for x in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), held_out="doc_id >= 1000").collect()}
     assert by[1000] > by[1001] + 0.5
+
+
+def test_lm_is_fitted_on_all_training_texts(spark, monkeypatch):
+    """A sample of one text of one word only starts the fit: guesses and weights come from all texts."""
+    r = random.Random(5)
+    follow = {w: r.sample(["red", "green", "blue", "grey", "pink", "black"], 2) for w in ("the", "a", "his", "her")}
+    phrase = lambda: " ".join(f"{w} very {r.choice(follow[w])}{r.randrange(300)} {w} is" for w in r.choices(sorted(follow), k=8))
+    rows = [(i, phrase()) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def held(docs, chars):
+        monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", docs)
+        monkeypatch.setattr(lm_scoring, "SAMPLE_CHARS", chars)
+        return sum(x.score for x in lm_scoring.score_texts(df).collect() if x.held_out)
+
+    whole, start = held(2_000, 3_000), held(1, 3)
+    assert abs(start - whole) < 0.02 * abs(whole), (start, whole)
