@@ -25,8 +25,8 @@ from lodestone.llm._common import BYTE_CODE, LOWER, Rolling, chunk_ranges, texts
 
 #: Hash classes of terms, and factors of each.
 TERMS, FACTORS = 1 << 16, 4
-#: Labelled documents in the training sample at most, and terms of each (those of the least hash).
-SAMPLE_DOCS, SAMPLE_TERMS = 16_384, 4_096
+#: Labelled documents in the training sample at most; each goes with all its terms.
+SAMPLE_DOCS = 16_384
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.4, 5
 #: Shrinkage of weights and factors towards 0 at each of their steps.
 SHRINK_W, SHRINK_V = 1e-3, 2e-3
@@ -35,8 +35,8 @@ THRESHOLD = 0.3
 POSITIVE = 3.0
 #: A term counts in full from this many standard deviations between its label rate and the common one, and never less than the second.
 Z_FULL, Z_LEAST = 8.0, 0.02
-#: Terms in fewer than this share of the sample's texts (and in a single one) take no part: they would learn texts by heart.
-RARE = 1e-3
+#: Terms in fewer of the sample's texts take no part: they would learn texts by heart.
+LEAST_TEXTS = 2
 
 #: Bytes that stand in terms: letters, digits and what non-ASCII letters are made of.
 _IN_TERM = np.zeros(256, dtype=bool)
@@ -90,7 +90,7 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int = TERMS,
     """Fits a machine to the (text, term) pairs, sorted by text, and the texts' labels (0 or 1)."""
     rng = np.random.default_rng(seed)
     rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    common = np.bincount(term, minlength=terms) >= max(2, RARE * len(y))
+    common = np.bincount(term, minlength=terms) >= LEAST_TEXTS
     doc, term = doc[common[term]], term[common[term]]
     scale = _scale(doc, term, y, terms)
     fm = Machine(float(np.log(rate / (1 - rate))), np.zeros(terms), rng.standard_normal((terms, factors)) * 0.01 * common[:, None])
@@ -122,16 +122,14 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int = TERMS,
     return Machine(fm.w0, fm.w * scale, fm.v * scale[:, None])
 
 
-def _terms_of(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch)
-            for lo, hi in chunk_ranges(texts):
-                doc, term = term_sets(texts[lo:hi])
-                found = [x[:limit].tolist() for x in np.split(term, np.searchsorted(doc, np.arange(1, hi - lo)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(found, pa.list_(pa.int32()))], names=["h", "y", "terms"])
-
-    return run
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = texts_of(batch)
+        for lo, hi in chunk_ranges(texts):
+            doc, term = term_sets(texts[lo:hi])
+            edge = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(edge), pa.array(term.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), found], names=["h", "y", "terms"])
 
 
 def fitted(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> Machine:
@@ -141,10 +139,10 @@ def fitted(labelled: DataFrame, sample: int = SAMPLE_DOCS) -> Machine:
     if total > 2 * sample:  # a share by hash, so that few texts go on; the limit makes it exact
         low, high = -(1 << 63), (1 << 63) - 1
         rows = rows.where(F.col("h") < F.lit(min(high, low + int(2.0**64 * 1.3 * sample / total))))
-    found = rows.mapInArrow(_terms_of(SAMPLE_TERMS), "h long, y int, terms array<int>").orderBy("h", "y").limit(sample).collect()
-    doc = np.repeat(np.arange(len(found)), [len(r["terms"]) for r in found]).astype(np.int64)
-    term = np.concatenate([np.array(r["terms"], dtype=np.int64) for r in found]) if found else np.zeros(0, np.int64)
-    return train(doc, term, np.array([r["y"] for r in found], dtype=np.float64))
+    found = rows.mapInArrow(_terms_of, "h long, y int, terms array<int>").orderBy("h", "y").limit(sample).toArrow()
+    sets = found.column("terms").combine_chunks()
+    doc = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return train(doc, sets.flatten().to_numpy().astype(np.int64), found.column("y").to_numpy().astype(np.float64))
 
 
 def _score(fm: Machine, threshold: float):

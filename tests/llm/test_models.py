@@ -171,3 +171,28 @@ def test_lm_is_fitted_on_all_training_texts(spark, monkeypatch):
 
     whole, start = held(2_000, 3_000), held(1, 3)
     assert abs(start - whole) < 0.02 * abs(whole), (start, whole)
+
+
+def test_rare_insults_and_long_texts_are_learned():
+    """A term in three of 4,000 texts, all toxic, counts; and a long text goes with all its terms."""
+    import pyarrow as pa
+
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    insults = [f"insult{i}" for i in range(130)]
+    bad = [x for x in insults for _ in range(3)]
+    texts = [" ".join(r.choices(words, k=20)) for _ in range(4000)]
+    at = r.sample(range(4000), len(bad))
+    for i, x in zip(at, bad, strict=True):
+        texts[i] += " " + x
+    y = np.zeros(4000)
+    y[at] = 1
+    doc, term = toxicity.term_sets([t.encode() for t in texts])
+    fm = toxicity.train(doc, term, y)
+    clean = [" ".join(r.choices(words, k=20)) for _ in insults]
+    odds = lambda x: fm.scores(*toxicity.term_sets([t.encode() for t in x]), len(x))
+    assert (odds([f"{t} {x}" for t, x in zip(clean, insults, strict=True)]) > odds(clean) + 1).mean() > 0.95
+    long = " ".join(f"t{i}" for i in range(9000))
+    batch = pa.RecordBatch.from_pydict({"h": [1, 2, 3], "y": [0, 1, 0], "text": [long, "", "a b"]})
+    (got,) = toxicity._terms_of(iter([batch]))
+    assert list(map(len, got.column(2).to_pylist())) == [len(toxicity.term_sets([long.encode()])[0]), 0, 2] and len(got.column(2)[0]) > 8000
