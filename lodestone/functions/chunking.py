@@ -87,3 +87,31 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, by_section: bo
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=re.findall(r"(\w+) \w+", CHUNKS))
+
+
+def results(docs: DataFrame, size: int = 1000, overlap: int = 200, by_section: bool = False, most: int = 200_000) -> DataFrame:
+    """One row a document (doc_id, text): doc_id, n_chunks, total_characters, error.
+
+    A text that can't be processed (null, or of more than ``most`` characters)
+    has no chunks and an error, and is a result like any other.
+    """
+    length = F.char_length("text")
+    error = F.when(F.col("text").isNull(), "no text").when(length > most, F.concat(F.lit("more than "), F.lit(str(most)), F.lit(" characters")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", error.alias("error"))
+    each = chunks(rows.where("error is null").select("doc_id", "text"), size, overlap, by_section).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    total = F.when(F.col("error").isNull(), length).otherwise(0).cast("long").alias("total_characters")
+    return rows.select("doc_id", total, "error").join(each, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chunks"), "total_characters", "error")
+
+
+def fetched(docs: DataFrame, pieces: DataFrame, offset: int = 0, most: int = 100_000, page: int = 5) -> DataFrame:
+    """(id, mode, content, returned) of docs (id, text): the whole text up to ``most`` characters, else ``page`` chunks from
+    ``offset`` on, between rules. pieces: document_id, chunk_index, content."""
+    some = pieces.where(F.col("chunk_index").between(offset, offset + page - 1)).groupBy("document_id")
+    some = some.agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("x"))  # a page's chunks a document
+    long = F.char_length("text") > most
+    joined = docs.join(some, F.col("id") == F.col("document_id"), "left")
+    return joined.select(
+        "id", F.when(long, "chunks").otherwise("full").alias("mode"),
+        F.when(long, F.coalesce(F.array_join("x.content", "\n\n---\n\n"), F.lit(""))).otherwise(F.col("text")).alias("content"),
+        F.when(long, F.coalesce(F.size("x"), F.lit(0))).otherwise(1).alias("returned"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of files that have a text processor, by extension (fixed values).
 PROCESSORS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "txt": "text", "md": "text"}
+MIME_PROCESSORS = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/msword": "docx", "text/plain": "text"}
 
 
 def safe_label(c: Column) -> Column:
@@ -67,10 +68,11 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"\.([^./]+)$", 1))
 
 
-def processor(c: Column) -> Column:
-    """Name of the processor for a file name, or null."""
-    known = F.create_map(*[F.lit(x) for pair in PROCESSORS.items() for x in pair])
-    return F.element_at(known, extension(c))
+def processor(c: Column, mime: Column | None = None) -> Column:
+    """Name of the processor: that of the MIME type if it is known, else that of the file name's extension; or null."""
+    of = lambda known, x: F.element_at(F.create_map(*[F.lit(y) for pair in known.items() for y in pair]), x)
+    by_name = of(PROCESSORS, extension(c))
+    return by_name if mime is None else F.coalesce(of(MIME_PROCESSORS, F.lower(mime)), by_name)
 
 
 def human_size(c: Column) -> Column:
@@ -78,7 +80,7 @@ def human_size(c: Column) -> Column:
     value, unit = c.cast("double"), F.lit("B")
     power = F.least(F.floor(F.log2(F.greatest(value, F.lit(1.0))) / 10), F.lit(4))
     unit = F.get(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power.cast("int"))
-    return F.concat(F.format_string("%.1f", value / F.pow(F.lit(1024.0), power)), F.lit(" "), unit)
+    return F.concat(F.format_string("%.1f", F.bround(value / F.pow(F.lit(1024.0), power), 1)), F.lit(" "), unit)
 
 
 def bumped_patch(version: Column) -> Column:
@@ -96,3 +98,39 @@ def salvaged_json(c: Column) -> Column:
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     tries = [F.trim(c), F.trim(fence), braces]
     return F.coalesce(*[F.when((t != "") & F.try_parse_json(t).isNotNull(), t) for t in tries])
+
+
+def shortened_to(c: Column, most: int) -> Column:
+    """The first ``most`` characters: of errors (500, 300, 200) and titles (80)."""
+    return F.substring(c, 1, most)
+
+
+def token_format(c: Column) -> Column:
+    """1234 as 1.2K, 3400000 as 3.4M, less than 1000 as it is."""
+    n = c.cast("double")
+    return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("K"))).otherwise(c.cast("string"))
+
+
+def drive_url(source: Column, metadata: Column) -> Column:
+    """Where a drive's file can be viewed, by the id in its document's metadata; null for other sources."""
+    file_id = F.get_json_object(metadata, "$.drive_file_id")
+    return F.when((source == "google_drive") & (file_id != ""), F.concat(F.lit("https://drive.google.com/file/d/"), file_id, F.lit("/view")))
+
+
+def expiry(at: Column, days: int = 7) -> Column:
+    return at.cast("timestamp") + F.make_dt_interval(days=F.lit(days))
+
+
+def kept_key(new: Column, old: Column) -> Column:
+    """A key's new value: null clears it, an empty text keeps the old one."""
+    return F.when(new == "", old).otherwise(new)
+
+
+def zoom_tier(zoom: Column) -> Column:
+    """Tier of a cluster view at a zoom: 1 below 0.4, 2 below 1.2, else 3."""
+    return F.when(zoom < 0.4, 1).when(zoom < 1.2, 2).otherwise(3)
+
+
+def attached(name: Column, content: Column) -> Column:
+    """A file's text as it stands in a prompt."""
+    return F.concat(F.lit("[Attached: "), name, F.lit("]\n<file_content>\n"), content, F.lit("\n</file_content>"))

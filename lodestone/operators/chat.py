@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import snippet
+from lodestone.functions.text import attached, drive_url, snippet
 
-CITATIONS = "array<struct<document_id:string,document_name:string,entity_id:string,entity_name:string,entity_type:string,entity_description:string,content:string,similarity:double,score:double,relevance_score:double>>"
+IMAGES = ["image/png", "image/jpeg", "image/gif", "image/webp"]
 
+CITATION = "struct<document_id:string,document_name:string,entity_id:string,entity_name:string,entity_type:string,entity_description:string,content:string,similarity:double,score:double,relevance_score:double>"
 
-def conversation_list(messages: DataFrame, user_id: int | None = None, limit: int = 50) -> DataFrame:
-    """Newest conversations with their number of messages."""
-    rows = messages if user_id is None else messages.where(F.col("user_id") == user_id)
-    each = rows.groupBy("conversation_id").agg(F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("messages"))
-    return each.orderBy(F.desc("created_at"), "conversation_id").limit(limit)
+
+def conversation_list(conversations: DataFrame, messages: DataFrame, user_id: int | None = None, limit: int = 50) -> DataFrame:
+    """Newest conversations with their number of messages, 0 for those without any."""
+    rows = conversations if user_id is None else conversations.where(F.col("user_id") == user_id)
+    each = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
+    newest = rows.orderBy(F.desc("created_at"), "conversation_id").limit(limit)
+    return newest.join(each, "conversation_id", "left").select("conversation_id", "created_at", F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
 def first_messages(messages: DataFrame, conversation_id: int, n: int = 100) -> DataFrame:
@@ -41,17 +44,21 @@ def usage_by_model(calls: DataFrame) -> DataFrame:
 
 
 def citations(results: DataFrame) -> DataFrame:
-    """Citations in tool results (call_id, result: JSON of one or a list): those with content, scored by the first measure there is.
+    """Citations in tool results (call_id, result: JSON of one or a list): those with content, scored by the first measure that is there, null or not.
+    What isn't an object is skipped.
 
     An entity without content cites its name, type and description.
     """
     text = F.when(F.ltrim("result").startswith("["), F.col("result")).otherwise(F.concat(F.lit("["), "result", F.lit("]")))
-    items = results.select("call_id", F.posexplode(F.from_json(text, CITATIONS)).alias("ordinal", "c"))
+    raw = results.select("call_id", F.posexplode(F.from_json(text, "array<string>")).alias("ordinal", "raw"))
+    items = raw.select("call_id", "ordinal", F.from_json("raw", CITATION).alias("c"), F.json_object_keys("raw").alias("keys")).where("keys is not null")
     entity = F.concat("c.entity_name", F.lit(" ("), F.coalesce("c.entity_type", F.lit("")), F.lit("): "), F.coalesce("c.entity_description", F.lit("")))
     content = F.when(F.coalesce("c.content", F.lit("")) != "", F.col("c.content")).otherwise(entity)
+    score = F.when(F.array_contains("keys", "similarity"), F.col("c.similarity")).when(F.array_contains("keys", "score"), F.col("c.score"))
+    score = score.when(F.array_contains("keys", "relevance_score"), F.col("c.relevance_score")).otherwise(0.0)
     rows = items.select(
         "call_id", "ordinal", "c.document_id", "c.document_name", "c.entity_id", "c.entity_name",
-        snippet(content).alias("snippet"), F.coalesce("c.similarity", "c.score", "c.relevance_score", F.lit(0.0)).alias("score"),
+        snippet(content).alias("snippet"), score.alias("score"),
     )
     return rows.where("snippet is not null and snippet <> ''")
 
@@ -64,8 +71,8 @@ def first_citations(cited: DataFrame) -> DataFrame:
 
 
 def enriched(cited: DataFrame, documents: DataFrame) -> DataFrame:
-    """Citations with their document's file name; an entity's name where there is no document."""
-    names = documents.select(F.col("id").alias("document_id"), "filename")
+    """Citations with ``title``, their document's file name or an entity's name where there is no document, and ``url``."""
+    names = documents.select(F.col("id").alias("document_id"), "filename", drive_url(F.col("source"), F.col("metadata")).alias("url"))
     return cited.join(names, "document_id", "left").withColumn("title", F.coalesce("filename", "document_name", "entity_name")).drop("filename")
 
 
@@ -74,3 +81,83 @@ def transcript(messages: DataFrame) -> DataFrame:
     who = F.when(F.col("role") == "user", "User: ").otherwise("Assistant: ")
     each = messages.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(who, "content").alias("line")))).alias("x"))
     return each.select("conversation_id", F.array_join("x.line", "\n\n").alias("prompt"))
+
+
+def artifacts_of(artifacts: DataFrame, conversations: DataFrame, conversation_id: int, user_id: int) -> DataFrame:
+    """A conversation's artifacts, oldest first, if it is the user's."""
+    own = conversations.where((F.col("conversation_id") == conversation_id) & (F.col("user_id") == user_id)).select("conversation_id")
+    return artifacts.join(F.broadcast(own.limit(1)), "conversation_id", "left_semi").orderBy("created_at", "artifact_id")
+
+
+def linked_users(users: DataFrame, accounts: DataFrame, provider: str) -> DataFrame:
+    """Users with their account at a provider: user_id, email, provider_user_id."""
+    own = accounts.where(F.col("provider") == provider).select("user_id", "provider_user_id")
+    return users.join(own, "user_id").select("user_id", "email", "provider_user_id")
+
+
+def missing(wanted: DataFrame, owned: DataFrame) -> DataFrame:
+    """wanted (id) that aren't among owned (id)."""
+    return wanted.select("id").distinct().join(owned.select("id"), "id", "left_anti")
+
+
+def required(wanted: DataFrame, owned: DataFrame) -> DataFrame:
+    """The owned rows that are wanted; LookupError that lists the first missing ids, if there are any."""
+    lost = [str(r["id"]) for r in missing(wanted, owned).orderBy("id").limit(20).collect()]
+    if lost:
+        raise LookupError(", ".join(lost))
+    return owned.join(wanted.select("id").distinct(), "id", "left_semi")
+
+
+def attachment_context(files: DataFrame) -> DataFrame:
+    """(message_id, context, images) of files (message_id, seq, file_name, mime, content: bytes): texts as they stand in a prompt,
+    joined by blank lines, and images as data URLs; other types are left out."""
+    image = F.col("mime").isin(IMAGES)
+    text = F.when(F.col("mime") == "text/plain", attached(F.col("file_name"), F.decode(F.col("content"), "utf-8")))
+    url = F.when(image, F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", "")))
+    each = files.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("seq", text.alias("t"), url.alias("u")))).alias("x"))
+    there = lambda name: F.filter(F.col(f"x.{name}"), lambda v: v.isNotNull())
+    return each.select("message_id", F.array_join(there("t"), "\n\n").alias("context"), there("u").alias("images"))
+
+
+def interleaved(thoughts: DataFrame, tools: DataFrame) -> DataFrame:
+    """(message_id, place, kind, content) from both (message_id, i, content): the i-th thought before the i-th tool call, what is left over at the end."""
+    of = lambda df, kind, o: df.select("message_id", "i", F.lit(o).alias("o"), F.lit(kind).alias("kind"), "content")
+    both = of(thoughts, "thinking", 0).union(of(tools, "tool_call", 1))
+    order = Window.partitionBy("message_id").orderBy("i", "o")
+    return both.withColumn("place", F.row_number().over(order) - 1).select("message_id", "place", "kind", "content")
+
+
+def assembled_steps(events: DataFrame) -> DataFrame:
+    """(run_id, seq, kind, name, content, status, summary): the steps that a run's events (run_id, seq, event, name, content, failed) make.
+
+    A tool's result ends the latest call of its name that still runs, and one
+    that none waits for is ignored: calls and results nest like brackets, so
+    a call's result is the next event on its level. The level is the number of
+    open calls, a running sum that no result takes below 0.
+    """
+    named = Window.partitionBy("run_id", "name").orderBy("seq")
+    tools = events.where("event in ('tool_start', 'tool_result')").withColumn("d", F.when(F.col("event") == "tool_start", 1).otherwise(-1))
+    summed = tools.withColumn("s", F.sum("d").over(named))
+    level = F.col("s") - F.least(F.lit(0), F.min("s").over(named))  # after the event
+    # a result without a call leaves the level at 0, as it was
+    before = F.coalesce(F.lag("level").over(named), F.lit(0))
+    leveled = summed.withColumn("level", level).withColumn("own", F.when(F.col("d") == 1, F.col("level")).otherwise(before))
+    on = Window.partitionBy("run_id", "name", "own").orderBy("seq")
+    after = lambda c: F.lead(c).over(on)
+    done = leveled.where("own > 0").select(
+        "run_id", "seq", F.lit("tool_call").alias("kind"), "name", F.lit(None).cast("string").alias("content"),
+        F.when(after("event").isNull(), "running").when(after("failed"), "error").otherwise("done").alias("status"), after("content").alias("summary"), "event",
+    )
+    spoken = events.where("event in ('thinking', 'narration_end')").select(
+        "run_id", "seq", F.when(F.col("event") == "thinking", "thinking").otherwise("narration").alias("kind"), F.lit(None).cast("string"), "content",
+        F.lit(None).cast("string"), F.lit(None).cast("string"),
+    )
+    return done.where("event = 'tool_start'").drop("event").union(spoken)
+
+
+def answers(events: DataFrame) -> DataFrame:
+    """(run_id, answer): the tokens after a run's last narration."""
+    cut = F.max(F.when(F.col("event") == "narration_end", F.col("seq")))
+    token = F.when(F.col("event") == "token", F.struct("seq", "content"))
+    each = events.groupBy("run_id").agg(F.coalesce(cut, F.lit(-1)).alias("cut"), F.sort_array(F.collect_list(token)).alias("x"))
+    return each.select("run_id", F.array_join(F.transform(F.filter("x", lambda t: t.seq > F.col("cut")), lambda t: t.content), "").alias("answer"))

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import saved
 
-def ancestry(tree: DataFrame, most: int = 16) -> DataFrame:
-    """(id, root, depth) of clusters; those whose chain ends at a missing parent are left out.
 
-    A join a level; ``most`` bounds the levels, and with them cycles.
+def ancestry(tree: DataFrame) -> DataFrame:
+    """(id, root, second, depth) of clusters; those whose chain doesn't end at a root, a missing parent or a cycle, are left out.
+
+    second: the cluster below the root on the way, null for roots. A level is a
+    join with the one before, which is written; cycles never meet a root, so the
+    levels end where the tree does, however deep it is.
     """
-    front = tree.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    seen = front
-    for depth in range(1, most):
-        front = tree.join(front.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(depth).alias("depth"))
-        if front.isEmpty():
-            break
+    none = F.lit(None).cast(tree.schema["id"].dataType)
+    front = tree.where("parent_id is null").select("id", F.col("id").alias("root"), none.alias("second"), F.lit(0).alias("depth"))
+    front = seen = saved(front, "level")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        above = front.select(F.col("id").alias("parent_id"), "root", "second")
+        below = tree.select("id", "parent_id").join(above, "parent_id")
+        front = saved(below.select("id", "root", F.coalesce("second", "id").alias("second"), F.lit(depth).alias("depth")), "level")
         seen = seen.union(front)
     return seen
 
@@ -27,18 +34,9 @@ def node_clusters(tree: DataFrame, members: DataFrame, tier: int) -> DataFrame:
         raise ValueError("tier must be 1, 2 or 3")
     if tier == 3:
         return members.select("node_id", "cluster_id")
-    up = ancestry(tree)
-    if tier == 1:
-        to = up.select("id", F.col("root").alias("to"))
-    else:
-        chain = up.where("depth <= 1").select("id", F.col("id").alias("to"))
-        deeper = up.where("depth > 1")
-        to = front = chain
-        while not deeper.isEmpty():  # a child below the second level takes its parent's
-            step = deeper.join(tree, "id").join(front.select(F.col("id").alias("parent_id"), "to"), "parent_id").select("id", "to")
-            to, front = to.union(step), step
-            deeper = deeper.join(step, "id", "left_anti")
-    return members.join(to, F.col("cluster_id") == F.col("id")).select("node_id", F.col("to").alias("cluster_id"))
+    to = F.col("root") if tier == 1 else F.coalesce("second", "root")
+    up = ancestry(tree).select(F.col("id").alias("cluster_id"), to.alias("to"))
+    return members.join(up, "cluster_id").select("node_id", F.col("to").alias("cluster_id"))
 
 
 def cluster_nodes(tree: DataFrame, placed: DataFrame) -> DataFrame:
@@ -48,9 +46,10 @@ def cluster_nodes(tree: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def dominant_type(placed: DataFrame, types: DataFrame) -> DataFrame:
-    """(cluster_id, entity_type, n): each cluster's most frequent type of node, the smaller name at a tie."""
-    counts = placed.join(types.select(F.col("id").alias("node_id"), "entity_type"), "node_id").groupBy("cluster_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("cluster_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "entity_type")).alias("x"))
+    """(cluster_id, entity_type, n): each cluster's most frequent type of node; at a tie the one whose first node, by id, comes first."""
+    kinds = placed.join(types.select(F.col("id").alias("node_id"), "entity_type"), "node_id")
+    counts = kinds.groupBy("cluster_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"))
+    top = counts.groupBy("cluster_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "first", "entity_type")).alias("x"))
     return top.select("cluster_id", F.col("x.entity_type").alias("entity_type"), (-F.col("x.m")).alias("n"))
 
 
@@ -60,3 +59,13 @@ def cluster_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
     moved = edges.join(to("source"), "source", "left").join(to("target"), "target", "left")
     moved = moved.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"), "relationship_type", "weight")
     return moved.where("source <> target").groupBy("source", "target", "relationship_type").agg(F.sum("weight").alias("weight"))
+
+
+def tier_view(tree: DataFrame, members: DataFrame, entities: DataFrame, edges: DataFrame, tier: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a tier: clusters with label, dominant type and size, entities in no cluster as themselves, and the edges between."""
+    placed = saved(node_clusters(tree, members, tier), "placed")
+    kinds = dominant_type(placed, entities).select(F.col("cluster_id").alias("id"), "entity_type")
+    grouped = cluster_nodes(tree, placed).join(kinds, "id", "left").select("id", "label", "entity_type", "size")
+    alone = entities.join(placed.select(F.col("node_id").alias("id")), "id", "left_anti")
+    alone = alone.join(tree.select("id"), "id", "left_anti").select("id", F.col("name").alias("label"), "entity_type", F.lit(1).cast("long").alias("size"))
+    return grouped.union(alone), cluster_edges(edges, placed)

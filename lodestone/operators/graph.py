@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import saved
+
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (id)."""
@@ -15,14 +17,20 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: str, depth: int, outward: bool) -> DataFrame:
     """(id) at the end of a directed path of 1 to ``depth`` edges from the start; the start only on a cycle.
 
-    A breadth-first step is one join with what the last step found.
+    A breadth-first step is one semi-join of the edges with what the last step
+    found. That is written, so that its size is known (a small one is broadcast)
+    and no step plans the ones before it again.
     """
     a, b = ("source", "target") if outward else ("target", "source")
-    step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
-    front = step.where(F.col("id") == start).select(F.col("next").alias("id")).distinct()
-    seen = front
-    for _ in range(depth - 1):
-        front = front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+    front = edges.where(F.col(a) == start).select(F.col(b).alias("id")).distinct()
+    if depth == 1:
+        return front
+    front = seen = saved(front, "frontier")
+    for hop in range(2, depth + 1):
+        ahead = edges.join(front.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")).distinct()
+        front = ahead.join(seen, "id", "left_anti")
+        if hop < depth:
+            front = saved(front, "frontier")
         seen = seen.union(front)
     return seen
 
@@ -38,6 +46,43 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1, limit: int | None =
     return out.distinct()
 
 
+def neighbourhood(entities: DataFrame, edges: DataFrame, start: str, depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, totals) around a node: itself and its neighbours that are entities, the edges among them, and how many there are.
+
+    A node without neighbours stands alone, without edges (a self-loop makes it its own neighbour).
+    """
+    near = saved(neighbours(edges, start, depth, limit).select("id"), "near")  # 2 * limit rows at most
+    ids = near.union(edges.sparkSession.range(1).select(F.lit(start).alias("id"))).distinct()
+    nodes = entities.join(F.broadcast(ids), "id", "left_semi")
+    some = near.limit(1).select(F.lit(True).alias("some"))  # a row, or none without neighbours
+    among = induced_edges(edges, nodes.select("id")).crossJoin(F.broadcast(some)).select(edges.columns)
+    return nodes, among, counted(nodes, among)
+
+
+def counted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: total_nodes, total_edges."""
+    one = edges.agg(F.count(F.lit(1)).alias("total_edges"))
+    return nodes.agg(F.count(F.lit(1)).alias("total_nodes")).crossJoin(F.broadcast(one))  # one row
+
+
+def relations(found: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """found (id, ...) with ``relations``: the distinct (relation, target, target_type) at each, either way, in order; empty without any."""
+    ids = found.select("id").distinct()
+    out = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("id"), "relationship_type", F.col("target").alias("other"))
+    back = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("id"), "relationship_type", F.col("source").alias("other"))
+    ends = entities.select(F.col("id").alias("other"), F.col("name").alias("target"), F.col("entity_type").alias("target_type"))
+    each = out.union(back).distinct().join(ends, "other").select("id", F.struct(F.col("relationship_type").alias("relation"), "target", "target_type").alias("r"))
+    lists = each.groupBy("id").agg(F.sort_array(F.collect_set("r")).alias("relations"))
+    none = F.array().cast("array<struct<relation:string,target:string,target_type:string>>")
+    return found.join(lists, "id", "left").withColumn("relations", F.coalesce("relations", none))
+
+
+def exported_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with the names and types of both ends, those without one left out; in order of type and source name."""
+    end = lambda e: entities.select(F.col("id").alias(e), F.col("name").alias(f"{e}_name"), F.col("entity_type").alias(f"{e}_type"))
+    return edges.join(end("source"), "source").join(end("target"), "target").orderBy("relationship_type", "source_name", "id")
+
+
 def incident(edges: DataFrame, node: str) -> DataFrame:
     """A node's edges with their direction: id, other, relationship_type, direction. A self-loop stands once, as out."""
     out = edges.where(F.col("source") == node).select("id", F.col("target").alias("other"), "relationship_type", F.lit("out").alias("direction"))
@@ -58,11 +103,13 @@ def stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return by_type.union(by_type.groupBy("kind").agg(F.sum("n").alias("n")).select("kind", F.lit(None).cast("string").alias("type"), "n"))
 
 
-def visualization(entities: DataFrame, edges: DataFrame, types: list[str] | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the first ``limit`` entities by id, of the given types only."""
+def visualization(entities: DataFrame, edges: DataFrame, types: list[str] | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, totals): the first ``limit`` entities by id, of the given types only, the edges among them, and the counts of the whole graph."""
+    if not 1 <= limit <= 5000:
+        raise ValueError("limit must be from 1 to 5000")
     nodes = entities.where(F.col("entity_type").isin(types)) if types else entities
     nodes = nodes.orderBy("id").limit(limit)
-    return nodes, induced_edges(edges, nodes)
+    return nodes, induced_edges(edges, nodes), counted(entities, edges)
 
 
 def contexts(found: DataFrame, edges: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import extension, path_leaf, path_parent
+from lodestone.sources.scratch import saved
+
 #: Types of files that are read, and what entries without content are (fixed values of the source's API).
 FOLDER, SHORTCUT = "application/vnd.google-apps.folder", "application/vnd.google-apps.shortcut"
 READ = [
@@ -14,6 +20,18 @@ READ = [
     "application/vnd.google-apps.spreadsheet",
     "application/vnd.google-apps.presentation",
 ]
+#: Types that a chat can attach, extensions that stand for them, and errors of the source's API that mean a file can't be exported (fixed values).
+ATTACHABLE = [
+    "image/png", "image/jpeg", "image/gif", "image/webp", "text/plain", "application/pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.google-apps.document",
+]
+EXTENSIONS = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "txt": "text/plain", "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+}
+UNEXPORTABLE = ["exportSizeLimitExceeded", "fileNotExportable", "cannotExportFile"]
+#: Stages by how far a file has come.
+PASSED = ["pending", "downloading", "downloaded", "extracting", "extracted", "embedding", "embed_failed", "embedded", "kg_failed", "kg_done"]
 ENDED = ["kg_done", "failed", "skipped", "embed_failed", "kg_failed", "cancelled"]
 RETRIED = ["failed", "pending", "processing"]
 
@@ -59,28 +77,142 @@ def stale_jobs(jobs: DataFrame, as_of: str, minutes: int = 135) -> DataFrame:
 
 
 def folder_rollup(files: DataFrame) -> DataFrame:
-    """(path, depth, total, completed) of every folder, files of folders below included.
+    """(path, depth, place, total, completed) of every folder, files of folders below included; the empty path counts all files.
 
+    place: a folder's number, from 1, among those of its parent, by lower-case name.
     A file is counted for each prefix of its path: depth rows a file, summed in each task first.
     """
     parts = F.split("folder_path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    rows = files.where("folder_path <> ''").select(F.explode(above).alias("path"), (F.col("status") == "completed").cast("long").alias("done"))
-    return rows.groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.sum("done").alias("completed")).withColumn("depth", F.size(F.split("path", "/")) - 1)
+    paths = F.when(F.col("folder_path") != "", F.concat(F.array(F.lit("")), above)).otherwise(F.array(F.lit("")))
+    rows = files.select(F.explode(paths).alias("path"), (F.col("status") == "completed").cast("long").alias("done"))
+    sums = rows.groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.sum("done").alias("completed"))
+    depth = F.when(F.col("path") == "", -1).otherwise(F.size(F.split("path", "/")) - 1)
+    order = Window.partitionBy("depth", path_parent(F.col("path"))).orderBy(F.lower(path_leaf(F.col("path"))), "path")
+    return sums.withColumn("depth", depth).withColumn("place", F.row_number().over(order))
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """Entries (id, parent_id, name, mime, target_id, target_mime, trashed) as a folder's listing shows them: id, parent_id, name, mime.
+
+    Trashed ones go, and a shortcut to a folder stands for that folder.
+    """
+    to_folder = (F.col("mime") == SHORTCUT) & (F.col("target_mime") == FOLDER) & F.col("target_id").isNotNull()
+    return entries.where("not coalesce(trashed, false)").select(
+        F.when(to_folder, F.col("target_id")).otherwise(F.col("id")).alias("id"), "parent_id", "name", F.when(to_folder, FOLDER).otherwise(F.col("mime")).alias("mime")
+    )
+
+
+def folders_first(entries: DataFrame) -> DataFrame:
+    """Entries in the order in which a browser shows them."""
+    return entries.orderBy(F.col("mime") != FOLDER, "name", "id")
+
 
+def browsable(entries: DataFrame) -> DataFrame:
+    """Folders, and files that a chat can attach."""
+    return entries.where((F.col("mime") == FOLDER) | F.col("mime").isin(ATTACHABLE))
 
-def walk(entries: DataFrame, roots: list[str], most: int = 32) -> DataFrame:
-    """(id, path) of the readable files under the root folders; entries: id, parent_id, name, mime. Breadth first, a join a level."""
-    front = entries.where(F.col("id").isin(roots)).select("id", F.col("name").alias("path"))
+
+def walk(entries: DataFrame, roots: list[str]) -> DataFrame:
+    """(id, path) of the readable files under the root folders; entries: id, parent_id, name, mime.
+
+    Breadth first, a join a level, until no folder is new. A folder reached
+    again, through a shortcut, isn't entered again; of several ways to one on the
+    same level the smaller path counts. Levels are written, so that none is planned twice.
+    """
+    front = folders = saved(entries.where(F.col("id").isin(roots)).groupBy("id").agg(F.min("name").alias("path")), "folders")
     kept = None
-    for _ in range(most):
-        below = entries.join(front.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.lit("/"), "name").alias("path"), entry_action(F.col("mime")).alias("action"))
+    while True:
+        below = entries.join(front.select(F.col("id").alias("parent_id"), "path"), "parent_id")
+        below = saved(below.select("id", F.concat("path", F.lit("/"), "name").alias("path"), entry_action(F.col("mime")).alias("action")), "entries")
         files = below.where("action = 'keep'").select("id", "path")
         kept = files if kept is None else kept.union(files)
-        front = below.where("action = 'recurse'").select("id", "path")
+        new = below.where("action = 'recurse'").groupBy("id").agg(F.min("path").alias("path")).join(folders.select("id"), "id", "left_anti")
+        front = saved(new, "folders")
         if front.isEmpty():
-            break
-    return kept
+            return kept
+        folders = folders.union(front)
+
+
+def classified(files: DataFrame, classes: DataFrame) -> DataFrame:
+    """files with their classification (file_id, classification), an empty object where there is none."""
+    named = classes.select(F.col("file_id").alias("id"), "classification").dropDuplicates(["id"])
+    return files.join(named, "id", "left").withColumn("classification", F.coalesce("classification", F.lit("{}")))
+
+
+def failure_stage(error: Column) -> Column:
+    """What becomes of a file whose download failed: skipped if it can't be exported at all, else failed."""
+    return F.when(F.greatest(*(error.contains(e) for e in UNEXPORTABLE)), "skipped").otherwise("failed")
+
+
+def importable(files: DataFrame) -> DataFrame:
+    """files (file_name, ...) that a chat can attach, with the MIME type that their extension gives."""
+    known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
+    return files.withColumn("mime", F.element_at(known, extension(F.col("file_name")))).where(F.col("mime").isin(ATTACHABLE))
+
+
+def available_models(models: DataFrame, keys: DataFrame) -> DataFrame:
+    """models (model, provider, priority, is_default) of the providers with a key (provider, owner), and which of them is picked.
+
+    Picked is the default model of the provider of least priority.
+    """
+    there = models.join(keys.select("provider").distinct(), "provider", "left_semi")
+    best = there.where("is_default").agg(F.min_by("model", F.struct("priority", "model")).alias("best"))
+    return there.crossJoin(F.broadcast(best)).select("model", "provider", F.coalesce(F.col("model") == F.col("best"), F.lit(False)).alias("picked"))  # one row
+
+
+def next_files(files: DataFrame, n: int = 20) -> DataFrame:
+    """The work queue's next n pending files, oldest first."""
+    return files.where("status = 'pending'").orderBy("created_at", "id").limit(n)
+
+
+def running_first(files: DataFrame) -> DataFrame:
+    """Files as a monitor lists them: those in work first, then the newest."""
+    return files.orderBy(F.col("status") != "processing", F.desc("created_at"), "id")
+
+
+def pipeline_counters(files: DataFrame) -> DataFrame:
+    """One row: how many files passed each step, ended early, or were tried again with or without success."""
+    reached = lambda stage: F.count_if(F.col("stage").isin(PASSED[PASSED.index(stage):]))
+    again = F.col("retry_count") > 0
+    return files.agg(
+        reached("downloaded").alias("downloaded"), reached("extracted").alias("extracted"), F.count_if(F.col("stage").isin("embedded", "kg_done", "kg_failed")).alias("embedded"),
+        F.count_if(F.col("stage") == "kg_done").alias("kg_done"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
+        F.count_if(again & (F.col("stage") == "kg_done")).alias("retry_succeeded"), F.count_if(again & (F.col("status") == "failed")).alias("retry_failed"),
+    )
+
+
+def filtered(rows: DataFrame, **equal) -> DataFrame:
+    """rows whose columns equal the given values; what is None isn't asked for."""
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def embed_batches(files: DataFrame, chunks: int = 100, most_files: int = 5) -> DataFrame:
+    """files (job_id, file_id, seq, n_chunks) with the number, from 0, of their job's batch that each goes into, in order of seq.
+
+    A batch closes once it has ``chunks`` chunks or ``most_files`` files. Jobs are
+    sorted, and passed through in Arrow batches with three numbers as state,
+    so that a job of any length needs no memory.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, batch, held, count = None, 0, 0, 0
+        for rows in batches:
+            numbers = []
+            for j, n in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                if j != job:
+                    job, batch, held, count = j, 0, 0, 0
+                numbers.append(batch)
+                held, count = held + (n or 0), count + 1
+                if held >= chunks or count >= most_files:
+                    batch, held, count = batch + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(numbers, pa.int64())], names=["job_id", "file_id", "n_chunks", "batch"])
+
+    rows = files.select(F.col("job_id").cast("string"), F.col("file_id").cast("string"), F.col("seq").cast("long"), F.col("n_chunks").cast("long"))
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "seq", "file_id").mapInArrow(number, "job_id string, file_id string, n_chunks long, batch long")
 
 
 def outcome(embedded: Column, linked: Column) -> Column:
@@ -95,12 +227,6 @@ def retry_plan(files: DataFrame, most: int = 2) -> DataFrame:
     return bad.select("id", how.alias("step"), (F.col("retry_count") + 1).alias("attempt"), F.least(F.pow(F.lit(2), F.col("retry_count")), F.lit(30)).cast("long").alias("wait_seconds"))
 
 
-def reset_for_retry(files: DataFrame, job_id: str) -> DataFrame:
-    """All files, those of the job that can be retried set back to pending."""
-    again = (F.col("job_id") == job_id) & F.col("status").isin(RETRIED)
-    return files.withColumn("status", F.when(again, "pending").otherwise(F.col("status"))).withColumn("stage", F.when(again, "pending").otherwise(F.col("stage")))
-
-
 def file_states(events: DataFrame) -> DataFrame:
     """(file_id, stage, ts, ended) after the newest event of each file; at one time the larger stage name."""
     last = events.groupBy("file_id").agg(F.max(F.struct("ts", "stage")).alias("x"))

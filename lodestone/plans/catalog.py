@@ -1,51 +1,27 @@
-"""All registered queries of the library and their DuckDB counterparts."""
+"""Queries on vectors, entities, graphs, documents, files and chats, with their DuckDB counterparts; importing it registers all others too."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunking, text
+from lodestone.functions import text
 from lodestone.operators import chat, clusters, fulltext, graph, ingest, kg, retrieval, vector
 from lodestone.plans.model_sql import with_tables
+from lodestone.plans.registry import oracle_sql, queries, query, rounded as _rounded
 from lodestone.sources import jsonl
+from lodestone.sources.scratch import shared_folder
 from lodestone.sources.tables import AS_OF, Model
 
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
+
 FLAGSHIP = "hybrid_search"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
 #: Words that the full-text queries look for, and the node around which neighbourhoods are taken.
 WORDS, START = "automobile building", "nation:7"
 _TERMS = ", ".join(f"'{w}'" for w in WORDS.split())
 
 
-def query(name: str, sql: str | None = None):
-    """Registers f(model) -> DataFrame, with its SQL if there is one."""
-
-    def add(f):
-        _QUERIES[name] = lambda spark, sf_dir: f(Model(spark, sf_dir))
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
 # ---------------------------------------------------------------- vectors
 
 _COS = "list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0))"
@@ -116,10 +92,10 @@ def _(m):
 def _hybrid_sql(weight: float, k: int = 10) -> str:
     parts = []
     if weight > 0:
-        parts.append(f"(select 'vector' as source, 'chunk:' || chunk_id as key, similarity * {weight} as score, 0 as o from (select chunk_id, {_COS} as similarity from vecs) where similarity >= 0.3 order by similarity desc, chunk_id limit {k})")
+        parts.append(f"(select 'vector' as source, 'chunk:' || chunk_id as key, similarity * {weight} as score, 0 as o, similarity as raw, chunk_id as n from (select chunk_id, {_COS} as similarity from vecs) where similarity >= 0.3 order by similarity desc, chunk_id limit {k})")
     if weight < 1:
-        parts.append(f"(select 'graph' as source, 'entity:' || id as key, least(score / 5, 1.0) * (1 - {weight}) as score, 1 as o from bm order by round(bm.score, 9) desc, id limit {k})")
-    return with_tables("vecs", "ents", sql=_BM25 + f", u as ({' union all '.join(parts)}) select source, key, round(score, 6) as score from u order by round(u.score, 9) desc, o, key limit {k}")
+        parts.append(f"(select 'graph' as source, 'entity:' || id as key, least(score / 5, 1.0) * (1 - {weight}) as score, 1 as o, score as raw, null as n from bm order by round(bm.score, 9) desc, id limit {k})")
+    return with_tables("vecs", "ents", sql=_BM25 + f", u as ({' union all '.join(parts)}) select source, key, round(score, 6) as score from u order by round(u.score, 9) desc, o, round(raw, 9) desc, n, key limit {k}")
 
 
 for _name, _weight in (("hybrid_search", 0.5), ("hybrid_vector_only", 1.0), ("hybrid_graph_only", 0.0)):
@@ -227,34 +203,37 @@ def _(m):
 
 @query("kg_merge_nodes", with_tables("ents", sql=""", u as (select 'supplier:' || s_suppkey as id, s_name || ' (new)' as name, 'Vendor' as entity_type, null::varchar as description from supplier where s_suppkey % 3 = 0
   union all select 'supplier:new' || s_suppkey, s_name, 'Vendor', 'added' from supplier where s_suppkey % 10 = 0)
-select id, name, entity_type, description from ents where id like 'supplier:%' and id not in (select id from u) union all select * from u"""))
+select id, name, entity_type, description from ents where id not in (select id from u) union all select * from u"""))
 def _(m):
     s = m.read("supplier")
     key = F.concat(F.lit("supplier:"), "s_suppkey")
     changed = s.where("s_suppkey % 3 = 0").select(key.alias("id"), F.concat("s_name", F.lit(" (new)")).alias("name"), F.lit("Vendor").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(1).alias("seq"))
     added = s.where("s_suppkey % 10 = 0").select(F.concat(F.lit("supplier:new"), "s_suppkey"), "s_name", F.lit("Vendor"), F.lit("added"), F.lit(1))
-    return kg.merged_nodes(m.entities().where("id like 'supplier:%'"), changed.union(added))
+    return kg.merged_nodes(m.entities(), changed.union(added))
 
 
 _GONE = ", gone as (select id from ents where source_document_id = 'doc:3')"
 
 
-@query("kg_delete_document", with_tables("ents", "rels", sql=_GONE + " select relationship_type, count(*) as n from rels where source not in (select id from gone) and target not in (select id from gone) group by 1"))
+@query("kg_delete_document", with_tables("ents", "rels", sql=_GONE + " select * from rels where source not in (select id from gone) and target not in (select id from gone)"))
 def _(m):
-    return kg.without_document(m.entities(), m.relationships(), "doc:3")[1].groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
+    return kg.without_document(m.entities(), m.relationships(), "doc:3")[1]
 
 
-@query("kg_delete_document_entities", with_tables("ents", sql=" select entity_type, count(*) as n from ents where source_document_id is distinct from 'doc:3' group by 1"))
+@query("kg_delete_document_entities", with_tables("ents", sql=" select * from ents where source_document_id is distinct from 'doc:3'"))
 def _(m):
-    return kg.without_document(m.entities(), m.relationships(), "doc:3")[0].groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return kg.without_document(m.entities(), m.relationships(), "doc:3")[0]
 
 
-@query("graph_merge_edges", with_tables("rels", sql=""", base as (select * from rels where relationship_type <> 'ORDERED' and source < 'part:5'), more as (select id || ':again' as id, source, target, relationship_type, 0.5::double as weight from rels where relationship_type = 'SUPPLIED_BY')
-select * from base union all select * from more where (source, target, relationship_type) not in (select (source, target, relationship_type) from base)"""))
+@query("graph_merge_edges", with_tables("rels", sql=""", more as (select id || ':again' as id, source, target, relationship_type, 0.5::double as weight from rels where relationship_type = 'SUPPLIED_BY'
+  union all select id || ':' || i, target, source, 'SUPPLIES', i / 10 from rels, range(1, 3) t(i) where relationship_type = 'SUPPLIED_BY')
+select * from rels union all select min(id) as id, source, target, relationship_type, arg_min(weight, id) as weight from more where (source, target, relationship_type) not in (select (source, target, relationship_type) from rels) group by source, target, relationship_type"""))
 def _(m):
     r = m.relationships()
-    more = r.where("relationship_type = 'SUPPLIED_BY'").withColumns({"id": F.concat("id", F.lit(":again")), "weight": F.lit(0.5)})
-    return kg.merged_graph(r.where("relationship_type <> 'ORDERED' and source < 'part:5'"), more, ["source", "target", "relationship_type"])
+    some = r.where("relationship_type = 'SUPPLIED_BY'")
+    again = some.withColumns({"id": F.concat("id", F.lit(":again")), "weight": F.lit(0.5)})
+    back = lambda i: some.select(F.concat("id", F.lit(f":{i}")).alias("id"), F.col("target").alias("source"), F.col("source").alias("target"), F.lit("SUPPLIES").alias("relationship_type"), F.lit(i / 10).alias("weight"))
+    return kg.merged_graph(r, again.union(back(1)).union(back(2)), ["source", "target", "relationship_type"])
 
 
 # ---------------------------------------------------------------- clusters
@@ -278,8 +257,8 @@ def _(m):
     return _rounded(clusters.cluster_edges(m.relationships(), clusters.node_clusters(tree, members, 1)), "weight")
 
 
-@query("dominant_type", with_tables("tree", "ents", sql=_PLACED[2] + """, c as (select cluster_id, entity_type, count(*) as n from placed join ents on id = node_id group by 1, 2)
-select cluster_id, entity_type, n from (select *, row_number() over (partition by cluster_id order by n desc, entity_type) as r from c) where r = 1"""))
+@query("dominant_type", with_tables("tree", "ents", sql=_PLACED[2] + """, c as (select cluster_id, entity_type, count(*) as n, min(node_id) as first from placed join ents on id = node_id group by 1, 2)
+select cluster_id, entity_type, n from (select *, row_number() over (partition by cluster_id order by n desc, first) as r from c) where r = 1"""))
 def _(m):
     tree, members = m.clusters()
     return clusters.dominant_type(members, m.entities())
@@ -304,12 +283,14 @@ def _(m):
     return m.documents().groupBy("user_id", "status", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("dashboard_stats", with_tables("docs", "ents", "rels", sql=""" select (select count(*) from docs where user_id = 1) as documents, (select count(*) from docs where user_id = 1 and status = 'processing') as processing,
+@query("dashboard_stats", with_tables("docs", "ents", "rels", "pieces", sql=""" select (select count(*) from docs where user_id = 1) as documents, (select count(*) from docs where user_id = 1 and status = 'processing') as processing,
+(select count(*) from pieces join docs on docs.id = document_id where user_id = 1) as chunks,
 (select count(*) from ents) as entities, (select count(*) from rels) as relationships, (select count(*) from embeddings) as embeddings"""))
 def _(m):
     d = m.documents().where("user_id = 1").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "processing").alias("processing"))
     one = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))  # noqa: E731  one row each
-    return d.crossJoin(one(m.entities(), "entities")).crossJoin(one(m.relationships(), "relationships")).crossJoin(one(m.vectors(), "embeddings"))
+    mine = m.documents().where("user_id = 1").select(F.col("id").alias("document_id"))
+    return d.crossJoin(one(m.chunks().join(mine, "document_id"), "chunks")).crossJoin(one(m.entities(), "entities")).crossJoin(one(m.relationships(), "relationships")).crossJoin(one(m.vectors(), "embeddings"))
 
 
 @query("token_estimates", """select doc_id, cast(length(text) // 4 as bigint) as by_length, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as bigint) as by_words,
@@ -320,31 +301,10 @@ def _(m):
 
 
 @query("file_names", with_tables("files", sql=""" select distinct file_name, regexp_replace(file_name, '[^\\p{L}\\p{N}]', '_', 'g') as safe, regexp_extract(file_name, '\\.([^.]+)$', 1) as extension,
-case regexp_extract(file_name, '\\.([^.]+)$', 1) when 'pdf' then 'pdf' when 'docx' then 'docx' end as processor, folder_path || '/' || file_name as path from files"""))
+case when doc_id % 4 = 0 then 'text' else case regexp_extract(file_name, '\\.([^.]+)$', 1) when 'pdf' then 'pdf' when 'docx' then 'docx' end end as processor, folder_path || '/' || file_name as path from files"""))
 def _(m):
     n = F.col("file_name")
-    return m.files().select("file_name", text.safe_filename(n).alias("safe"), text.extension(n).alias("extension"), text.processor(n).alias("processor"), text.joined_path(F.col("folder_path"), n).alias("path")).distinct()
-
-
-@query("chunk_documents")
-def _(m):
-    return chunking.chunks(m.read("documents")).select("doc_id", "chunk_index", "content", "token_count")
-
-
-@query("chunk_documents_paragraphs")
-def _(m):
-    return chunking.chunks(m.read("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))).select("doc_id", "chunk_index", "content", "token_count")
-
-
-@query("sections")
-def _(m):
-    marked = m.read("documents").withColumn("text", F.regexp_replace("text", r"\n([A-M])", "\n# $1"))
-    return chunking.chunks(marked, by_section=True)
-
-
-@query("chunk_page")
-def _(m):
-    return chunking.chunks(m.read("documents").where("doc_id = 0")).orderBy("chunk_index").offset(1).limit(5).select("chunk_index", "content")
+    return m.files().select("file_name", text.safe_filename(n).alias("safe"), text.extension(n).alias("extension"), text.processor(n, F.when(F.col("doc_id") % 4 == 0, "text/PLAIN").otherwise("unknown/type")).alias("processor"), text.joined_path(F.col("folder_path"), n).alias("path")).distinct()
 
 
 # ---------------------------------------------------------------- ingestion
@@ -355,8 +315,9 @@ def _(m):
     return ingest.latest_files(m.files()).select("id", "drive_file_id", "job_id", "stage", "created_at")
 
 
-@query("drive_tree_rollup", with_tables("files", sql=""", p as (select array_to_string(string_split(folder_path, '/')[1:i], '/') as path, status from files, range(1, 3) t(i) where folder_path <> '')
-select path, cast(len(string_split(path, '/')) - 1 as integer) as depth, count(*) as total, count(*) filter (status = 'completed') as completed from p group by path"""))
+@query("drive_tree_rollup", with_tables("files", sql=""", p as (select array_to_string(string_split(folder_path, '/')[1:i], '/') as path, status from files, range(1, 3) t(i) where folder_path <> '' union all select '', status from files),
+s as (select path, cast(case when path = '' then -1 else len(string_split(path, '/')) - 1 end as integer) as depth, count(*) as total, count(*) filter (status = 'completed') as completed from p group by path)
+select *, cast(row_number() over (partition by depth, case when contains(path, '/') then string_split(path, '/')[1] else '' end order by lower(string_split(path, '/')[-1]), path) as integer) as place from s"""))
 def _(m):
     return ingest.folder_rollup(m.files())
 
@@ -403,11 +364,6 @@ def _(m):
     return ingest.retry_plan(m.files())
 
 
-@query("retry_reset", with_tables("files", sql=" select case when job_id = 'job:src1' and status in ('failed', 'pending', 'processing') then 'pending' else status end as status, case when job_id = 'job:src1' and status in ('failed', 'pending', 'processing') then 'pending' else stage end as stage, count(*) as n from files group by 1, 2"))
-def _(m):
-    return ingest.reset_for_retry(m.files(), "job:src1").groupBy("status", "stage").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("rate_limit", """with e as (select event_id, user_id, ts from events),
 c as (select a.event_id, a.user_id, a.ts, count(b.event_id) as n from e a left join e b on a.user_id = b.user_id and b.ts > a.ts - interval 86400 second and (b.ts < a.ts or (b.ts = a.ts and b.event_id < a.event_id)) group by 1, 2, 3)
 select event_id, user_id, ts, n as recent, n < 3 as allowed from c""")
@@ -418,9 +374,9 @@ def _(m):
 # ---------------------------------------------------------------- chat and usage
 
 
-@query("conversation_list", with_tables("msgs", sql=" select conversation_id, min(created_at) as created_at, count(*) as messages from msgs where user_id = 1 group by 1 order by 2 desc, 1 limit 50"))
+@query("conversation_list", with_tables("convs", sql=" select conversation_id, created_at, (select count(*) from conversations where conv_id = conversation_id) as messages from convs where user_id = 0 order by created_at desc, conversation_id limit 50"))
 def _(m):
-    return chat.conversation_list(m.messages(), 1)
+    return chat.conversation_list(m.conversations(), m.messages(), 0)
 
 
 @query("messages_first_n", with_tables("msgs", sql=" select conversation_id, turn, role, token_count from msgs where conversation_id = 3 order by created_at, turn limit 20"))
@@ -463,9 +419,9 @@ def _(m):
     return chat.first_citations(chat.citations(_results(m))).select("source_key", "call_id", "ordinal", "snippet")
 
 
-@query("citations_enrich", with_tables("docs", sql=_CITED + " select call_id, ordinal, coalesce(filename, entity_name) as title from items left join docs d on d.id = items.document_id"))
+@query("citations_enrich", with_tables("docs", sql=_CITED + " select call_id, ordinal, coalesce(filename, entity_name) as title, case when d.source = 'google_drive' then 'https://drive.google.com/file/d/' || json_extract_string(metadata, '$.drive_file_id') || '/view' end as url from items left join docs d on d.id = items.document_id"))
 def _(m):
-    return chat.enriched(chat.citations(_results(m)), m.documents()).select("call_id", "ordinal", "title")
+    return chat.enriched(chat.citations(_results(m)), m.documents()).select("call_id", "ordinal", "title", "url")
 
 
 # ---------------------------------------------------------------- exports and streams
@@ -474,7 +430,7 @@ def _(m):
 @query("jsonl_roundtrip", with_tables("ents", sql=" select entity_type, count(*) as n, cast(sum(length(name)) as bigint) as signs from ents group by 1"))
 def _(m):
     e = m.entities()
-    path = jsonl.shared_folder(m.spark, "export")
+    path = shared_folder(m.spark, "export")
     jsonl.write_jsonl(e, path)
     back = jsonl.read_jsonl(m.spark, [path, f"{path}-missing"], e.schema)
     return back.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("name")).alias("signs"))
@@ -502,3 +458,6 @@ def _(m):
     files = d.select(*entry(F.concat(F.lit("file:"), "doc_id"), place, F.concat(F.lit("doc_"), "doc_id"), kind))
     root = m.spark.range(1).select(*entry(F.lit("root"), F.lit(None).cast("string"), F.lit("Base"), folder))
     return ingest.walk(root.union(folders).union(files), ["root"])
+
+
+from lodestone.plans import document_changes, files_and_chats, graph_changes, texts  # noqa: E402, F401  they register their queries

@@ -44,11 +44,19 @@ files as (select *, case when stage in ('failed', 'embed_failed', 'kg_failed') t
   select job_id, count(*) as total_files, count(*) filter (status = 'completed') as processed_files, count(*) filter (status = 'failed') as failed_files,
     count(*) filter (status = 'skipped') as skipped_files, row_number() over (order by job_id) - 1 as n from files group by job_id),
 jobs as (select job_id, total_files, processed_files, failed_files, skipped_files, to_timestamp(1704067200 + 9 * 86400 - n * 3600)::timestamp as started_at,
-  case n % 4 when 0 then 'pending' when 1 then 'processing' when 2 then 'completed' else 'failed' end as status from jobs0)""",
+  case n % 4 when 0 then 'pending' when 1 then 'processing' when 2 then 'completed' else 'failed' end as status,
+  null::varchar as folder_id, null::varchar as error_message, null::timestamp as completed_at from jobs0)""",
     "calls": f"""prices(model, a, b) as (values {_PRICES}),
 calls0 as (select event_id, user_id, ts, event_type as model, coalesce(cast(json_extract_string(props, '$.k') as bigint), 0) * 10 as input_tokens,
-  cast(floor(coalesce(value, 0) * 10) as bigint) as output_tokens from events),
-calls as (select c.*, (input_tokens * coalesce(a, 0) + output_tokens * coalesce(b, 0)) / 1e6 as cost from calls0 c left join prices using (model))""",
+  cast(floor(coalesce(value, 0) * 10) as bigint) as output_tokens, case when event_id % 10 = 0 then coalesce(value, 0) / 100 else 0 end as given from events),
+calls as (select c.* exclude (given), case when given = 0 then (input_tokens * coalesce(a, 0) + output_tokens * coalesce(b, 0)) / 1e6 else given end as cost from calls0 c left join prices using (model))""",
+    "pieces": """pieces as (
+  select 'chunk:' || doc_id || ':' || i as id, 'doc:' || doc_id as document_id, cast(i as integer) as chunk_index, substring(text, i * 1000 + 1, 1000) as content
+  from (select doc_id, text, unnest(range(0, (length(text) - 1) // 1000 + 1)) as i from documents where text <> ''))""",
+    "convs": """convs as (
+  select c as conversation_id, cast(c % 5 as integer) as user_id, case when c % 2 = 0 then 'Chat ' || c end as title,
+    to_timestamp(1704067200 + c * 60)::timestamp as created_at, to_timestamp(1704067200 + c * 60)::timestamp as updated_at
+  from (select distinct conv_id as c from conversations union all select distinct conv_id + 1000000 from conversations where conv_id % 10 = 0))""",
     "msgs": """msgs as (
   select conv_id as conversation_id, turn, role, text as content, cast(conv_id % 5 as integer) as user_id,
     to_timestamp(1704067200 + conv_id * 3600 + turn)::timestamp as created_at, length(text) // 4 as token_count from conversations)""",

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_jsonl(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
     """Rows of the files that exist; blank and malformed lines are left out."""
     context = spark.sparkContext
@@ -31,12 +24,42 @@ def read_jsonl(spark: SparkSession, paths: list[str], schema: StructType | str)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found)
 
 
-def write_jsonl(df: DataFrame, path: str, by: str | None = None, file_rows: int = 200_000) -> None:
-    """Files of at most ``file_rows`` rows, in a folder for each value of ``by`` if given."""
-    out = df.write.mode("overwrite").option("maxRecordsPerFile", file_rows)
+def write_jsonl(df: DataFrame, path: str, by: str | None = None, file_bytes: int = 40 << 20) -> None:
+    """Files of about ``file_bytes`` at most, in a folder for each value of ``by`` if given.
+
+    A file's rows follow from the mean size of a row, which one scan gives.
+    """
+    size = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))) + 1)).first()[0]
+    out = df.write.mode("overwrite").option("maxRecordsPerFile", max(1, int(file_bytes / max(size or 1, 1))))
     (out.partitionBy(by) if by else out).json(path)
 
 
+def files_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the digests of an export's files, in order; the driver sees 64 characters a file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    found = files.select(F.sha2("content", 256).alias("d")).collect()
+    return hashlib.sha256("".join(sorted(r["d"] for r in found)).encode()).hexdigest()
+
+
+def next_version(version: str | None) -> str:
+    """x.y.z with z one higher; 1.0.0 where there is none or it isn't of this form."""
+    parts = (version or "").split(".")
+    if len(parts) != 3 or not all(p.isdigit() for p in parts):
+        return "1.0.0"
+    return f"{parts[0]}.{parts[1]}.{int(parts[2]) + 1}"
+
+
+def export_manifest(df: DataFrame, path: str, by: str, version: str | None = None) -> dict:
+    """What describes the export of df at ``path``: version, rows of each kind (a row a kind comes to the driver), digest of its files."""
+    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {"version": next_version(version), "counts": dict(sorted(counts.items(), key=str)), "digest": files_digest(df.sparkSession, path)}
+
+
+def verified(spark: SparkSession, path: str, found: dict) -> bool:
+    """Are an export's files those that its manifest describes?"""
+    return files_digest(spark, path) == found["digest"]
+
+
 def manifest(df: DataFrame, by: str) -> DataFrame:
     """(by, n, digest): rows of each kind, and a digest that their order doesn't change, to compare exports with."""
     row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])

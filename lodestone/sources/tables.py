@@ -102,6 +102,15 @@ class Model:
         v = self.read("embeddings").crossJoin(F.broadcast(n))  # one row
         return v.select(F.col("vec_id").alias("chunk_id"), F.when(F.col("n_docs") > 0, F.col("vec_id") % F.col("n_docs")).alias("document_id"), "label", "embedding")
 
+    def chunks(self, size: int = 1000) -> DataFrame:
+        """Documents' texts in pieces of equal length: id, document_id, chunk_index, content."""
+        d = self.read("documents").where("text <> ''")
+        at = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / size).cast("int"))
+        return d.select("doc_id", "text", F.explode(at).alias("chunk_index")).select(
+            F.concat(F.lit("chunk:"), "doc_id", F.lit(":"), "chunk_index").alias("id"), F.concat(F.lit("doc:"), "doc_id").alias("document_id"), "chunk_index",
+            F.substring(F.col("text"), F.col("chunk_index") * size + 1, F.lit(size)).alias("content"),
+        )
+
     # ------------------------------------------------------------ ingestion
 
     def files(self) -> DataFrame:
@@ -130,19 +139,26 @@ class Model:
         n = hours.cast("long")
         out = tally.withColumn("n", n).withColumn("started_at", F.timestamp_seconds(F.lit(1704067200 + 9 * 86400) - F.col("n") * 3600))
         state = F.when(F.col("n") % 4 == 0, "pending").when(F.col("n") % 4 == 1, "processing").when(F.col("n") % 4 == 2, "completed").otherwise("failed")
-        return out.withColumn("status", state).drop("n")
+        none = F.lit(None).cast("string")
+        more = {"status": state, "folder_id": none, "error_message": none, "completed_at": F.lit(None).cast("timestamp")}
+        return out.withColumns(more).drop("n")
 
     # ------------------------------------------------------------ usage and chat
 
-    def usage(self) -> DataFrame:
-        """Calls of models: user_id, model, input_tokens, output_tokens, cost, ts. A zero cost is filled from the price list."""
-        e = self.read("events")
+    def calls(self) -> DataFrame:
+        """Calls of models as reported: event_id, user_id, ts, model, input_tokens, output_tokens, cost (0: unknown)."""
         k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) * 10
         out = F.floor(F.coalesce("value", F.lit(0.0)) * 10)
+        cost = F.when(F.col("event_id") % 10 == 0, F.coalesce("value", F.lit(0.0)) / 100).otherwise(0.0)
+        return self.read("events").select("event_id", "user_id", "ts", F.col("event_type").alias("model"), k.alias("input_tokens"), out.alias("output_tokens"), cost.alias("cost"))
+
+    def usage(self) -> DataFrame:
+        """Calls, a cost of 0 filled from the price list; a reported one stays."""
         prices = F.create_map(*[x for m, (a, b) in PRICES.items() for x in (F.lit(m), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
-        price = F.coalesce(F.element_at(prices, F.col("event_type")), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
-        rows = e.select("event_id", "user_id", "ts", F.col("event_type").alias("model"), k.alias("input_tokens"), out.alias("output_tokens"), price.alias("p"))
-        return rows.withColumn("cost", (F.col("input_tokens") * F.col("p.a") + F.col("output_tokens") * F.col("p.b")) / 1e6).drop("p")
+        price = F.coalesce(F.element_at(prices, F.col("model")), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))
+        rows = self.calls().withColumn("p", price)
+        listed = (F.col("input_tokens") * F.col("p.a") + F.col("output_tokens") * F.col("p.b")) / 1e6
+        return rows.withColumn("cost", F.when(F.col("cost") == 0, listed).otherwise(F.col("cost"))).drop("p")
 
     def messages(self) -> DataFrame:
         """conversation_id, turn, role, content, user_id, created_at, token_count."""
@@ -153,6 +169,29 @@ class Model:
             at.alias("created_at"), F.floor(F.char_length("text") / 4).alias("token_count"),
         )
 
+    def conversations(self) -> DataFrame:
+        """conversation_id, user_id, title, created_at, updated_at: those with messages, and an empty one beside every tenth."""
+        c = self.read("conversations").select("conv_id").distinct()
+        ids = c.union(c.where("conv_id % 10 = 0").select(F.col("conv_id") + 1_000_000))
+        at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60)
+        return ids.select(
+            F.col("conv_id").alias("conversation_id"), (F.col("conv_id") % 5).cast("int").alias("user_id"),
+            F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Chat "), "conv_id")).alias("title"), at.alias("created_at"), at.alias("updated_at"),
+        )
+
+    def artifacts(self) -> DataFrame:
+        """artifact_id, conversation_id, title, created_at: one for each third turn of a conversation."""
+        c = self.read("conversations").where("turn % 3 = 1")
+        at = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn"))
+        return c.select(F.concat(F.lit("artifact:"), "conv_id", F.lit(":"), "turn").alias("artifact_id"), F.col("conv_id").alias("conversation_id"), F.substring("text", 1, 80).alias("title"), at.alias("created_at"))
+
+    def users(self) -> tuple[DataFrame, DataFrame]:
+        """(users: user_id, email; accounts: user_id, provider, provider_user_id): customers, every third linked to one provider, every fifth to another."""
+        c = self.read("customer")
+        key = F.concat(F.lit("user:"), "c_custkey")
+        account = lambda n, name: c.where(F.col("c_custkey") % n == 0).select(key.alias("user_id"), F.lit(name).alias("provider"), F.concat(F.lit(f"{name}-"), "c_custkey").alias("provider_user_id"))
+        return c.select(key.alias("user_id"), F.concat(F.lower("c_name"), F.lit("@example.org")).alias("email")), account(3, "google").union(account(5, "github"))
+
     def clusters(self) -> tuple[DataFrame, DataFrame]:
         """(clusters: id, label, parent_id; members: node_id, cluster_id): regions, nations, and who is in a nation."""
         none = F.lit(None).cast("string")
