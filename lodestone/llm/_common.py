@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and documents in a chunk; a longer document is a chunk of its own.
@@ -38,10 +38,13 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
+    """The shared folder the cluster names; a temporary one only where none is named and all is one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="lodestone-"))
 
 
@@ -99,6 +102,24 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
     )
 
 
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """many joined with few, which is unique by ``on`` and saved; its column ``size`` is how many of many's rows it meets.
+
+    Rows of a key that would be more than a quarter of a task's share are dealt
+    over several tasks by a hash of ``by``, with a copy of few's row for each.
+    Of all rows, at most four keys a task are so large: these are broadcast.
+    """
+    spark = many.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = few.agg(F.sum("size")).first()[0] or 0
+    share = max(1, total // (4 * tasks))
+    deals = F.ceil(F.col("size") / share).cast("int")
+    hot = few.where(F.col("size") > share).select(*on, deals.alias("_deals"))  # 4 * tasks rows at most
+    dealt = many.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_deals")).cast("int")))
+    copies = F.when(F.col("size") > share, F.sequence(F.lit(0), deals - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.drop("_deals").join(few.withColumn("_deal", F.explode(copies)).drop("size"), [*on, "_deal"], how).drop("_deal")
+
+
 def carried(docs: DataFrame, names: list[str]) -> tuple[list, str, list]:
     """Columns that an operator passes through: (as x0, x1, ... ; their schema ; back under their names).
 
@@ -120,27 +141,28 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-BYTE_CODE = splitmix(np.arange(1, 257, dtype=U64) * U64(_BASE))
+#: Bases of the first and the second digest.
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+BYTE_CODE = splitmix(np.arange(1, 257, dtype=U64) * U64(_BASES[0]))
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the rolling base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("p", ())) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a rolling base and of its inverse, modulo 2**64."""
+    if len(_POWERS.get(f"p{which}", ())) < n:
         size = max(n, CHUNK_BYTES + 4096)
-        for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
+        for name, base in (("p", _BASES[which]), ("q", pow(_BASES[which], -1, 1 << 64))):
             values = np.full(size, U64(base), dtype=U64)
             values[0] = 1
-            _POWERS[name] = np.cumprod(values, dtype=U64)
-    return _POWERS["p"][:n], _POWERS["q"][:n]
+            _POWERS[f"{name}{which}"] = np.cumprod(values, dtype=U64)
+    return _POWERS[f"p{which}"][:n], _POWERS[f"q{which}"][:n]
 
 
 class Rolling:
-    """Hashes of any slice of a sequence of 64-bit codes, each in constant time."""
+    """Hashes of any slice of a sequence of 64-bit codes, each in constant time; ``which`` of two, of unlike bases."""
 
-    def __init__(self, codes: np.ndarray):
-        p, self.inverse = powers(len(codes) + 1)
+    def __init__(self, codes: np.ndarray, which: int = 0):
+        p, self.inverse = powers(len(codes) + 1, which)
         self.sums = np.zeros(len(codes) + 1, dtype=U64)
         np.cumsum(codes * p[:-1], out=self.sums[1:])
 

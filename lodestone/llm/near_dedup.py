@@ -2,8 +2,8 @@
 
 1. A scan turns each text into its set of word shingles, a digest of the set
    and a SuperMinHash signature, folded into band keys.
-2. Documents of equal sets form a class; only its smallest id goes on, so a
-   group of thousands of copies costs one row.
+2. Documents of equal sets form a class; only that of its smallest id goes on,
+   so a group of thousands of copies costs one row.
 3. Classes that share a band key are compared with one pivot of that key. If
    these comparisons don't join a pivot's classes to one component, two of them
    can still be linked in two ways: their shares of the pivot alone are large
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Chunk, Scratch, U64, chunk_ranges, shingle_sets, signed, splitmix, texts_of
+from lodestone.llm._common import Chunk, Scratch, U64, chunk_ranges, shingle_sets, signed, splitmix, spread_join, texts_of
 from lodestone.llm.graph_components import components
 
 #: Up to so many candidate ids (8 bytes each) are broadcast to the second scan; more are shuffled.
@@ -32,8 +32,10 @@ BROADCAST_IDS = 2_000_000
 #: are counted by matrix products, in blocks of about so many shingles and classes, and only links become rows.
 DIRECT, BLOCK_ITEMS, BLOCK_CLASSES = 64, 1 << 19, 1024
 
-SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
-SETS = "doc_id long, items array<long>"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"
+SETS = "doc_id long, s1 long, s2 long, items array<long>"
+#: What tells a class, a set of shingles, from all others.
+CLASS = ["s1", "s2", "n_shingles"]
 
 
 def superminhash(element: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -74,28 +76,35 @@ def superminhash(element: np.ndarray, doc: np.ndarray, n_docs: int, m: int) -> n
     return h.reshape(n_docs, m)
 
 
+def _digests(item: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Two digests of each set; item: all sets' elements in a row, ``count`` of each."""
+    edge = np.concatenate(([0], np.cumsum(count)))
+    sums = []
+    for c in (0x1234567, 0x89ABCDE):
+        total = np.zeros(len(item) + 1, dtype=U64)
+        np.cumsum(splitmix(item + U64(c)), out=total[1:])
+        sums.append(total[edge[1:]] - total[edge[:-1]])
+    return sums
+
+
 def _signatures(width: int, bands: int, rows: int):
     odd = splitmix(np.arange(100, 100 + rows, dtype=U64)) | U64(1)
     salt = splitmix(np.arange(500, 500 + bands, dtype=U64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), texts_of(batch)
+            ids, hashes, texts = batch.column(0), batch.column(1), texts_of(batch)
             for a, b in chunk_ranges(texts):
                 n = b - a
                 doc, item = shingle_sets(Chunk(texts[a:b], lower=True), width)
                 count = np.bincount(doc, minlength=n)
                 h = superminhash(item, doc, n, bands * rows)
                 keys = splitmix((h.view(U64).reshape(n, bands, rows) * odd).sum(axis=2, dtype=U64) + salt)
-                sums = []
-                for c in (0x1234567, 0x89ABCDE):
-                    total = np.concatenate(([0], np.cumsum(splitmix(item + U64(c)), dtype=U64)))
-                    edge = np.concatenate(([0], np.cumsum(count)))
-                    sums.append(total[edge[1:]] - total[edge[:-1]])
+                sums = _digests(item, count)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(signed(keys.ravel())))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, n), pa.array(count.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                    [ids.slice(a, n), hashes.slice(a, n), pa.array(count.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), lists],
+                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "bands"],
                 )
 
     return run
@@ -107,8 +116,10 @@ def _sets(width: int):
             ids, texts = batch.column(0), texts_of(batch)
             for a, b in chunk_ranges(texts):
                 doc, item = shingle_sets(Chunk(texts[a:b], lower=True), width)
-                edge = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=b - a)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge), pa.array(signed(item)))], names=["doc_id", "items"])
+                count = np.bincount(doc, minlength=b - a)
+                edge = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+                sums = [pa.array(signed(x)) for x in _digests(item, count)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *sums, pa.ListArray.from_arrays(pa.array(edge), pa.array(signed(item)))], names=["doc_id", "s1", "s2", "items"])
 
     return run
 
@@ -116,59 +127,83 @@ def _sets(width: int):
 def near_duplicates(
     docs: DataFrame, percent: int = 75, width: int = 5, bands: int = 32, rows: int = 4
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, group_id, text_hash.
 
     Documents are linked if 100 * shared >= percent * united distinct shingles
     of ``width`` lower-cased words; a pair at 75 % shares none of 32 bands of 4
     with a chance of 5 in a million. component_id is the smallest doc_id
     reachable by links, the document's own id included; kept marks that one.
-
-    Null, empty and blank texts have no shingles and no links. Repeated rows
-    are copies of each other. A null doc_id takes no part: its component_id is
-    null and it is kept. Other columns are ignored. An empty table gives none.
+    group_id names the component itself, and text_hash is xxhash64 of the text.
+
+    Null, empty and blank texts have no shingles, no links and no group.
+    Repeated rows are copies of each other. Rows that repeat an id with another
+    text are documents of their own: each has its text's links, and components
+    of unlike texts may share a component_id, not a group_id. A null doc_id
+    takes no part: its component_id is null and it is kept. Other columns are
+    ignored. An empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sig = scratch.save(texts.mapInArrow(_signatures(width, bands, rows), SIGNATURE), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    rows_of = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), "n_shingles")
+    classes = some.groupBy(CLASS).agg(F.min("doc_id").alias("doc_id"))
+    # a class goes by its smallest id; where several classes have the same, all but the first go by a hash of theirs
+    first = classes.groupBy("doc_id").agg(F.min(F.struct(CLASS)).alias("first"))
+    own = F.when(F.struct(CLASS) == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", *CLASS))
+    classes = scratch.save(classes.join(first, "doc_id").select(*CLASS, "doc_id", own.alias("rep")), "classes")
+    reps = some.join(classes, [*CLASS, "doc_id"]).select("rep", "n_shingles", "bands")
+    rows_of = reps.select(F.explode("bands").alias("key"), "rep", "n_shingles")
     shared = rows_of.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    banded = scratch.save(rows_of.join(shared.select("key"), "key"), "bands")
+    banded = scratch.save(rows_of.join(shared.select("key"), "key").distinct(), "bands")
 
-    ids = banded.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = scratch.save(classes.join(banded.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    ids = wanted.select("doc_id").distinct()
     many = ids.count() > BROADCAST_IDS
-    sets = scratch.save(texts.join(ids if many else F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets(width), SETS).dropDuplicates(["doc_id"]), "sets")
+    held = texts.select("doc_id", "text").join(ids if many else F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_sets(width), SETS)
+    held = held.withColumn("n_shingles", F.size("items").cast("long")).join(wanted, [*CLASS, "doc_id"]).select(F.col("rep").alias("doc_id"), "items")
+    sets = scratch.save(held.dropDuplicates(["doc_id"]), "sets")
     label, here, turn = None, banded, 0
     limit = DIRECT * banded.count()
     while not here.isEmpty():
         if turn and _pairs_within(here) <= limit:
             label = _joined(label, _all_links(here, sets, percent), scratch)
             break
-        tested = scratch.save(_compared(_pivot_pairs(here, turn, scratch), sets), "tested")
+        tested = scratch.save(_compared(_pivot_pairs(here, turn, scratch), sets, scratch), "tested")
         label = _joined(label, tested.where(_linked(percent)).select("a", "b"), scratch)
-        rest = scratch.save(_undecided(tested, label), "rest")
-        near = _compared(_near_pivot(rest, percent), sets).where(_linked(percent)).select("a", "b")
-        following = scratch.save(_next_keys(rest, sets, percent, turn), "keys")
+        rest = scratch.save(_undecided(tested, label, scratch), "rest")
+        near = _compared(scratch.save(_near_pivot(rest, percent), "near"), sets, scratch).where(_linked(percent)).select("a", "b")
+        following = scratch.save(_next_keys(rest, sets, percent, turn, scratch), "keys")
         label = _joined(label, near, scratch)
         scratch.drop(tested, rest, *([here] if turn else []))
         here, turn = following, turn + 1
-    out = sig.join(classes, ["s1", "s2", "n_shingles"], "left")
+    out = sig.drop("bands").join(classes.withColumnRenamed("doc_id", "least"), CLASS, "left")
     if label is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+        out = out.withColumns({"group": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
     else:
-        out = out.join(label, out.rep == label.node, "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+        out = out.join(_named(label, classes, scratch), out.rep == F.col("node"), "left")
+    there = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.when(there, F.coalesce("group", "rep")).alias("group_id"),
+        "text_hash",
     )
 
 
+def _named(label: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, group, component): group as labelled, component the smallest doc_id of the group's classes."""
+    named = label.select("node", F.col("component").alias("group"))
+    if classes.where("rep <> doc_id").isEmpty():  # classes go by their ids: the smallest is the label
+        return named.withColumn("component", F.col("group"))
+    ids = named.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node")
+    least = scratch.save(ids.groupBy("group").agg(F.min("doc_id").alias("component"), F.count(F.lit(1)).alias("size")), "least")
+    return spread_join(named, least, ["group"], F.col("node"), scratch)
+
+
 def _pairs_within(here: DataFrame) -> int:
     return here.groupBy("key").agg(F.count(F.lit(1)).alias("m")).agg(F.coalesce(F.expr("sum(m * (m - 1) div 2)"), F.lit(0))).first()[0]
 
@@ -222,29 +257,35 @@ def _pivot_pairs(here: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
     pivots = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))).alias("x"))
     pivots = scratch.save(pivots.select("key", "x.a", "x.na"), "pivots")
     both = here.join(pivots, "key").where("rep <> a")
-    return both.select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct()
+    return scratch.save(both.select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct(), "pairs")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, na, nb) with i, the number of shingles they share."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+def _compared(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """pairs (a, b, na, nb; saved) with i, the number of shingles they share. A set that many pairs need is copied to several tasks."""
+    one = scratch.save(_sized(sets, pairs, "a", "x"), "sets")
     two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("i"))
+    return spread_join(pairs, one, ["a"], F.col("b"), scratch).join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("i"))
+
+
+def _sized(sets: DataFrame, rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name: items, size) of the sets that rows need, with the number of rows that do."""
+    need = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    return sets.select(F.col("doc_id").alias(key), F.col("items").alias(name)).join(need, key)
 
 
 def _linked(percent: int) -> Column:
     return F.expr(f"{100 + percent} * i >= {percent} * (na + nb)")
 
 
-def _undecided(tested: DataFrame, label: DataFrame) -> DataFrame:
+def _undecided(tested: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb, i, comp, least) of pivots a, themselves among b, whose classes b aren't one component yet.
 
     least: the smallest set size of the pivot's classes.
     """
     own = tested.select("a", F.col("a").alias("b"), "na", F.col("na").alias("nb"), F.col("na").cast("int").alias("i")).distinct()
     named = tested.union(own).join(label, F.col("b") == F.col("node"), "left").select("a", "b", "na", "nb", "i", F.coalesce("component", "b").alias("comp"))
-    open_ = named.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), F.min("nb").alias("least"))
-    return named.join(open_.where("c0 <> c1 and m > 2").select("a", "least"), "a")
+    open_ = named.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.min("nb").alias("least"))
+    return spread_join(named, scratch.save(open_.where("c0 <> c1 and size > 2").select("a", "least", "size"), "open"), ["a"], F.col("b"), scratch)
 
 
 def _near_pivot(rest: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +307,7 @@ def _near_pivot(rest: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int, scratch: Scratch) -> DataFrame:
     """(key, rep, n_shingles): classes of a pivot by shingles that they have and it lacks, where these aren't one component.
 
     A class must share a number of such shingles with another to be linked to
@@ -274,10 +315,11 @@ def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int) -> Dat
     one class has is the rarest, and no key.
     """
     q, w = percent, 100 + percent
-    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+    others = rest.where("a <> b")
+    one = scratch.save(_sized(sets, others, "a", "x"), "sets")
     two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     need = F.expr(f"greatest(1, cast(ceil({q} * (nb + least) / {w}) as int) - i)")
-    more = rest.where("a <> b").join(one, "a").join(two, "b").select("a", "b", "nb", "comp", (F.col("nb") - F.col("i") - need + 1).cast("int").alias("most"), F.array_except("y", "x").alias("s"))
+    more = spread_join(others, one, ["a"], F.col("b"), scratch).join(two, "b").select("a", "b", "nb", "comp", (F.col("nb") - F.col("i") - need + 1).cast("int").alias("most"), F.array_except("y", "x").alias("s"))
     single = more.where("most > 0").select("a", "b", "nb", "comp", "most", F.explode("s").alias("s"))
     often = single.select("b", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = single.join(often, "s", "left").select("a", "b", "nb", "comp", "most", "s", F.coalesce("f", F.lit(1)).alias("f"))
@@ -291,7 +333,7 @@ def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int) -> Dat
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP7_SQL = r"""
