@@ -43,18 +43,8 @@ def shingle_texts(width: int) -> Column:
     return F.transform(_starts(width), lambda i: F.array_join(F.slice("words", i + 1, width), " "))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """One row per pair found: doc_id, item_id, n_item, n_shared, containment.
-
-    A pair is found if the document's set of ``width``-word shingles, words
-    lower-cased, holds ``percent`` or more of the item's. A text of fewer words
-    is one shingle, its whole sequence.
-
-    Null, empty and blank texts have no shingles and are in no pair. Of rows
-    that repeat a doc_id or an item_id the pair with most shared shingles
-    counts, at a tie that of the shorter item. Null ids pair like others.
-    Other columns are ignored. Empty tables give no pairs.
-    """
+def _pairs(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataFrame:
+    """(k, doc_id, item_id, n_item, n_shared) of rows, by key, and items that they contain."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -76,16 +66,32 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, width:
     sizes = here.select("k", "doc_id", words_of(F.col("text")).alias("words")).select("k", "doc_id", F.array_distinct(shingle_texts(width)).alias("found"))
     both = pairs.join(sizes, "k").join(F.broadcast(sets) if small else sets, "item")
     shared = F.size(F.array_intersect("shingles", "found")).cast("long")
-    out = both.select("doc_id", "item_id", "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
+    return both.select("k", "doc_id", "item_id", "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """One row per pair found: doc_id, item_id, n_item, n_shared, containment.
+
+    A pair is found if the document's set of ``width``-word shingles, words
+    lower-cased, holds ``percent`` or more of the item's. A text of fewer words
+    is one shingle, its whole sequence.
+
+    Null, empty and blank texts have no shingles and are in no pair. Of rows
+    that repeat a doc_id or an item_id the pair with most shared shingles
+    counts, at a tie that of the shorter item. Null ids pair like others.
+    Other columns are ignored. Empty tables give no pairs.
+    """
+    out = _pairs(docs, items, percent, width)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", (-F.col("n_item")).alias("m"))).alias("b"))
     n = -F.col("b.m")
     return best.select("doc_id", "item_id", n.alias("n_item"), F.col("b.n_shared").alias("n_shared"), F.round(F.col("b.n_shared") / n, 6).alias("containment"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in no pair of ``contained_items``."""
-    found = contained_items(docs, items, percent, width).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    """The rows of ``docs`` that contain no item: a row goes by its own text, whatever others have its id, or none."""
+    found = _pairs(docs, items, percent, width).select(F.col("k").alias("_k"), F.col("doc_id").alias("_id")).distinct()
+    key = F.xxhash64(docs.doc_id.cast("long"), F.lit("|"), docs.text)
+    return docs.join(found, (key == found["_k"]) & docs.doc_id.cast("long").eqNullSafe(found["_id"]), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
