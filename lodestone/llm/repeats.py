@@ -12,8 +12,10 @@
 4. Spans of repeated windows go back to their documents.
 
 All counting is by grouped sums of digests with map-side partial sums, so a
-passage that a third of all documents share costs each task one row. Equality
-is that of two independent 64-bit digests (key and u, or key and a window's).
+passage that a third of all documents share costs each task one row. Where rows
+are joined by such a passage's key, they are dealt over tasks (``spread_join``).
+Equality is that of two 64-bit digests of unlike bases (key and u, or key and a
+window's).
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import BYTE_CODE, CHUNK_BYTES, Chunk, Rolling, Scratch, U64, chunk_ranges, keyed, signed, splitmix, texts_of
+from lodestone.llm._common import BYTE_CODE, CHUNK_BYTES, Chunk, Rolling, Scratch, U64, chunk_ranges, keyed, signed, splitmix, spread_join, texts_of
 from lodestone.llm.anchors import minimum_anchors, recompression_anchors, runs
 
+#: Elements of a text whose anchors are found at once: their places take 24 bits.
+PLACES = 1 << 24
 ANCHORS = "k long, key long, u long, a int, s0 int, s1 int"
 BLOCKS = "key long, u long, single boolean, t int, size int, core long, whole long"
 HASHED = "key long, u long, single boolean, t int, hashes array<long>"
@@ -39,6 +43,7 @@ class Sequences:
     def __init__(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray):
         self.codes, self.begin, self.size = codes, begin, size
         self.digest = Rolling(codes).slices
+        self.second = Rolling(codes, 1).slices  # of another base: what it names differs wherever one of the two does
 
     def starts(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, place) of every window start."""
@@ -68,13 +73,15 @@ def byte_anchors(width: int, gram: int) -> Callable:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         i = np.arange(len(s.codes) - gram + 1)
         names = s.digest(i, i + gram)
-        if len(names) <= 1 << 24:
+        if len(names) <= PLACES:
             at = minimum_anchors(names, width - gram + 1)[starts]
             return at, names[at]
         at = np.empty(len(starts), np.int64)  # a very long text in overlapping parts
-        step = (1 << 24) - width
+        step = PLACES - width
         for lo in range(0, len(names), step):
             here = (starts >= lo) & (starts < lo + step)
+            if not here.any():
+                continue
             part = minimum_anchors(names[lo : lo + step + width], width - gram + 1)
             at[here] = part[starts[here] - lo] + lo
         return at, names[at]
@@ -83,12 +90,21 @@ def byte_anchors(width: int, gram: int) -> Callable:
 
 
 def word_anchors(width: int, rounds: int) -> Callable:
+    """Places of grams of two high-level symbols. A very long text is taken in parts that overlap by a window: what
+    decides a window's anchor lies inside the window, so any part that holds it finds the same."""
+
     def find(s: Sequences, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         breaks = np.zeros(len(s.codes) + 1, dtype=bool)
         breaks[s.begin] = True
-        if len(s.codes) > 1 << 24:
-            raise ValueError("a text of more than 2**24 words")
-        at, name = recompression_anchors(s.codes, breaks, width, rounds, starts)
+        step = len(s.codes) + 1 if len(s.codes) <= PLACES else PLACES - width
+        at, name = np.empty(len(starts), np.int64), np.empty(len(starts), U64)
+        for lo in range(0, len(s.codes), step):
+            here = (starts >= lo) & (starts < lo + step)
+            if not here.any():
+                continue
+            hi = min(lo + step + width, len(s.codes))
+            found, name[here] = recompression_anchors(s.codes[lo:hi], breaks[lo : hi + 1], width, rounds, starts[here] - lo)
+            at[here] = np.where(found < 0, -1, found + lo)
         own = at < 0
         return np.where(own, starts, at), np.where(own, s.digest(starts, starts + width), name)
 
@@ -120,7 +136,7 @@ def _anchor_rows(sequences: Callable, anchors: Callable, width: int, keys_only:
                 if keys_only:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key))], names=["key"])
                     continue
-                u = s.digest(s0, s1 + width) + splitmix((a - s0).astype(U64))
+                u = s.second(s0, s1 + width) + splitmix((a - s0).astype(U64))
                 columns = [k[lo:hi][d], signed(key), signed(u), *((x - s.begin[d]).astype(np.int32) for x in (a, s0, s1))]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["k", "key", "u", "a", "s0", "s1"])
 
@@ -154,13 +170,13 @@ def _block_rows(sequences: Callable, width: int, block: int, hashed: bool):
                 if hashed:
                     j = np.repeat(np.arange(len(i)), size)
                     w = at[j] + w0[j] + np.arange(len(j)) - np.repeat(np.cumsum(size) - size, size)
-                    hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(s.digest(w, w + width))))
+                    hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(s.second(w, w + width))))
                     yield pa.RecordBatch.from_arrays([*map(pa.array, same), hashes], names=["key", "u", "single", "t", "hashes"])
                     continue
-                whole = s.digest(at + w0, at + w1 + width)
+                whole = s.second(at + w0, at + w1 + width)
                 core0, core1 = a[i] + b * block + block - 1, a[i] + b * block + width
                 inside = (core0 <= s1[i] + width) & (core1 <= s.size[doc][i])
-                core = s.digest(at + np.where(inside, core0, w1), at + np.where(inside, core1, w0 + width))
+                core = s.second(at + np.where(inside, core0, w1), at + np.where(inside, core1, w0 + width))
                 columns = [*same, size.astype(np.int32), signed(core), signed(whole)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "u", "single", "t", "size", "core", "whole"])
 
@@ -170,47 +186,51 @@ def _block_rows(sequences: Callable, width: int, block: int, hashed: bool):
 def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, anchors: Callable, width: int, block: int) -> DataFrame:
     """(k, spans of s0, s1) over ``docs`` (k, doc_id, text): windows s0 to s1 of that document occur elsewhere."""
     texts = docs.select("k", "text")
+    size = F.count(F.lit(1)).alias("size")
     names = texts.mapInArrow(_anchor_rows(sequences, anchors, width, keys_only=True), "key long")
-    keys = scratch.save(names.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    again = scratch.save(texts.mapInArrow(_anchor_rows(sequences, anchors, width), ANCHORS).join(keys, "key"), "again")
+    keys = scratch.save(names.groupBy("key").agg(size).where("size > 1"), "keys")
+    found = texts.mapInArrow(_anchor_rows(sequences, anchors, width), ANCHORS)
+    again = scratch.save(spread_join(found, keys, ["key"], F.struct("k", "s0"), scratch), "again")
     scratch.drop(keys)
-    classes = scratch.save(
-        again.groupBy("key", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "s0", "s1")).alias("at")), "classes"
-    )
-    copies = scratch.save(again.join(classes.where("n > 1").select("key", "u"), ["key", "u"], "left_semi").select("k", "s0", "s1"), "copies")
+    one = F.min(F.struct("k", "a", "s0", "s1")).alias("at")
+    classes = scratch.save(again.groupBy("key", "u").agg(F.count(F.lit(1)).alias("n"), one), "classes")
+    several = classes.where("n > 1").select("key", "u", F.col("n").alias("size"))
+    copies = scratch.save(spread_join(again, several, ["key", "u"], F.struct("k", "s0"), scratch, "left_semi").select("k", "s0", "s1"), "copies")
     scratch.drop(again)
-    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key")
-    rest = classes.join(mixed, "key").select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
+    mixed = scratch.save(classes.groupBy("key").agg(size, F.min("n").alias("least")).where("size > 1 and least = 1").select("key", "size"), "mixed")
+    rest = spread_join(classes, mixed, ["key"], F.col("u"), scratch).select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
     rest = scratch.save(rest.groupBy("k").agg(F.collect_list("span").alias("spans")), "rest")
     scratch.free()
     blocks = texts.join(rest, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, False), BLOCKS)
     blocks = scratch.save(blocks, "blocks")
-    scratch.drop(rest)
+    scratch.drop(rest, mixed)
 
-    by_whole = ["key", "t", "size", "whole"]
-    wholes = scratch.save(blocks.groupBy(by_whole).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_whole), "wholes")
+    by_whole = ["key", "t", "width", "whole"]
+    sized = blocks.withColumnRenamed("size", "width")
+    wholes = scratch.save(sized.groupBy(by_whole).agg(size).where("size > 1"), "wholes")
     places = classes.select("key", "u", "at.k", "at.a")
-    equal = blocks.where("single").join(wholes, by_whole, "left_semi").select("key", "u", "t", (F.col("t") + F.col("size") - 1).alias("t1"))
+    equal = spread_join(sized.where("single"), wholes, by_whole, F.col("u"), scratch, "left_semi").select("key", "u", "t", (F.col("t") + F.col("width") - 1).alias("t1"))
     own = lambda rows: rows.join(places, ["key", "u"]).select("k", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t1")).alias("s1"))
     found = copies.union(own(equal))
     done = [copies, classes, blocks, wholes]
     if block > 1:  # a block of one window is settled as a whole
         by_core = ["key", "b", "core"]
-        cored = blocks.withColumn("b", F.expr(f"cast(floor(t / {block}) as int)"))
-        twice = cored.groupBy(by_core).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(by_core)
-        unsettled = cored.where("single").join(wholes, by_whole, "left_anti").select(by_core).distinct().join(twice, by_core)
-        need = cored.join(scratch.save(unsettled, "cores"), by_core, "left_semi").join(places, ["key", "u"])
-        span = F.struct("key", "u", "single", "a", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t") + F.col("size") - 1).alias("s1"))
+        cored = sized.withColumn("b", F.expr(f"cast(floor(t / {block}) as int)"))
+        twice = cored.groupBy(by_core).agg(size).where("size > 1")
+        unsettled = spread_join(cored.where("single"), wholes, by_whole, F.col("u"), scratch, "left_anti").select(by_core).distinct().join(twice, by_core)
+        cores = scratch.save(unsettled, "cores")
+        need = spread_join(cored, cores, by_core, F.col("u"), scratch, "left_semi").join(places, ["key", "u"])
+        span = F.struct("key", "u", "single", "a", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t") + F.col("width") - 1).alias("s1"))
         need = scratch.save(need.groupBy("k").agg(F.collect_list(span).alias("spans")), "need")
         scratch.free()
         hashed = scratch.save(texts.join(need, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, True), HASHED), "hashed")
         scratch.drop(need)
         single = hashed.select("key", "u", "single", F.posexplode("hashes").alias("i", "h"), "t").select("key", "u", "single", (F.col("t") + F.col("i")).alias("t"), "h")
-        windows = scratch.save(single.groupBy("key", "t", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "t", "h"), "windows")
+        windows = scratch.save(single.groupBy("key", "t", "h").agg(size).where("size > 1"), "windows")
         scratch.free()
-        lone = single.where("single").join(windows, ["key", "t", "h"], "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
+        lone = spread_join(single.where("single"), windows, ["key", "t", "h"], F.col("u"), scratch, "left_semi").select("key", "u", "t", F.col("t").alias("t1"))
         found = found.union(own(lone))
-        done += [hashed, windows]
+        done += [hashed, windows, cores]
     spans = scratch.save(merged_spans(found), "spans")
     scratch.drop(*done)
     return spans

@@ -61,3 +61,57 @@ def test_carried_columns_and_texts(frame):
     got = drop_repeated_passages(frame([(1, text), (2, text + " tail"), (3, "own  words"), (4, None)]), carry=["key", "k"]).orderBy("doc_id").collect()
     assert [(x.kept, x.n_removed, x["key"], x.k) for x in got] == [("", 40, 1, "x"), ("tail", 40, 1, "x"), ("own  words", 0, 1, "x"), (None, 0, 1, "x")]
     assert drop_repeated_passages(frame([])).count() == 0 and drop_repeated_bytes(frame([])).count() == 0
+
+
+def test_long_texts_in_parts(frame, monkeypatch):
+    """Texts over a chunk, and over what anchors are found in at once, lose the same as by brute force."""
+    from lodestone.llm import repeats
+
+    r = random.Random(17)
+    words = lambda n: " ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(n))
+    shared = words(80)
+    rows = [(1, words(3000) + " " + shared + " " + words(200)), (2, words(40) + " " + shared + " " + words(900)), (3, "a " * 700 + words(100)), (4, words(20) + " a" * 300)]
+    want = brute_words(rows, 35), brute_bytes(rows, 200)
+    monkeypatch.setattr(repeats, "PLACES", 512)
+    find = repeats.word_anchors(35, 3), repeats.byte_anchors(200, 16)
+    whole = []
+    for places in (512, 1 << 24):
+        monkeypatch.setattr(repeats, "PLACES", places)
+        for f, of in zip(find, (repeats.word_sequences, repeats.byte_sequences), strict=True):
+            for _, t in rows:
+                s = of([t.encode()])
+                start = s.starts(35 if of is repeats.word_sequences else 200)[1]
+                whole.append([x.tolist() for x in f(s, start)])
+    assert whole[: len(whole) // 2] == whole[len(whole) // 2 :]
+    assert sorted(map(tuple, drop_repeated_passages(frame(rows), digest=True).collect()), key=str) == want[0]
+    assert sorted(map(tuple, drop_repeated_bytes(frame(rows), digest=True).collect()), key=str) == want[1]
+
+
+def test_texts_over_a_chunk(frame):
+    """A text of more than CHUNK_BYTES, with a passage that a short one has too."""
+    from lodestone.llm._common import CHUNK_BYTES
+
+    long = " ".join(f"w{i}" for i in range(CHUNK_BYTES // 7))
+    at = long.index("w90000")
+    passage = long[at : at + 400]
+    assert len(long) > CHUNK_BYTES
+    rows = frame([(1, long), (2, "start " + passage + " end")])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in drop_repeated_bytes(rows).collect()}
+    assert got == {1: (len(long), 402, 1), 2: (410, 402, 1)} or got == {1: (len(long), 401, 1), 2: (410, 401, 1)} or got == {1: (len(long), 400, 1), 2: (410, 400, 1)}
+    n = len(passage.rsplit(" ", 1)[0].split())
+    words = {x.doc_id: x.n_removed for x in drop_repeated_passages(rows).collect()}
+    assert words[1] == words[2] and words[2] in (n, n + 1)
+
+
+def test_many_copies_of_one_passage(frame):
+    """One passage in most texts, with variants of its middle: rows of its keys are dealt over tasks."""
+    r = random.Random(23)
+    base = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        if i % 3:
+            w[r.randrange(40, 50)] = f"v{r.randrange(6)}"
+        rows.append((i, " ".join([f"own{i}x{j}" for j in range(10)] + w)))
+    assert sorted(map(tuple, drop_repeated_passages(frame(rows), digest=True).collect()), key=str) == brute_words(rows, 35)
+    assert sorted(map(tuple, drop_repeated_bytes(frame(rows), digest=True).collect()), key=str) == brute_bytes(rows, 200)
