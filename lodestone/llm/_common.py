@@ -102,22 +102,24 @@ def keyed(docs: DataFrame, *more) -> DataFrame:
     )
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, scratch: Scratch, how: str = "inner") -> DataFrame:
-    """many joined with few, which is unique by ``on`` and saved; its column ``size`` is how many of many's rows it meets.
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], by: Column, scratch: Scratch, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """many joined with few. sizes (by default few itself, then unique by ``on``) is a saved table that says in ``size`` how
+    many of many's rows have a key.
 
     Rows of a key that would be more than a quarter of a task's share are dealt
-    over several tasks by a hash of ``by``, with a copy of few's row for each.
+    over several tasks by a hash of ``by``, with a copy of few's rows for each.
     Of all rows, at most four keys a task are so large: these are broadcast.
     """
-    spark = many.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = few.agg(F.sum("size")).first()[0] or 0
+    sizes = few if sizes is None else sizes
+    tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     share = max(1, total // (4 * tasks))
-    deals = F.ceil(F.col("size") / share).cast("int")
-    hot = few.where(F.col("size") > share).select(*on, deals.alias("_deals"))  # 4 * tasks rows at most
-    dealt = many.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_deals")).cast("int")))
-    copies = F.when(F.col("size") > share, F.sequence(F.lit(0), deals - 1)).otherwise(F.array(F.lit(0)))
-    return dealt.drop("_deals").join(few.withColumn("_deal", F.explode(copies)).drop("size"), [*on, "_deal"], how).drop("_deal")
+    hot = sizes.where(F.col("size") > share).select(*on, F.ceil(F.col("size") / share).cast("int").alias("_deals"))
+    hot = F.broadcast(hot)  # 4 * tasks rows at most
+    dealt = many.join(hot, on, "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_deals")).cast("int")))
+    copies = F.when(F.col("_deals").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_deals") - 1))
+    copied = few.drop("size").join(hot, on, "left").withColumn("_deal", F.explode(copies))
+    return dealt.drop("_deals").join(copied.drop("_deals"), [*on, "_deal"], how).drop("_deal")
 
 
 def carried(docs: DataFrame, names: list[str]) -> tuple[list, str, list]:

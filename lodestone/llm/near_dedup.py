@@ -172,7 +172,7 @@ def near_duplicates(
         tested = scratch.save(_compared(_pivot_pairs(here, turn, scratch), sets, scratch), "tested")
         label = _joined(label, tested.where(_linked(percent)).select("a", "b"), scratch)
         rest = scratch.save(_undecided(tested, label, scratch), "rest")
-        near = _compared(scratch.save(_near_pivot(rest, percent), "near"), sets, scratch).where(_linked(percent)).select("a", "b")
+        near = _compared(scratch.save(_near_pivot(rest, percent, scratch), "near"), sets, scratch).where(_linked(percent)).select("a", "b")
         following = scratch.save(_next_keys(rest, sets, percent, turn, scratch), "keys")
         label = _joined(label, near, scratch)
         scratch.drop(tested, rest, *([here] if turn else []))
@@ -288,18 +288,19 @@ def _undecided(tested: DataFrame, label: DataFrame, scratch: Scratch) -> DataFra
     return spread_join(named, scratch.save(open_.where("c0 <> c1 and size > 2").select("a", "least", "size"), "open"), ["a"], F.col("b"), scratch)
 
 
-def _near_pivot(rest: DataFrame, percent: int) -> DataFrame:
+def _near_pivot(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs whose shingles shared with their pivot would do for a link, if all of the lesser share were common.
 
     One of the two isn't linked to the pivot itself, or both would be in its component.
     """
     q, w = percent, 100 + percent
     fits = F.expr(f"{w} * i >= {q} * (nb + least)")
-    some = rest.where("a <> b").where(fits)
-    far = some.where(~_linked(percent)).withColumn("most", F.expr(f"floor(({w} * i - {q} * nb) / {q})"))
-    top = far.groupBy("a").agg(F.max("most").alias("top"))
-    near = some.join(top, "a").where("nb <= top").select("a", F.col("b").alias("d"), F.col("nb").alias("nd"), F.col("i").alias("j"), F.col("comp").alias("other"))
-    both = far.join(near, "a").where(f"comp <> other and nd <= most and {w} * least(i, j) >= {q} * (nb + nd)")
+    some = scratch.save(rest.where("a <> b").where(fits).withColumn("most", F.when(~_linked(percent), F.expr(f"floor(({w} * i - {q} * nb) / {q})"))), "fitting")
+    top = scratch.save(some.groupBy("a").agg(F.max("most").alias("top"), F.count(F.lit(1)).alias("size")).where("top is not null"), "top")
+    far = some.where("most is not null")
+    near = spread_join(some, top, ["a"], F.col("b"), scratch).where("nb <= top")
+    near = near.select("a", F.col("b").alias("d"), F.col("nb").alias("nd"), F.col("i").alias("j"), F.col("comp").alias("other"))
+    both = spread_join(far, near, ["a"], F.col("b"), scratch, sizes=top).where(f"comp <> other and nd <= most and {w} * least(i, j) >= {q} * (nb + nd)")
     return both.select(
         F.least("b", "d").alias("a"), F.greatest("b", "d").alias("b"),
         F.when(F.col("b") < F.col("d"), F.col("nb")).otherwise(F.col("nd")).alias("na"),
