@@ -27,8 +27,8 @@ UNKNOWN = "und"
 WINDOW = 64
 #: States in each direction.
 HIDDEN = 8
-#: Training sample: documents a language, characters of each, and languages (the most frequent) at most.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 512, 640, 200
+#: Training sample: documents a language, and of all, and characters of each, at most. Every language has one at least.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 512, 65_536, 640
 EPOCHS, STEPS, BATCH, RATE, SEED = 10, 400, 256, 0.02, 11
 #: Windows handled together when scoring: arrays stay in a core's cache.
 TOGETHER = 2048
@@ -81,11 +81,12 @@ class Network:
     def pooled(self, codes: np.ndarray, real: np.ndarray) -> np.ndarray:
         """(W, L): sums of the distributions of each window's real bytes."""
         sums = np.empty((codes.shape[1], len(self.labels)), dtype=F32)
-        for i in range(0, codes.shape[1], TOGETHER):
-            part = np.ascontiguousarray(codes[:, i : i + TOGETHER])
+        together = max(16, TOGETHER * 8 // max(8, len(self.labels)))  # probabilities take a number a label and byte
+        for i in range(0, codes.shape[1], together):
+            part = np.ascontiguousarray(codes[:, i : i + together])
             p = self.probabilities(part, self.states(0, part), self.states(1, part))
-            p *= real[:, None, i : i + TOGETHER]
-            sums[i : i + TOGETHER] = p.sum(axis=0).T
+            p *= real[:, None, i : i + together]
+            sums[i : i + together] = p.sum(axis=0).T
         return sums
 
 
@@ -211,7 +212,7 @@ def _predict(net: Network):
 
 
 def fitted(labelled: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Network:
-    """The network, trained on at most ``per_language`` documents of each of the languages.
+    """The network, trained on at most ``per_language`` documents of each of the languages, fewer if these are very many.
 
     labelled: doc_id, text, lang. The documents are those of the least hash in
     each of ``per_language`` hash classes of a language, so that counting them
@@ -219,14 +220,15 @@ def fitted(labelled: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SA
     """
     h = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     rows = labelled.where("lang is not null and text is not null").withColumn("h", h)
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).collect()
-    labels = sorted(r["lang"] for r in found)
-    least = rows.where(F.col("lang").isin(labels)).groupBy("lang", F.pmod("h", F.lit(per_language)).alias("c")).agg(F.min("h").alias("h"))
+    labels = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # the model holds a row for each
+    number = {x: i for i, x in enumerate(labels)}
+    each = max(1, min(per_language, SAMPLE_ALL // max(1, len(labels))))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(each)).alias("c")).agg(F.min("h").alias("h"))
     span = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
     excerpt = F.substring(F.col("text"), (F.pmod(F.xxhash64("h"), span) + 1).cast("int"), F.lit(chars))
     got = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"]).select("lang", "h", excerpt.alias("text")).dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     texts = [r["text"].encode() for r in got]
-    return train(texts, np.array([labels.index(r["lang"]) for r in got], dtype=np.int64), labels)
+    return train(texts, np.array([number[r["lang"]] for r in got], dtype=np.int64), labels)
 
 
 def identify_languages(
