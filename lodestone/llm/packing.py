@@ -45,12 +45,30 @@ _CLASS[ord("'")] = ODD  # contractions are left to the library
 _CLASS[0] = BREAK
 
 
+#: Texts on which both ways of encoding must agree before the fast one is used.
+PROBES = [b" The  quick brown\n\n fox, 12345 jumps\tover--the lazy dog!  ", "Ünïcödé straße él ñandú  x".encode(), b"", b"a" * 50 + b" " * 9 + b"?!" * 9 + b"0" * 20]
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def fits(path: str) -> bool:
+    """Is the file's tokenizer what the cuts and ``piece_encoder`` take it for: byte-level BPE without a normalizer or
+    options, whose merges come in the order of their ids?"""
+    file = json.loads(open(path, encoding="utf-8").read())
+    cut, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = file.get("normalizer") is None and file.get("post_processor") is None and file.get("truncation") is None and file.get("padding") is None
+    level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    bare = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not (plain and level and bare):
+        return False
+    ids = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return ids[:1] != [-1] and all(a < b for a, b in zip(ids, ids[1:], strict=False))
+
+
 def piece_encoder(path: str):
     """bytes of one pre-token -> ids, by the merges of the same file.
 
@@ -71,7 +89,9 @@ class TokenIds:
     """The library's ids of whole texts, with each distinct pre-token looked up once.
 
     Texts of ASCII and two-byte Latin letters are cut into pre-tokens as byte
-    arrays; a text with any other sign goes to the library whole.
+    arrays; a text with any other sign goes to the library whole. So does every
+    text if the file isn't of the kind for which the cuts hold (``fits``), or if
+    ids of the texts in ``PROBES`` differ from the library's.
     """
 
     def __init__(self, path: str):
@@ -80,8 +100,10 @@ class TokenIds:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.piece = piece_encoder(path)
+        self.piece = piece_encoder(path) if fits(path) else None
         self._reset()
+        if self.piece and any((a != self.whole(t)).any() if len(a := self.encode([t])[0]) == len(self.whole(t)) else True for t in PROBES):
+            self.piece = None
 
     def _reset(self) -> None:
         self.row: dict[int, int] = {}
@@ -104,6 +126,8 @@ class TokenIds:
         return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.piece:
+            return list(map(self.whole, texts))
         raw = b"\0" + b"\0".join(texts) + b"\0"
         buf = np.frombuffer(raw, dtype=np.uint8)
         kind = _CLASS[buf]

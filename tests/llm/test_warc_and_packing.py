@@ -78,3 +78,14 @@ def test_packing(spark):
             at += length
         assert at <= 2048
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_another_vocabulary_goes_whole():
+    """The cuts hold for one kind of file; texts of another are encoded by the library alone."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("word_bpe_49k.json")
+    tokens, library = packing.TokenIds(path), Tokenizer.from_file(path)
+    texts = [b"Hello, world! It's  fine.", b"", "é x 12".encode()]
+    assert packing.fits(packing.tokenizer_path()) and tokens.piece is None
+    assert [x.tolist() for x in tokens.encode(texts)] == [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
