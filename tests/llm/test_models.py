@@ -54,19 +54,62 @@ def test_languages(spark):
     assert {x.lang_pred for x in language_id.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_pairs_that_lines_cannot_learn():
-    """Toxic is one of two words without the other: the factors must carry it."""
-    r = random.Random(6)
+def test_more_languages_than_two_hundred(spark, monkeypatch):
+    """Each of 230 languages can be predicted, however few its documents."""
+    monkeypatch.setattr(language_id, "EPOCHS", 1)
+    monkeypatch.setattr(language_id, "STEPS", 5)
+    rows = [(i, f"text {i} " * 3, f"l{i % 230}") for i in range(460)]
+    net = language_id.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(net.labels) == 230 and net.o.shape[0] == 230
+
+
+def _pairs(seed, label):
+    r = random.Random(seed)
     texts, y = [], []
     for _ in range(1500):
         words = [r.choice("abcdefgh") * 2 for _ in range(6)]
         a, b = r.random() < 0.5, r.random() < 0.5
         texts.append(" ".join(words + ["insult"] * a + ["group"] * b).encode())
-        y.append(float(a and b))
-    doc, term = toxicity.term_sets(texts)
-    fm = toxicity.train(doc, term, np.array(y), epochs=20)
-    p = 1 / (1 + np.exp(-fm.scores(doc, term, len(texts))))
-    assert ((p >= 0.5) == (np.array(y) > 0)).mean() > 0.97
+        y.append(float(label(a, b)))
+    return *toxicity.term_sets(texts), np.array(y)
+
+
+def test_pairs_that_lines_cannot_learn():
+    """Toxic is one of two words without the other, which says nothing by itself: the factors must carry it. And both together."""
+    for label in (lambda a, b: a != b, lambda a, b: a and b):
+        fm = toxicity.train(*_pairs(6, label))
+        doc, term, y = _pairs(7, label)
+        assert ((fm.scores(doc, term, len(y)) >= 0) == (y > 0)).mean() > 0.95
+
+
+def test_machine_against_a_double_loop():
+    r = np.random.default_rng(1)
+    fm = toxicity.Machine(0.3, r.standard_normal(7), r.standard_normal((7, 3)))
+    sets = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5, 6]]
+    doc, term = (np.array(x) for x in zip(*((i, t) for i, s in enumerate(sets) for t in s), strict=True))
+    want = [0.3 + sum(fm.w[t] for t in s) + sum(fm.v[a] @ fm.v[b] for a in s for b in s if a < b) for s in sets]
+    assert np.allclose(fm.scores(doc, term, 4), want)
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+
+    def loss():
+        odds = fm.scores(doc, term, 4)
+        return ((np.logaddexp(0, odds) - y * odds) * np.where(y > 0, toxicity.POSITIVE, 1)).sum()
+
+    d0, used, dw, dv = toxicity._gradients(fm, doc, term, y)
+    assert used.tolist() == list(range(7))
+    for param, grad in ((fm.w, dw), (fm.v, dv)):
+        for at in np.ndindex(param.shape):
+            old = param[at]
+            param[at] = old + 1e-5
+            up = loss()
+            param[at] = old - 1e-5
+            down = loss()
+            param[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6
+    fm.w0 += 1e-5
+    up = loss()
+    fm.w0 -= 2e-5
+    assert abs((up - loss()) / 2e-5 - d0) < 1e-6
 
 
 def test_toxicity(spark):
@@ -110,10 +153,87 @@ def test_lm_against_counts(spark, monkeypatch):
 def test_lm_is_a_distribution():
     """Spelling probabilities of all one-byte tokens, and the end, can't exceed 1."""
     code = lm_scoring.huffman(np.arange(256))
-    mixer = lm_scoring.fit(code, np.zeros((lm_scoring.SLOTS, 2), dtype=np.uint32), [])
+    mixer = lm_scoring.fit(code, np.zeros((lm_scoring.SLOTS, 2), dtype=np.int64), [])
     t = lm_scoring.tokens_of([bytes([b]) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)] + [b""])
     first = t.first[:-1]
-    assert (10 ** mixer.log10(t, first)).sum() <= 1 + 1e-6
+    assert (10 ** mixer.log10(t, first, False)).sum() <= 1 + 1e-6 and not mixer.log10(t, first, True).any()
+
+
+def test_lm_heads_and_tails_are_all_bits():
+    """A token's bits are its head's and its tail's, and the head's as of the number that stands for it."""
+    t = lm_scoring.tokens_of([b"ab abcdefghijk a \xc3\xa9t\xc3\xa9 zz", b"", None, b"abcdefghijk ab"] + [bytes([97 + i % 26, 97 + i // 26]) for i in range(300)])
+    rows, back = lm_scoring.distinct(t)
+    heads, which = lm_scoring.heads_of(t, rows, back)
+    assert (np.diff(heads) > 0).all() and len(which) == len(t.codes)
+    code = lm_scoring.huffman(np.arange(256))
+    every = np.arange(len(t.codes))
+    whole = lm_scoring.bits_of(t, every, code, False)
+    alone = lm_scoring.bits_of(lm_scoring.head_tokens(heads), which, code, False)
+    for x, y in zip([*whole.slots, whole.node, whole.bit, whole.place, whole.token], [*alone.slots, alone.node, alone.bit, alone.place, alone.token], strict=True):
+        assert (x == y).all()
+    tail = lm_scoring.bits_of(t, every, code, True)
+    symbols = t.end - t.start + 1
+    size = np.diff(code.first)
+    for i in range(8):
+        text = [*t.buf[t.start[i] : t.end[i]].tolist(), 0x20]
+        assert (whole.token == i).sum() == size[text[:3]].sum() and (tail.token == i).sum() == size[text[3:]].sum() and symbols[i] == len(text)
+
+
+def test_lm_scores_against_a_plain_loop(spark, monkeypatch):
+    """score from the fitted parts, token by token and bit by bit, with plain dictionaries; equal at 4 and at 100 partitions."""
+    r = random.Random(21)
+    names = [f"{a}{b}" for a in ("ka", "to", "mirel", "s") for b in ("", "n", "dor", "xyz")]
+    rows = [(i, " ".join(r.choice(names) for _ in range(r.randrange(0, 30))) + (" unseen" * (i % 3))) for i in range(90)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    score = lm_scoring._score
+
+    def spy(shared, frequent, total, base, new):
+        seen.update(mixer=shared.value[0], guesses=shared.value[1], total=total, new=new)
+        return score(shared, frequent, total, base, new)
+
+    monkeypatch.setattr(lm_scoring, "_score", spy)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 50)
+    by = [{x.doc_id: x.score for x in lm_scoring.score_texts(df.repartition(n)).collect()} for n in (4, 100)]
+    assert all(abs(by[0][d] - by[1][d]) < 1e-6 * max(1, abs(by[0][d])) for d, _ in rows)
+    mixer, guesses = seen["mixer"], seen["guesses"]
+    split = lambda t: (t or "").lower().split() + [""]
+    count = Counter(w for d, t in rows if crc32(str(d).encode()) % 10 for w in split(t))
+
+    def spelt(word, before):
+        text = b"  "[: 2 - min(len(before), 2)] + before[-2:] if before else b"  "
+        t = lm_scoring.Tokens(np.frombuffer(word or b"x", dtype=np.uint8), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.array([len(word)]), np.array([text[0] << 8 | text[1]], np.uint16), np.array([0, 1]))
+        lost = 0.0
+        for tail in (False, True):
+            b = lm_scoring.bits_of(t, np.array([0]), mixer.code, tail)
+            for i, node in enumerate(b.node):
+                known = mixer.known[b.slots[-1][i] - lm_scoring._OFFSET[-2]]
+                x = sum(float(mixer.weights[k, b.place[i] * 4 + known]) * float(mixer.odds[b.slots[k][i]]) for k in range(5))
+                z = min(max(x, -7.999), 7.999) * 2 + 16
+                row = mixer.refined[int(node)]
+                p = row[int(z)] * (1 - z + int(z)) + row[int(z) + 1] * (z - int(z))
+                p = min(max((p + 1 / (1 + math.exp(-x))) / 2, 1e-6), 1 - 1e-6)
+                lost += math.log10(p if b.bit[i] else 1 - p)
+        return lost
+
+    for d, text in rows:
+        words, total, run, right, due = [w.encode() for w in split(text)], 0.0, 0, 0.0, 0.0
+        t = lm_scoring.tokens_of([(text or "").encode()])
+        slot, name = lm_scoring.guess_keys(t)
+        for i, w in enumerate(words):
+            at, p, hit = slot[i], 0.0, False
+            if guesses.name[at] and guesses.count[at] >= lm_scoring.GUESS_COPIES:
+                hit = guesses.name[at] == name[i]
+                first = float(guesses.chance(np.array([min(run, 7) * 8 + min(int(math.log2(guesses.count[at])), 7)]), np.array([guesses.name[at] >> 20]))[0])
+                odds = first / (1 - first) * ((right + 2) / (due + 2)) ** lm_scoring.FOLLOW
+                p, right, due = min(max(odds / (1 + odds), 1e-4), 1 - 1e-4), right + hit, due + first
+            run = run + 1 if hit else 0
+            if hit:
+                total += math.log10(p)
+            else:
+                before = words[i - 1] if i else b""
+                total += math.log10((1 - p) * (seen["new"] * 10 ** spelt(w, before) + (1 - seen["new"]) * count[w.decode()] / seen["total"]))
+        assert abs(total - by[0][d]) < 2e-5 * max(1, abs(total)), (d, total, by[0][d])
 
 
 def test_lm_guesses_are_those_of_all_texts():
@@ -126,7 +246,7 @@ def test_lm_guesses_are_those_of_all_texts():
     tasks = [task("x", "x", "x", "m", "m"), task("y", "y", "y", "m", "m"), task("z", "z", "z", "m", "m")] + [task("c d" if i else "e f") for i in range(3)]
     rows = sorted(((r["block"], r["data"]) for t in tasks for b in t for r in b.to_pylist()), key=lambda x: x[0])
     batch = pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["block", "data"])
-    best = {r["slot"]: (r["h"], r["n"]) for b in lm_scoring._best_guesses(iter([batch])) for r in b.to_pylist()}
+    best = {r["slot"]: (r["h"] & 0xFFFFFFFF, r["n"]) for b in lm_scoring._best_guesses(iter([batch])) for r in b.to_pylist()}
     slot, name = lm_scoring.guess_keys(lm_scoring.tokens_of([b"a b m", b"b c d"]))
     assert best[slot[2]] == (name[2], 6)
     slot, name = lm_scoring.guess_keys(lm_scoring.tokens_of([b"a b c d"]))
@@ -134,12 +254,13 @@ def test_lm_guesses_are_those_of_all_texts():
 
 
 def test_lm_contexts_reach_into_the_token_before(spark):
-    """The same token after another last byte is another pair, with bits in other slots, and its spelling is learned by it."""
+    """The same token after another last byte has another head, with bits in other slots, and its spelling is learned by it."""
     t = lm_scoring.tokens_of([b"a x", b"b x", b"a x"])
     rows, back = lm_scoring.distinct(t)
-    assert len(rows) == 5 and back[1] == back[7] != back[4]  # a, b, x after a, x after b, and the end
+    heads, which = lm_scoring.heads_of(t, rows, back)
+    assert (len(rows), len(heads)) == (4, 5) and which[1] == which[7] != which[4]
     code = lm_scoring.huffman(np.arange(256))
-    bits = [lm_scoring.bits_of(t, np.array([i]), code).slots for i in (1, 4)]
+    bits = [lm_scoring.bits_of(t, np.array([i]), code, False).slots for i in (1, 4)]
     assert [bool((x != y).any()) for x, y in zip(*bits, strict=True)] == [False, True, True, True, False]
     r = random.Random(3)
     begin = {"q": "zu", "w": "ko"}
