@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestone.llm import byte_dedup, decontamination, language_id, lm_scoring, near_dedup, packing, substring_dedup, topk_search, toxicity, warc
+from lodestone.llm import byte_dedup, decontamination, language_id, lm_scoring, near_dedup, packing, simhash_dedup, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_pack": packing.op9_pack,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
 
 
