@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestone.llm import byte_dedup, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, simhash_dedup, substring_dedup, topk_search, toxicity, warc
+from lodestone.llm import byte_dedup, decontamination, divergence, language_id, lm_scoring, near_dedup, packing, simhash_dedup, spelling, substring_dedup, topk_search, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_pack": packing.op9_pack,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_simhash_dedup": simhash_dedup.op13_simhash_dedup,
     }
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": near_dedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
         "op12_source_divergence": divergence.OP12_SQL,
     }
