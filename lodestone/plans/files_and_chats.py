@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import chat, ingest
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import query
+from lodestone.sources import connectors
+from lodestone.sources.scratch import saved, shared_folder
 from lodestone.sources.tables import Model
 
 # ---------------------------------------------------------------- listings
@@ -40,6 +42,27 @@ def _(m):
     return ingest.walk(ingest.listed(_entries(m)), ["root"])
 
 
+def _drive(m: Model, wanted: dict | None = None) -> DataFrame:
+    """The same drive through its connector."""
+    path = f"{shared_folder(m.spark, 'drive')}/entries"
+    connectors.write_drive(_entries(m).withColumn("size", F.lit(None).cast("long")), path)
+    return connectors.listing(m.spark, "drive", wanted, path=path)
+
+
+@query("connector_walk", "with recursive " + _ENTRIES + """, w as (select id, name as path, kind from e where parent_id is null union all select e.id, w.path || '/' || e.name, e.kind from w join e on e.parent_id = w.id where w.kind = 'folder' and e.name <> 'back')
+select id, path from w where kind = 'pdf'""")
+def _(m):
+    entries = saved(_drive(m), "listing")  # a drive is listed once, not once a level
+    return ingest.walk(ingest.listed(entries.withColumn("trashed", F.lit(False))), ["root"])
+
+
+@query("connector_listing", "with " + _ENTRIES + " select id, parent_id, name, cast((row_number() over (partition by parent_id order by name, id) - 1) // 100 as integer) as page from e where parent_id in ('src1/en', 'src2/en') and kind = 'pdf'")
+def _(m):
+    x = _drive(m, {"parent_id": ["src1/en", "src2/en"], "mime": [ingest.READ[0]]}).where(F.col("mime") == ingest.READ[0])
+    place = F.row_number().over(Window.partitionBy("parent_id").orderBy("page", "name", "id")) - 1  # two folders' entries
+    return x.select("id", "parent_id", "name", F.floor(place / connectors.PAGE).cast("int").alias("page"))
+
+
 @query("drive_browse", "with " + _ENTRIES + " select id, parent_id, name, kind = 'folder' as is_folder from e where kind in ('folder', 'png', 'pdf')")
 def _(m):
     seen = ingest.folders_first(ingest.browsable(ingest.listed(_entries(m))))
