@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import chat, ingest
+from lodestone.operators import agent_runs, chat, ingest
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import query
 from lodestone.sources import connectors
@@ -211,3 +211,30 @@ def _(m):
 select run_id, coalesce(string_agg(content, '' order by seq) filter (event = 'token' and seq > cut), '') as answer from e join c using (run_id) group by run_id""")
 def _(m):
     return chat.answers(_events(m))
+
+
+# ---------------------------------------------------------------- logs of runs
+
+
+def _log(m: Model) -> DataFrame:
+    """Logs of runs: what events of a user are in order of time, a run a user."""
+    kind = F.get(F.array(*map(F.lit, ("tool_start", "thinking", "tool_start", "tool_result", "tool_result", "narration_end", "tool_start", "token"))), (F.col("event_id") * 5 % 8).cast("int"))
+    return m.read("events").select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("seq"), "ts", kind.alias("event"))
+
+
+_LOG = """with e as (select user_id as run_id, event_id, ts, (['tool_start', 'thinking', 'tool_start', 'tool_result', 'tool_result', 'narration_end', 'tool_start', 'token'])[cast(event_id * 5 % 8 as integer) + 1] as event from events),
+f as (select *, case when event <> 'tool_result' and lag(event) over w = 'tool_result' then 1 else 0 end as b, sum(case event when 'tool_start' then 1 when 'tool_result' then -1 else 0 end) over w as s,
+  date_diff('microsecond', ts, lead(ts) over w) as micros from e window w as (partition by run_id order by ts, event_id)),
+x as (select *, 1 + sum(b) over w as iteration, s - least(0, min(s) over w) as open from f window w as (partition by run_id order by ts, event_id rows unbounded preceding))"""
+
+
+@query("agent_run_summary", _LOG + """ select run_id, cast(max(iteration) as bigint) as iterations, count(*) filter (event = 'tool_start') as calls, count(*) filter (event = 'tool_start' and iteration > 5) as calls_cut, cast(max(open) as bigint) as peak_open,
+cast(coalesce(sum(micros) filter (open >= 1), 0) as bigint) as busy_micros, cast(coalesce(sum(micros) filter (open >= 2), 0) as bigint) as parallel_micros from x group by run_id""")
+def _(m):
+    return agent_runs.summary(_log(m))
+
+
+@query("agent_iterations", _LOG + """ select run_id, cast(iteration as bigint) as iteration, count(*) as events, count(*) filter (event = 'tool_start') as calls, count(*) filter (event = 'tool_result') as results, cast(max(open) as bigint) as peak_open,
+cast(coalesce(sum(micros), 0) as bigint) as micros, iteration > 5 as cut from x group by run_id, iteration""")
+def _(m):
+    return agent_runs.iterations(_log(m))
