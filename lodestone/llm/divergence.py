@@ -31,7 +31,9 @@ from lodestone.llm._common import Scratch, spread_join, texts_of
 
 UNIT, PRIOR = 1_000_000_000, 5
 #: Distinct (source, term) that a task holds before it sends on its sums; bytes of a text that are cut at once.
-HELD, PIECE = 400_000, 1 << 20
+HELD, PIECE = 1_000_000, 1 << 20
+#: A document in a sum that holds occurrences too: a task has fewer occurrences of a term.
+DOC = 1 << 40
 #: Sources in a block of a cell, and terms of a cell.
 SOURCES, TERMS = 256, 4096
 #: Each batch of the search may evaluate so many times the postings of the one before.
@@ -57,30 +59,30 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), strict=True):
-            n, docs = held.setdefault((lang, source), (Counter({b"": 0}), Counter()))
-            size -= len(n)
-            here: set[bytes] = set()
+            sums = held.setdefault((lang, source), {b"": 0})
+            size -= len(sums)
+            here: Counter = Counter()
             for part in _pieces((text or b"").lower()):  # of bytes: A-Z alone
-                words = _TERM.findall(part)
-                n.update(words)
-                here.update(words)
-            docs.update(here)
-            size += len(n)
+                here.update(_TERM.findall(part))
+            for term, n in here.items():
+                sums[term] = sums.get(term, 0) + n + DOC
+            size += len(sums)
             if size > HELD:
-                yield _sums(held)
+                yield from _sums(held)
                 held, size = {}, 0
-    if held:
-        yield _sums(held)
+    yield from _sums(held)
 
 
-def _sums(held: dict) -> pa.RecordBatch:
-    rows = [(lang, source, t.decode(), c, docs[t]) for (lang, source), (n, docs) in held.items() for t, c in n.items()]
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=re.findall(r"(\w+) \w+", COUNTS))
+def _sums(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), sums in held.items():
+        both = np.fromiter(sums.values(), dtype=np.int64, count=len(sums))
+        terms = pa.array(list(sums), pa.binary()).cast(pa.string())
+        same = [pa.repeat(pa.scalar(x, pa.string()), len(sums)) for x in (lang, source)]
+        yield pa.RecordBatch.from_arrays([*same, terms, pa.array(both % DOC), pa.array(both // DOC)], names=re.findall(r"(\w+) \w+", COUNTS))
 
 
 def _share(n: str | Column, total: str, terms: str) -> Column:
