@@ -460,4 +460,4 @@ def _(m):
     return ingest.walk(root.union(folders).union(files), ["root"])
 
 
-from lodestone.plans import document_changes, extractions, files_and_chats, graph_changes, texts  # noqa: E402, F401  they register their queries
+from lodestone.plans import document_changes, extractions, files_and_chats, graph_changes, ingestion_runs, texts  # noqa: E402, F401  they register their queries
