@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunking, text
+from lodestone.functions import chunking, processors, text
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import query
 
@@ -112,3 +112,14 @@ def _(m):
     labels = m.entities().select(e.alias("name"), text.safe_label(e).alias("label"), text.safe_title(F.concat(e, F.lit("/ x"))).alias("title"), *(F.lit("").alias(c) for c in ("parent", "leaf", "size"))).distinct()
     largest = m.files().groupBy("folder_path").agg(F.max("size_bytes").alias("b"))
     return labels.union(largest.select(f, none, none, text.path_parent(f), text.path_leaf(f), text.human_size(F.col("b"))))
+
+
+@query("process_documents", _chunk_sql("parts as (select doc_id, 0 as s, text as body from documents where doc_id % 3 <> 2)", f"""select doc_id, i as chunk_index, '' as heading, piece as content, {_WORDS.format('piece')} as token_count, null as error from pieces
+union all select doc_id, null, null, null, null, case when doc_id % 2 = 0 then 'no processor for application/zip' else 'no content' end from documents where doc_id % 3 = 2"""))
+def _(m):
+    processors.register(m.spark)
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "text/plain").when(i % 3 == 1, "TXT").when(i % 2 == 0, "application/zip").otherwise("txt")
+    content = F.when((i % 3 != 2) | (i % 2 == 0), F.encode("text", "utf-8"))
+    files = m.read("documents").select(i, kind.alias("kind"), content.alias("content"))
+    return m.spark.sql("select doc_id, p.* from {files}, lateral process_document(kind, content, 1000, 200) p", files=files)
