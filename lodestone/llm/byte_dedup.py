@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Scratch, chunk_ranges, keyed, texts_of
-from lodestone.llm.repeats import byte_anchors, byte_sequences, covered, repeated_spans
+from lodestone.llm.repeats import byte_anchors, byte_sequences, covered, doubled, repeated_spans, with_spans
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept "
 #: Bytes in a trigger, and windows whose digests stand in one row while copies' surroundings are compared.
@@ -71,11 +71,28 @@ def drop_repeated_bytes(docs: DataFrame, window: int = 200, digest: bool = False
     """
     scratch = Scratch(docs.sparkSession, "byte-dedup")
     rows = keyed(docs)
-    spans = repeated_spans(rows, scratch, byte_sequences, byte_anchors(window, GRAM), window, BLOCK)
-    joined = rows.join(spans, "k", "left").select("doc_id", "text", "spans")
+    doubles = doubled(rows, scratch)
+    spans = repeated_spans(rows, scratch, byte_sequences, byte_anchors(window, GRAM), window, BLOCK, doubles)
+    joined = with_spans(rows, spans, doubles, scratch).select("doc_id", "text", "spans")
     return joined.mapInArrow(_removal(window, digest), RESULT + ("string" if digest else "binary"))
 
 
 def op5_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+starts as (select doc_id, unnest(range(1, greatest(octet_length(b) - 198, 1))) as s, b from d),
+windows as materialized (select doc_id, s, hash(b[s:s + 199]) as h, md5_number(b[s:s + 199]) as h2 from starts),
+again as (select h, h2 from windows group by h, h2 having count(*) > 1),
+spans as (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from windows join again using (h, h2)),
+runs as (select doc_id, min(s) as s0, max(s) + 200 as s1 from (select doc_id, s, sum(case when s <= before + 200 then 0 else 1 end) over (partition by doc_id order by s) as r from spans) group by doc_id, r),
+parts as (select doc_id, s0, s1, coalesce(lag(s1) over (partition by doc_id order by s0), 1) as k0 from runs),
+gone as (select doc_id, count(*) as n_spans, sum(s1 - s0) as n_removed, max(s1) as last from runs group by doc_id),
+kept as (select doc_id, string_agg(hex(b[k0:s0 - 1]), '' order by s0) as head from parts join d using (doc_id) group by doc_id)
+select d.doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(case when n_spans is null then b else unhex(head || hex(b[last:octet_length(b)])) end) as kept_sha256
+from d left join gone using (doc_id) left join kept using (doc_id)
+"""

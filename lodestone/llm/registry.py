@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": decontamination.OP3_SQL,
         "op4_topk": topk_search.OP4_SQL,
+        "op5_byte_dedup": byte_dedup.OP5_SQL,
         "op7_near_dedup": near_dedup.OP7_SQL,
         "op8_warc": warc.OP8_SQL,
         "op10_substring_dedup": substring_dedup.OP10_SQL,

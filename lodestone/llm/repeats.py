@@ -183,25 +183,44 @@ def _block_rows(sequences: Callable, width: int, block: int, hashed: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, anchors: Callable, width: int, block: int) -> DataFrame:
-    """(k, spans of s0, s1) over ``docs`` (k, doc_id, text): windows s0 to s1 of that document occur elsewhere."""
+def doubled(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(k, size) of rows (k, ...) that repeat another's id and text; None if there are none."""
+    found = scratch.save(rows.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "doubled")
+    return None if found.isEmpty() else found
+
+
+def with_spans(rows: DataFrame, spans: DataFrame, doubles: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """rows with the spans of their k, if any. A row that repeats very often is dealt over tasks."""
+    if doubles is None:
+        return rows.join(spans, "k", "left")
+    return spread_join(rows, spans, ["k"], F.struct(F.spark_partition_id(), F.monotonically_increasing_id()), scratch, "left", sizes=doubles)
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, anchors: Callable, width: int, block: int, doubles: DataFrame | None = None) -> DataFrame:
+    """(k, spans of s0, s1) over ``docs`` (k, doc_id, text): windows s0 to s1 of that document occur elsewhere.
+
+    doubles: see ``doubled``. Of rows that repeat each other one is enough to
+    have its windows digested.
+    """
     texts = docs.select("k", "text")
+    once = lambda lists: texts.join(lists, "k") if doubles is None else texts.join(lists, "k").dropDuplicates(["k"])
+    place = F.struct("k", "s0", F.spark_partition_id())  # copies of a row stand in several partitions
     size = F.count(F.lit(1)).alias("size")
     names = texts.mapInArrow(_anchor_rows(sequences, anchors, width, keys_only=True), "key long")
     keys = scratch.save(names.groupBy("key").agg(size).where("size > 1"), "keys")
     found = texts.mapInArrow(_anchor_rows(sequences, anchors, width), ANCHORS)
-    again = scratch.save(spread_join(found, keys, ["key"], F.struct("k", "s0"), scratch), "again")
+    again = scratch.save(spread_join(found, keys, ["key"], place, scratch), "again")
     scratch.drop(keys)
     one = F.min(F.struct("k", "a", "s0", "s1")).alias("at")
     classes = scratch.save(again.groupBy("key", "u").agg(F.count(F.lit(1)).alias("n"), one), "classes")
     several = classes.where("n > 1").select("key", "u", F.col("n").alias("size"))
-    copies = scratch.save(spread_join(again, several, ["key", "u"], F.struct("k", "s0"), scratch, "left_semi").select("k", "s0", "s1"), "copies")
+    copies = scratch.save(spread_join(again, several, ["key", "u"], place, scratch, "left_semi").select("k", "s0", "s1"), "copies")
     scratch.drop(again)
     mixed = scratch.save(classes.groupBy("key").agg(size, F.min("n").alias("least")).where("size > 1 and least = 1").select("key", "size"), "mixed")
     rest = spread_join(classes, mixed, ["key"], F.col("u"), scratch).select("at.k", F.struct("key", "u", (F.col("n") == 1).alias("single"), "at.a", "at.s0", "at.s1").alias("span"))
     rest = scratch.save(rest.groupBy("k").agg(F.collect_list("span").alias("spans")), "rest")
     scratch.free()
-    blocks = texts.join(rest, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, False), BLOCKS)
+    blocks = once(rest).select("text", "spans").mapInArrow(_block_rows(sequences, width, block, False), BLOCKS)
     blocks = scratch.save(blocks, "blocks")
     scratch.drop(rest, mixed)
 
@@ -223,7 +242,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, sequences: Callable, ancho
         span = F.struct("key", "u", "single", "a", (F.col("a") + F.col("t")).alias("s0"), (F.col("a") + F.col("t") + F.col("width") - 1).alias("s1"))
         need = scratch.save(need.groupBy("k").agg(F.collect_list(span).alias("spans")), "need")
         scratch.free()
-        hashed = scratch.save(texts.join(need, "k").select("text", "spans").mapInArrow(_block_rows(sequences, width, block, True), HASHED), "hashed")
+        hashed = scratch.save(once(need).select("text", "spans").mapInArrow(_block_rows(sequences, width, block, True), HASHED), "hashed")
         scratch.drop(need)
         single = hashed.select("key", "u", "single", F.posexplode("hashes").alias("i", "h"), "t").select("key", "u", "single", (F.col("t") + F.col("i")).alias("t"), "h")
         windows = scratch.save(single.groupBy("key", "t", "h").agg(size).where("size > 1"), "windows")
@@ -249,4 +268,4 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.distinct().groupBy("k").agg(F.collect_list(F.struct("s0", "s1")).alias("spans"))
 
 
-__all__ = ["CHUNK_BYTES", "Sequences", "byte_anchors", "byte_sequences", "covered", "keyed", "merged_spans", "repeated_spans", "word_anchors", "word_sequences"]
+__all__ = ["CHUNK_BYTES", "Sequences", "byte_anchors", "byte_sequences", "covered", "doubled", "keyed", "merged_spans", "repeated_spans", "with_spans", "word_anchors", "word_sequences"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Chunk, Scratch, carried, chunk_ranges, keyed, texts_of
-from lodestone.llm.repeats import covered, repeated_spans, word_anchors, word_sequences
+from lodestone.llm.repeats import covered, doubled, repeated_spans, with_spans, word_anchors, word_sequences
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -72,8 +72,9 @@ def drop_repeated_passages(docs: DataFrame, window: int = 35, rounds: int = 3, d
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     inside, schema, back = carried(docs, carry or [])
     rows = keyed(docs, *inside)
-    spans = repeated_spans(rows, scratch, word_sequences, word_anchors(window, rounds), window, 1)
-    joined = rows.join(spans, "k", "left").select("doc_id", "text", "spans", *(f"x{i}" for i in range(len(inside))))
+    doubles = doubled(rows, scratch)
+    spans = repeated_spans(rows, scratch, word_sequences, word_anchors(window, rounds), window, 1, doubles)
+    joined = with_spans(rows, spans, doubles, scratch).select("doc_id", "text", "spans", *(f"x{i}" for i in range(len(inside))))
     return joined.mapInArrow(_removal(window, digest), RESULT + schema).select("doc_id", "n_words", "n_removed", "kept", *back)
 
 

@@ -115,3 +115,28 @@ def test_many_copies_of_one_passage(frame):
         rows.append((i, " ".join([f"own{i}x{j}" for j in range(10)] + w)))
     assert sorted(map(tuple, drop_repeated_passages(frame(rows), digest=True).collect()), key=str) == brute_words(rows, 35)
     assert sorted(map(tuple, drop_repeated_bytes(frame(rows), digest=True).collect()), key=str) == brute_bytes(rows, 200)
+
+
+@pytest.mark.parametrize("drop, brute, width", [(drop_repeated_bytes, brute_bytes, 200), (drop_repeated_passages, brute_words, 35)])
+def test_rows_that_repeat_with_their_id_are_digested_once(spark, frame, monkeypatch, drop, brute, width):
+    """Many copies of one row under one id, and variants of it: the digested windows don't grow with the copies."""
+    from lodestone.llm import _common
+
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(250))
+    other = text[:700] + "CHANGED" + text[705:]
+    sizes, save = {}, _common.Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name in ("hashed", "blocks"):
+            sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(_common.Scratch, "save", counted)
+    for copies in (3, 2000):
+        rows = [(None, text)] * copies + [(1, other), (2, other[900:]), (2, other[900:])]
+        got = sorted(map(tuple, drop(frame(rows), digest=True).collect()), key=str)
+        assert got == (brute(rows, width) if copies == 3 else sorted(first * copies + rest, key=str))
+        first, rest = [x for x in got if x[0] is None][:1], [x for x in got if x[0] is not None]
+    assert all(len(set(n)) == 1 for n in sizes.values()), sizes
