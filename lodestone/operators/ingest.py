@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension, path_leaf, path_parent
+from lodestone.operators.running import numbered
 from lodestone.sources.scratch import saved
 
 #: Types of files that are read, and what entries without content are (fixed values of the source's API).
@@ -244,3 +245,69 @@ def rate_limited(requests: DataFrame, seconds: int = 60, most: int = 10) -> Data
     same = Window.partitionBy("user_id", "ts")
     here = requests.withColumn("n", F.count(F.lit(1)).over(span) - F.count(F.lit(1)).over(same) + F.row_number().over(same.orderBy("event_id")) - 1)
     return here.select("event_id", "user_id", "ts", F.col("n").alias("recent"), (F.col("n") < most).alias("allowed"))
+
+
+def retried(files: DataFrame, outcome: Callable[[Column, Column, Column], Column], most_download: int = 2, most_embed: int = 2) -> DataFrame:
+    """Every attempt of failed files (id, stage, retry_count) until each succeeds or reaches its class's cap.
+
+    id, attempt (the file's count after it), step (download or embed), wait_seconds
+    before it, stage after it, given_up (no attempt is left). outcome(id, attempt,
+    step) is the stage that an attempt ends with. What fails anew re-enters, in
+    the class of the stage it failed at, so a download that is mended can still
+    fail to embed. A round is one pass over the files still failed; rounds end
+    with them, at the larger cap at most. Files whose cap is reached already, and
+    those that didn't fail, have no rows.
+    """
+    kinds = {"download": (["failed", "downloading"], most_download), "embed": (["embed_failed", "kg_failed"], most_embed)}
+    step = F.when(F.col("stage").isin(kinds["embed"][0]), "embed").otherwise("download")
+    cap = lambda s: F.when(s == "embed", most_embed).otherwise(most_download)
+    bad = [x for stages, _ in kinds.values() for x in stages]
+    here = files.where(F.col("stage").isin(bad)).select("id", "stage", F.col("retry_count").cast("int").alias("count"))
+    done = None
+    while True:
+        tried = here.withColumn("step", step).where(F.col("count") < cap(F.col("step")))
+        wait = F.least(F.pow(F.lit(2), F.col("count")), F.lit(30)).cast("long")
+        tried = tried.select("id", (F.col("count") + 1).alias("attempt"), "step", wait.alias("wait_seconds"))
+        ended = tried.withColumn("stage", outcome(F.col("id"), F.col("attempt"), F.col("step")))
+        again = F.when(F.col("stage").isin(kinds["embed"][0]), F.lit(most_embed)).when(F.col("stage").isin(kinds["download"][0]), F.lit(most_download))
+        ended = saved(ended.withColumn("given_up", F.coalesce(F.col("attempt") >= again, F.lit(False))), "attempts")
+        done = ended if done is None else done.union(ended)
+        here = ended.where(F.col("stage").isin(bad) & ~F.col("given_up")).select("id", "stage", F.col("attempt").alias("count"))
+        if here.isEmpty():
+            return done
+
+
+def discovered(entries: DataFrame, root: str, scanners: int = 2) -> DataFrame:
+    """(scanner, place, id, path, name) of the readable files under a root folder, in the order in which scanners find them.
+
+    entries: id, parent_id, name, mime, as listed. The root's own files come
+    first (scanner null). Its folders are dealt to the scanners in turn, in
+    listing order (by name, then id), and each scanner goes breadth first: a
+    folder's files before its folders' files, folders in the order in which they
+    were queued. A folder that is queued again isn't scanned again; places count
+    from 0 for each scanner. Numbers of folders and files are given by ranges of
+    their order, not in one task.
+    """
+    listing = entries.select("parent_id", "id", "name", entry_action(F.col("mime")).alias("action"))
+    top = saved(listing.where(F.col("parent_id") == root), "top")
+    front = numbered(top.where("action = 'recurse'").groupBy("id").agg(F.min("name").alias("path")), ["path", "id"], "n")
+    front = saved(front.select((F.col("n") % scanners).cast("int").alias("scanner"), "id", "path", "n"), "queue")
+    seen, files = front.select("scanner", "id"), None
+    level = 0
+    while not front.isEmpty():
+        q = front.select("scanner", F.col("id").alias("parent_id"), F.col("path").alias("folder"), "n")
+        below = saved(listing.join(q, "parent_id").where("action <> 'drop'"), "below")
+        kept = below.where("action = 'keep'").select("scanner", F.lit(level).alias("level"), "n", "id", "folder", "name")
+        files = kept if files is None else files.union(kept)
+        # of several ways to a folder on one level the first in the queue counts
+        found = below.where("action = 'recurse'").groupBy("scanner", "id").agg(F.min(F.struct("n", "name", "folder")).alias("x"))
+        found = found.join(seen, ["scanner", "id"], "left_anti").select("scanner", "id", "x.n", "x.name", F.concat("x.folder", F.lit("/"), "x.name").alias("path"))
+        front = saved(numbered(found.withColumnRenamed("n", "above"), ["scanner", "above", "name", "id"], "n").select("scanner", "id", "path", "n"), "queue")
+        seen = seen.union(front.select("scanner", "id"))
+        level += 1
+    own = top.where("action = 'keep'").select(F.lit(None).cast("int").alias("scanner"), F.lit(-1).alias("level"), F.lit(0).cast("long").alias("n"), "id", F.lit("").alias("folder"), "name")
+    files = numbered(own if files is None else own.union(files), ["scanner", "level", "n", "name", "id"], "at")
+    files = saved(files, "discovered")
+    first = files.groupBy(F.col("scanner").alias("_s")).agg(F.min("at").alias("_first"))  # a row a scanner
+    placed = files.join(F.broadcast(first), F.col("scanner").eqNullSafe(F.col("_s")))
+    return placed.select("scanner", (F.col("at") - F.col("_first")).alias("place"), "id", F.col("folder").alias("path"), "name")

@@ -63,6 +63,18 @@ def _(m):
     return x.select("id", "parent_id", "name", F.floor(place / connectors.PAGE).cast("int").alias("page"))
 
 
+@query("drive_discovery", "with recursive " + _ENTRIES + """, t as (select id, row_number() over (order by name, id) - 1 as n from e where parent_id = 'root' and kind = 'folder'),
+q1 as (select cast(n % 2 as integer) as scanner, id, id as path, n from t),
+q2 as (select scanner, e.id, path || '/' || name as path, row_number() over (order by scanner, q1.n, name, e.id) as n from q1 join e on parent_id = q1.id where kind = 'folder' and e.name <> 'back'),
+q as (select 0 as level, * from q1 union all select 1, * from q2 union all select level, scanner, 'root', path || '/back', n from (select 2 as level, scanner, path, n from q2 qualify row_number() over (partition by scanner order by n) = 1)),
+q3 as (select 3 as level, q.scanner, e.id, q.path || '/' || e.name as path, row_number() over (order by q.scanner, e.name, e.id) as n from q join e on q.level = 2 and e.parent_id = 'root' and e.kind = 'folder' where not exists (select * from q1 where q1.id = e.id and q1.scanner = q.scanner)),
+q4 as (select 4 as level, q3.scanner, e.id, q3.path || '/' || e.name as path, row_number() over (order by q3.scanner, q3.n, e.name, e.id) as n from q3 join e on e.parent_id = q3.id where e.kind = 'folder' and e.name <> 'back'),
+x as (select q.scanner, q.level, q.n, e.id, q.path, e.name from (select * from q union all select * from q3 union all select * from q4) q join e on e.parent_id = q.id where e.kind = 'pdf')
+select scanner, row_number() over (partition by scanner order by level, n, name, id) - 1 as place, id, path, name from x""")
+def _(m):
+    return ingest.discovered(ingest.listed(_entries(m)), "root")
+
+
 @query("drive_browse", "with " + _ENTRIES + " select id, parent_id, name, kind = 'folder' as is_folder from e where kind in ('folder', 'png', 'pdf')")
 def _(m):
     seen = ingest.folders_first(ingest.browsable(ingest.listed(_entries(m))))
@@ -143,6 +155,22 @@ def _(m):
     return m.files().select("id", ingest.outcome(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5 != 0).alias("stage"))
 
 
+_RETRY = "case when (regexp_extract({0}, '[0-9]+', 0)::bigint + {1}) % 3 = 0 then 'kg_done' when {2} = 'download' and (regexp_extract({0}, '[0-9]+', 0)::bigint + {1}) % 3 = 1 then 'embed_failed' when {2} = 'download' then 'failed' else 'kg_failed' end"
+
+
+@query("retry_attempts", with_tables("files", sql=f""", a as (
+  select id, retry_count + 1 as attempt, case when stage in ('failed', 'downloading') then 'download' else 'embed' end as step from files where stage in ('failed', 'downloading', 'embed_failed', 'kg_failed') and retry_count < case when stage in ('failed', 'downloading') then 2 else 3 end
+  union all select id, attempt + 1, case when s = 'failed' then 'download' else 'embed' end from (select *, {_RETRY.format('id', 'attempt', 'step')} as s from a) where s <> 'kg_done' and attempt < case when s = 'failed' then 2 else 3 end),
+o as (select *, {_RETRY.format('id', 'attempt', 'step')} as stage from a)
+select id, cast(attempt as integer) as attempt, step, cast(least(2 ** (attempt - 1), 30) as bigint) as wait_seconds, stage, stage <> 'kg_done' and attempt >= case when stage = 'failed' then 2 else 3 end as given_up from o"""))
+def _(m):
+    def outcome(i, attempt, step):
+        n = F.regexp_extract(i, "[0-9]+", 0).cast("long") + attempt
+        return F.when(n % 3 == 0, "kg_done").when((step == "download") & (n % 3 == 1), "embed_failed").when(step == "download", "failed").otherwise("kg_failed")
+
+    return ingest.retried(m.files(), outcome, most_download=2, most_embed=3)
+
+
 # ---------------------------------------------------------------- chats
 
 

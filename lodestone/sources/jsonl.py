@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.operators.running import before
+from lodestone.sources.scratch import saved
+
 
 def read_jsonl(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
     """Rows of the files that exist; blank and malformed lines are left out."""
@@ -34,6 +40,80 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None, file_bytes: int
     (out.partitionBy(by) if by else out).json(path)
 
 
+#: Ranges of an export hold so many shards: all of a range but the last are rolled as one pass over the whole would.
+SHARDS = 64
+
+
+def sharded(df: DataFrame, kind: str, order: list[str], file_bytes: int = 40 << 20) -> DataFrame:
+    """(kind, shard, line): rows as JSON lines, each in a shard (from 1) of at most ``file_bytes`` of its kind.
+
+    A shard takes rows in order until the next would make it larger; a row larger
+    than a shard has one of its own. Two passes: the first deals rows to ranges
+    of about SHARDS shards and rolls shards in each, the second adds how many
+    shards the ranges before have. So a shard may be short where a range ends.
+    """
+    line = F.concat(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), F.lit("\n"))
+    rows = df.select(F.col(kind).cast("string").alias("kind"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("line"))
+    rows = rows.withColumn("bytes", F.octet_length("line").cast("long"))
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    ranges = max(1, -(-total // (SHARDS * file_bytes)))
+    keys = ["kind", *(f"_o{i}" for i in range(len(order)))]
+    placed = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("kind", "line", "bytes", F.spark_partition_id().alias("_part"))
+    placed = saved(placed.mapInArrow(_rolled(file_bytes), "kind string, line string, _part int, _shard long"), "shards")
+    ahead = before(placed, F.max("_shard") + 1, ["kind"]).select(F.col("_part").alias("_p"), F.col("kind").alias("_k"), "_before")
+    joined = placed.join(F.broadcast(ahead), (F.col("_part") == F.col("_p")) & F.col("kind").eqNullSafe(F.col("_k")))  # a row a range and kind in it
+    return joined.select("kind", (F.col("_before") + F.col("_shard") + 1).alias("shard"), "line")
+
+
+def _rolled(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held, shard = object(), 0, -1
+        for batch in batches:
+            kinds, size = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            out = np.empty(len(size), np.int64)
+            for i, (k, n) in enumerate(zip(kinds, size.tolist(), strict=True)):
+                if k != kind:
+                    kind, held, shard = k, 0, 0
+                elif held and held + n > file_bytes:
+                    held, shard = 0, shard + 1
+                held += n
+                out[i] = shard
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out)], names=["kind", "line", "_part", "_shard"])
+
+    return run
+
+
+def write_shards(df: DataFrame, path: str, kind: str, order: list[str], file_bytes: int = 40 << 20) -> DataFrame:
+    """An export as Kind.jsonl, or Kind_001.jsonl, Kind_002.jsonl, ... where a kind has several shards, in folder ``path``.
+
+    Gives (kind, shard, file, rows, bytes), a row a file. A shard is written whole by one task.
+    """
+    shards = saved(sharded(df, kind, order, file_bytes), "lines")
+    files = shards.groupBy("kind", "shard").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line").cast("long")).alias("bytes"))
+    several = files.groupBy(F.col("kind").alias("_k")).agg(F.max("shard").alias("_last"))
+    stem = F.regexp_replace(F.coalesce("kind", F.lit("null")), r"(?U)[^\p{Alnum}_]", "_")
+    number = F.when(F.col("_last") > 1, F.concat(F.lit("_"), F.lpad(F.col("shard").cast("string"), F.greatest(F.lit(3), F.char_length(F.col("shard").cast("string"))), F.lit("0")))).otherwise("")
+    named = files.join(several, F.col("kind").eqNullSafe(F.col("_k"))).select("kind", "shard", F.concat(stem, number, F.lit(".jsonl")).alias("file"), "rows", "bytes")
+    named = saved(named, "files")
+    lines = shards.join(named.select(F.col("kind").alias("_k"), F.col("shard").alias("_s"), "file"), F.col("kind").eqNullSafe(F.col("_k")) & (F.col("shard") == F.col("_s")))
+    lines = lines.select("file", F.rtrim(F.col("line"), F.lit("\n")).alias("line"))
+    lines.repartition("file").write.partitionBy("file").text(f"{path}/_written")
+    _renamed(df.sparkSession, path)
+    return named
+
+
+def _renamed(spark: SparkSession, path: str) -> None:
+    """Moves each file=NAME/part-... to NAME: one rename a file, as a committer does."""
+    context = spark.sparkContext
+    of = context._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(context._jsc.hadoopConfiguration())
+    for folder in store.globStatus(of(f"{path}/_written/file=*")) or []:
+        name = context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("file="))
+        (part,) = store.globStatus(of(f"{folder.getPath()}/part-*"))
+        store.rename(part.getPath(), of(f"{path}/{name}"))
+    store.delete(of(f"{path}/_written"), True)
+
+
 def files_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 over the digests of an export's files, in order; the driver sees 64 characters a file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
