@@ -89,18 +89,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=re.findall(r"(\w+) \w+", CHUNKS))
 
 
+def section_characters(docs: DataFrame) -> DataFrame:
+    """(doc_id, characters) of docs (doc_id, text): the sum of the sections' lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [sum(len(body) for _, body in sections_of(t or "")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["doc_id", "characters"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, characters long")
+
+
 def results(docs: DataFrame, size: int = 1000, overlap: int = 200, by_section: bool = False, most: int = 200_000) -> DataFrame:
     """One row a document (doc_id, text): doc_id, n_chunks, total_characters, error.
 
     A text that can't be processed (null, or of more than ``most`` characters)
-    has no chunks and an error, and is a result like any other.
+    has no chunks and an error, and is a result like any other. With
+    ``by_section`` total_characters is the sum over the sections.
     """
     length = F.char_length("text")
     error = F.when(F.col("text").isNull(), "no text").when(length > most, F.concat(F.lit("more than "), F.lit(str(most)), F.lit(" characters")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", error.alias("error"))
     each = chunks(rows.where("error is null").select("doc_id", "text"), size, overlap, by_section).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     total = F.when(F.col("error").isNull(), length).otherwise(0).cast("long").alias("total_characters")
-    return rows.select("doc_id", total, "error").join(each, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chunks"), "total_characters", "error")
+    sized = rows.select("doc_id", total, "error")
+    if by_section:
+        sums = section_characters(rows.where("error is null")).groupBy("doc_id").agg(F.sum("characters").alias("_sum"))
+        sized = sized.drop("total_characters").join(sums, "doc_id", "left").withColumn("total_characters", F.coalesce("_sum", F.lit(0)))
+    return sized.join(each, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_chunks"), "total_characters", "error")
 
 
 def fetched(docs: DataFrame, pieces: DataFrame, offset: int = 0, most: int = 100_000, page: int = 5) -> DataFrame:

@@ -144,6 +144,25 @@ def latest_values(writes: DataFrame) -> DataFrame:
     return writes.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def get_or_created(settings: DataFrame, defaults: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all settings, the asked ones) of settings (key, value, seq) and defaults (key, value): the newest value of an asked key,
+    null ones too, or its default where it was never written; defaults are written then, with seq 0."""
+    now = latest_values(settings).withColumn("_there", F.lit(True))
+    asked = defaults.dropDuplicates(["key"]).join(now.withColumnRenamed("value", "_now"), "key", "left")
+    new = asked.where("_there is null").select("key", "value", F.lit(0).cast(settings.schema["seq"].dataType).alias("seq"))
+    return settings.select("key", "value", "seq").union(new), asked.select("key", F.when(F.col("_there"), F.col("_now")).otherwise(F.col("value")).alias("value"), F.col("_there").isNull().alias("created"))
+
+
+def with_artifacts(conversations: DataFrame, artifacts: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, artifacts) after new artifacts: those of no conversation are left out, of an id that is there too; a
+    conversation is as new as its newest artifact."""
+    fits = new.join(conversations.select("conversation_id"), "conversation_id", "left_semi").join(artifacts.select("artifact_id"), "artifact_id", "left_anti")
+    fits = fits.select(artifacts.columns)
+    at = fits.groupBy("conversation_id").agg(F.max("created_at").alias("_at"))
+    newer = conversations.join(at, "conversation_id", "left").withColumn("updated_at", F.greatest("updated_at", "_at"))
+    return newer.select(conversations.columns), artifacts.union(fits)
+
+
 def with_messages(conversations: DataFrame, messages: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conversations, messages) after new messages: conversations are as new as their newest message, and untitled ones get their
     first message of a user, at most 80 characters of it, as title. Messages to no conversation are left out."""

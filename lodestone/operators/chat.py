@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import attached, drive_url, snippet
 
+#: So many missing ids an error names: more than any request asks for.
+MISSING = 1000
 IMAGES = ["image/png", "image/jpeg", "image/gif", "image/webp"]
 
 CITATION = "struct<document_id:string,document_name:string,entity_id:string,entity_name:string,entity_type:string,entity_description:string,content:string,similarity:double,score:double,relevance_score:double>"
@@ -15,8 +17,9 @@ CITATION = "struct<document_id:string,document_name:string,entity_id:string,enti
 def conversation_list(conversations: DataFrame, messages: DataFrame, user_id: int | None = None, limit: int = 50) -> DataFrame:
     """Newest conversations with their number of messages, 0 for those without any."""
     rows = conversations if user_id is None else conversations.where(F.col("user_id") == user_id)
-    each = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
     newest = rows.orderBy(F.desc("created_at"), "conversation_id").limit(limit)
+    shown = F.broadcast(newest.select("conversation_id"))  # limit rows
+    each = messages.join(shown, "conversation_id", "left_semi").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("messages"))
     return newest.join(each, "conversation_id", "left").select("conversation_id", "created_at", F.coalesce("messages", F.lit(0)).alias("messages"))
 
 
@@ -50,8 +53,10 @@ def citations(results: DataFrame) -> DataFrame:
     An entity without content cites its name, type and description.
     """
     text = F.when(F.ltrim("result").startswith("["), F.col("result")).otherwise(F.concat(F.lit("["), "result", F.lit("]")))
-    raw = results.select("call_id", F.posexplode(F.from_json(text, "array<string>")).alias("ordinal", "raw"))
-    items = raw.select("call_id", "ordinal", F.from_json("raw", CITATION).alias("c"), F.json_object_keys("raw").alias("keys")).where("keys is not null")
+    raw = results.select("call_id", F.posexplode(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).alias("ordinal", "v"))
+    fields = raw.select("call_id", "ordinal", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("f")).where("f is not null")
+    kept = (F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in (x.split(":") for x in CITATION[7:-1].split(",")))
+    items = fields.select("call_id", "ordinal", F.struct(*kept).alias("c"), F.map_keys("f").alias("keys"))
     entity = F.concat("c.entity_name", F.lit(" ("), F.coalesce("c.entity_type", F.lit("")), F.lit("): "), F.coalesce("c.entity_description", F.lit("")))
     content = F.when(F.coalesce("c.content", F.lit("")) != "", F.col("c.content")).otherwise(entity)
     score = F.when(F.array_contains("keys", "similarity"), F.col("c.similarity")).when(F.array_contains("keys", "score"), F.col("c.score"))
@@ -101,8 +106,8 @@ def missing(wanted: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def required(wanted: DataFrame, owned: DataFrame) -> DataFrame:
-    """The owned rows that are wanted; LookupError that lists the first missing ids, if there are any."""
-    lost = [str(r["id"]) for r in missing(wanted, owned).orderBy("id").limit(20).collect()]
+    """The owned rows that are wanted; LookupError that lists the missing ids, if there are any (the first MISSING of them)."""
+    lost = [str(r["id"]) for r in missing(wanted, owned).orderBy("id").limit(MISSING).collect()]
     if lost:
         raise LookupError(", ".join(lost))
     return owned.join(wanted.select("id").distinct(), "id", "left_semi")
@@ -110,9 +115,9 @@ def required(wanted: DataFrame, owned: DataFrame) -> DataFrame:
 
 def attachment_context(files: DataFrame) -> DataFrame:
     """(message_id, context, images) of files (message_id, seq, file_name, mime, content: bytes): texts as they stand in a prompt,
-    joined by blank lines, and images as data URLs; other types are left out."""
+    joined by blank lines, and images as data URLs; other types are left out. Bytes of texts that aren't UTF-8 become U+FFFD."""
     image = F.col("mime").isin(IMAGES)
-    text = F.when(F.col("mime") == "text/plain", attached(F.col("file_name"), F.decode(F.col("content"), "utf-8")))
+    text = F.when(F.col("mime") == "text/plain", attached(F.col("file_name"), F.make_valid_utf8(F.col("content").cast("string"))))
     url = F.when(image, F.concat(F.lit("data:"), "mime", F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", "")))
     each = files.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("seq", text.alias("t"), url.alias("u")))).alias("x"))
     there = lambda name: F.filter(F.col(f"x.{name}"), lambda v: v.isNotNull())

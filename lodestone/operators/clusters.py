@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.sources.scratch import saved
 
 
+#: Up to so many nodes (two ids each) are broadcast to the edges.
+BROADCAST = 200_000
+
+
 def ancestry(tree: DataFrame) -> DataFrame:
     """(id, root, second, depth) of clusters; those whose chain doesn't end at a root, a missing parent or a cycle, are left out.
 
@@ -55,7 +59,10 @@ def dominant_type(placed: DataFrame, types: DataFrame) -> DataFrame:
 
 def cluster_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
     """(source, target, relationship_type, weight): edges between clusters, weights summed; nodes in no cluster stay themselves."""
-    to = lambda end: placed.select(F.col("node_id").alias(end), F.col("cluster_id").alias(f"{end}_c"))
+    placed = saved(placed, "placed")  # both ends need it
+    small = placed.count() <= BROADCAST
+    side = F.broadcast if small else lambda df: df
+    to = lambda end: side(placed.select(F.col("node_id").alias(end), F.col("cluster_id").alias(f"{end}_c")))
     moved = edges.join(to("source"), "source", "left").join(to("target"), "target", "left")
     moved = moved.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"), "relationship_type", "weight")
     return moved.where("source <> target").groupBy("source", "target", "relationship_type").agg(F.sum("weight").alias("weight"))

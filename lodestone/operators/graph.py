@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.running import numbered
 from lodestone.sources.scratch import saved
 
+#: So many relations of a node fit a row.
+RELATIONS = 10_000
+
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (id)."""
@@ -22,6 +26,7 @@ def reachable(edges: DataFrame, start: str, depth: int, outward: bool) -> DataFr
     and no step plans the ones before it again.
     """
     a, b = ("source", "target") if outward else ("target", "source")
+    edges = edges.select("source", "target")
     front = edges.where(F.col(a) == start).select(F.col(b).alias("id")).distinct()
     if depth == 1:
         return front
@@ -39,6 +44,8 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1, limit: int | None =
     """(id) around a node: reached outward, and inward too, each way's first ``limit`` by id."""
     if not 1 <= depth <= 3:
         raise ValueError("depth must be from 1 to 3")
+    if depth > 1:  # each hop and way reads them
+        edges = saved(edges.select("source", "target"), "ends")
     ways = [reachable(edges, start, depth, outward) for outward in ((True, False) if both else (True,))]
     if limit:
         ways = [w.orderBy("id").limit(limit) for w in ways]
@@ -51,6 +58,7 @@ def neighbourhood(entities: DataFrame, edges: DataFrame, start: str, depth: int
 
     A node without neighbours stands alone, without edges (a self-loop makes it its own neighbour).
     """
+    edges = saved(edges, "edges")
     near = saved(neighbours(edges, start, depth, limit).select("id"), "near")  # 2 * limit rows at most
     ids = near.union(edges.sparkSession.range(1).select(F.lit(start).alias("id"))).distinct()
     nodes = entities.join(F.broadcast(ids), "id", "left_semi")
@@ -65,18 +73,30 @@ def counted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count(F.lit(1)).alias("total_nodes")).crossJoin(F.broadcast(one))  # one row
 
 
-def relations(found: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
-    """found (id, ...) with ``relations``: the distinct (relation, target, target_type) at each, either way, in order; empty without any."""
+def relation_rows(found: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, r: relation, target, target_type), a row for each distinct relation at found (id, ...), either way; a hub has many."""
     ids = found.select("id").distinct()
     out = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("id"), "relationship_type", F.col("target").alias("other"))
     back = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("id"), "relationship_type", F.col("source").alias("other"))
     ends = entities.select(F.col("id").alias("other"), F.col("name").alias("target"), F.col("entity_type").alias("target_type"))
-    each = out.union(back).distinct().join(ends, "other").select("id", F.struct(F.col("relationship_type").alias("relation"), "target", "target_type").alias("r"))
-    lists = each.groupBy("id").agg(F.sort_array(F.collect_set("r")).alias("relations"))
+    each = out.union(back).join(ends, "other").select("id", F.struct(F.col("relationship_type").alias("relation"), "target", "target_type").alias("r"))
+    return each.distinct()
+
+
+def relations(found: DataFrame, edges: DataFrame, entities: DataFrame, most: int = RELATIONS) -> DataFrame:
+    """found (id, ...) with ``relations``: the first ``most`` of each row's relations (see ``relation_rows``), in order; empty without any."""
+    first = Window.partitionBy("id").orderBy("r")
+    each = relation_rows(found, edges, entities).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    lists = each.groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("relations"))
     none = F.array().cast("array<struct<relation:string,target:string,target_type:string>>")
     return found.join(lists, "id", "left").withColumn("relations", F.coalesce("relations", none))
 
 
+def exported_entities(entities: DataFrame) -> DataFrame:
+    """Entities as an export holds them, by type and name, with their place in that order (from 0)."""
+    return numbered(entities.select("id", "name", "entity_type", "description"), ["entity_type", "name", "id"], "place")
+
+
 def exported_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with the names and types of both ends, those without one left out; in order of type and source name."""
     end = lambda e: entities.select(F.col("id").alias(e), F.col("name").alias(f"{e}_name"), F.col("entity_type").alias(f"{e}_type"))
@@ -118,8 +138,10 @@ def contexts(found: DataFrame, edges: DataFrame, entities: DataFrame, most: int
     out = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("id"), "relationship_type", F.col("target").alias("other"))
     back = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").where("source <> target").select(F.col("target").alias("id"), "relationship_type", F.col("source").alias("other"))
     near = with_names(out.union(back), entities)
-    line = F.concat(F.lit("  - "), "relationship_type", F.lit(" -> "), "other_name")
-    some = near.groupBy("id").agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    line = F.concat(F.lit("  - "), "relationship_type", F.lit(" -> "), "other_name").alias("line")
+    first = Window.partitionBy("id").orderBy("line")  # each task keeps the first of a hub's
+    some = near.select("id", line).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    some = some.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     head = F.concat(F.lit("Entity: "), "name", F.lit(" ("), "entity_type", F.lit(")"))
-    parts = F.concat(F.array(head), F.when(F.col("description").isNotNull(), F.array("description")).otherwise(F.array().cast("array<string>")), F.slice(F.coalesce("lines", F.array().cast("array<string>")), 1, most))
+    parts = F.concat(F.array(head), F.when(F.col("description").isNotNull(), F.array("description")).otherwise(F.array().cast("array<string>")), F.coalesce("lines", F.array().cast("array<string>")))
     return found.join(some, "id", "left").select("id", F.array_join(parts, "\n").alias("context"))

@@ -238,13 +238,17 @@ def rate_limited(requests: DataFrame, seconds: int = 60, most: int = 10) -> Data
     """requests (event_id, user_id, ts) with ``recent`` (those of the user in the window before) and ``allowed``.
 
     Denied ones count too, so a frame by time says it all. Requests of one
-    instant are told apart by event_id.
+    instant are told apart by event_id. Time is cut into spans of the window's
+    length; a request stands in its own span and, to be counted, in the next. So
+    a user's requests, however many, are as many groups as spans.
     """
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy("user_id").orderBy(t).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    same = Window.partitionBy("user_id", "ts")
-    here = requests.withColumn("n", F.count(F.lit(1)).over(span) - F.count(F.lit(1)).over(same) + F.row_number().over(same.orderBy("event_id")) - 1)
-    return here.select("event_id", "user_id", "ts", F.col("n").alias("recent"), (F.col("n") < most).alias("allowed"))
+    own = F.floor(t / (seconds * 1_000_000))
+    both = requests.select("event_id", "user_id", "ts", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_span"))
+    span = Window.partitionBy("user_id", "_span").orderBy(t).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    same = Window.partitionBy("user_id", "_span", "ts")
+    here = both.withColumn("n", F.count(F.lit(1)).over(span) - F.count(F.lit(1)).over(same) + F.row_number().over(same.orderBy("event_id")) - 1)
+    return here.where("_span = _own").select("event_id", "user_id", "ts", F.col("n").alias("recent"), (F.col("n") < most).alias("allowed"))
 
 
 def retried(files: DataFrame, outcome: Callable[[Column, Column, Column], Column], most_download: int = 2, most_embed: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import safe_label
+from lodestone.sources.scratch import saved
 
 
 def first_entities(candidates: DataFrame) -> DataFrame:
@@ -25,11 +26,16 @@ def resolved_relationships(raw: DataFrame, entities: DataFrame) -> DataFrame:
 
     entities: id, name, ordinal.
     """
+    return _by_ids(raw, entities).select("source_id", "target_id", "type")
+
+
+def _by_ids(raw: DataFrame, entities: DataFrame) -> DataFrame:
+    """raw with source_id and target_id."""
     by_name = entities.groupBy(F.lower("name").alias("n")).agg(F.max_by("id", "ordinal").alias("id"))
     s = by_name.select(F.col("n").alias("sn"), F.col("id").alias("source_id"))
     t = by_name.select(F.col("n").alias("tn"), F.col("id").alias("target_id"))
     both = raw.join(s, F.lower("source") == F.col("sn")).join(t, F.lower("target") == F.col("tn"))
-    return both.where("source_id <> target_id").select("source_id", "target_id", "type")
+    return both.where("source_id <> target_id")
 
 
 def merged_nodes(base: DataFrame, update: DataFrame) -> DataFrame:
@@ -93,18 +99,15 @@ def created_relationships(raw: DataFrame, entities: DataFrame, document_id: str)
 
     Repeated ones stay, each with its own row; entities: id, name, ordinal.
     """
-    by_name = entities.groupBy(F.lower("name").alias("n")).agg(F.max_by("id", "ordinal").alias("id"))
-    s = by_name.select(F.col("n").alias("sn"), F.col("id").alias("source_id"))
-    t = by_name.select(F.col("n").alias("tn"), F.col("id").alias("target_id"))
-    both = raw.join(s, F.lower("source") == F.col("sn")).join(t, F.lower("target") == F.col("tn")).where("source_id <> target_id")
+    both = _by_ids(raw, entities)
     described = F.when(F.coalesce("description", F.lit("")) != "", F.to_json(F.struct("description")))
     return both.select("source_id", "target_id", F.col("type").alias("relationship_type"), F.lit(1.0).alias("weight"), described.alias("properties_json"), F.lit(document_id).alias("source_document_id"))
 
 
 def built(candidates: DataFrame, raw: DataFrame, document_id: str) -> tuple[DataFrame, DataFrame]:
     """(entities, relationships) of a document's extraction: merged, created, and resolved by name."""
-    entities = created_entities(first_entities(candidates), document_id)
-    first = first_entities(candidates)
+    first = saved(first_entities(candidates), "entities")
+    entities = created_entities(first, document_id)
     key = F.concat_ws("|", F.lower("name"), F.lower("entity_type"))
     ordered = first.select(F.concat(F.lit("entity:"), F.md5(key.cast("binary"))).alias("id"), "name", F.struct("chunk", "position").alias("ordinal"))
     return entities, created_relationships(raw, ordered, document_id)

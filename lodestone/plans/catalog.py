@@ -10,7 +10,7 @@ from lodestone.operators import chat, clusters, fulltext, graph, ingest, kg, ret
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import oracle_sql, queries, query, rounded as _rounded
 from lodestone.sources import jsonl
-from lodestone.sources.scratch import shared_folder
+from lodestone.sources.scratch import saved, shared_folder
 from lodestone.sources.tables import AS_OF, Model
 
 __all__ = ["FLAGSHIP", "oracle_sql", "queries"]
@@ -227,13 +227,13 @@ def _(m):
 
 @query("graph_merge_edges", with_tables("rels", sql=""", more as (select id || ':again' as id, source, target, relationship_type, 0.5::double as weight from rels where relationship_type = 'SUPPLIED_BY'
   union all select id || ':' || i, target, source, 'SUPPLIES', i / 10 from rels, range(1, 3) t(i) where relationship_type = 'SUPPLIED_BY')
-select * from rels union all select min(id) as id, source, target, relationship_type, arg_min(weight, id) as weight from more where (source, target, relationship_type) not in (select (source, target, relationship_type) from rels) group by source, target, relationship_type"""))
+select * from rels union all select min(id) as id, source, target, relationship_type, arg_min(weight, id) as weight from more anti join rels using (source, target, relationship_type) group by source, target, relationship_type"""))
 def _(m):
-    r = m.relationships()
-    some = r.where("relationship_type = 'SUPPLIED_BY'")
-    again = some.withColumns({"id": F.concat("id", F.lit(":again")), "weight": F.lit(0.5)})
-    back = lambda i: some.select(F.concat("id", F.lit(f":{i}")).alias("id"), F.col("target").alias("source"), F.col("source").alias("target"), F.lit("SUPPLIES").alias("relationship_type"), F.lit(i / 10).alias("weight"))
-    return kg.merged_graph(r, again.union(back(1)).union(back(2)), ["source", "target", "relationship_type"])
+    r = saved(m.relationships(), "relationships")
+    edge = lambda end, a, b, kind, weight: F.struct(F.concat("id", F.lit(end)).alias("id"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit(kind).alias("relationship_type"), F.lit(weight).alias("weight"))
+    more = [edge(":again", "source", "target", "SUPPLIED_BY", 0.5)] + [edge(f":{i}", "target", "source", "SUPPLIES", i / 10) for i in (1, 2)]
+    update = r.where("relationship_type = 'SUPPLIED_BY'").select(F.inline(F.array(*more)))
+    return kg.merged_graph(r, update, ["source", "target", "relationship_type"])
 
 
 # ---------------------------------------------------------------- clusters

@@ -51,6 +51,11 @@ def _(m):
     return changes.without_vectors(m.vectors(), 7)[1]
 
 
+@query("embeddings_left", with_tables("vecs", sql=" select chunk_id, document_id, label from vecs where document_id is distinct from 7"))
+def _(m):
+    return changes.without_vectors(m.vectors(), 7)[0].select("chunk_id", "document_id", "label")
+
+
 # ---------------------------------------------------------------- jobs
 
 _STALE = f"status in ('pending', 'scanning', 'processing') and started_at < timestamp '{{}}' - interval 135 minute"
@@ -99,9 +104,10 @@ def _(m):
     return changes.triggered(m.jobs(), "job:new", LATER, folder="", saved_folder="saved", default_folder="default").select("job_id", "status", "folder_id")
 
 
-@query("progress_log", with_tables("files", sql=" select job_id, doc_id as seq, file_name as message from files0 qualify row_number() over (partition by job_id order by doc_id desc) <= 50"))
+@query("progress_log", with_tables("files", sql=" select job_id, seq, message from (select job_id, doc_id * 2 + case when id like '%:old' then 0 else 1 end as seq, file_name as message from files) qualify row_number() over (partition by job_id order by seq desc) <= 50"))
 def _(m):
-    return changes.progress_logs(m.files().where("id not like '%:old'").select("job_id", F.col("doc_id").alias("seq"), F.col("file_name").alias("message")))
+    seq = F.col("doc_id") * 2 + F.when(F.col("id").endswith(":old"), 0).otherwise(1)
+    return changes.progress_logs(m.files().select("job_id", seq.alias("seq"), F.col("file_name").alias("message")))
 
 
 # ---------------------------------------------------------------- settings and chats
@@ -112,6 +118,27 @@ def _(m):
     return changes.latest_values(m.read("events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq")))
 
 
+_DEFAULTS = "select 0 as k union select user_id * 10 from events"
+
+
+@query("settings_created", f"""with d as ({_DEFAULTS}), w as (select user_id as key, arg_max(event_type, event_id) as value from events group by user_id)
+select d.k as key, coalesce(w.value, 'default') as value, w.key is null as created from d left join w on w.key = d.k""")
+def _(m):
+    writes = m.read("events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
+    asked = m.spark.range(1).select(F.col("id").alias("key")).union(writes.select(F.col("key") * 10)).distinct().withColumn("value", F.lit("default"))
+    return changes.get_or_created(writes, asked)[1]
+
+
+@query("artifacts_added", with_tables("convs", sql=""", old as (select 'artifact:' || conv_id || ':' || turn as artifact_id, conv_id as conversation_id from conversations where turn % 3 = 1),
+new as (select 'artifact:' || conv_id || ':' || turn as artifact_id, case when conv_id % 7 = 0 then -1 else conv_id end as conversation_id from conversations where turn % 3 in (1, 2))
+select artifact_id, conversation_id from old union all select artifact_id, conversation_id from new anti join old using (artifact_id) where conversation_id in (select conversation_id from convs)"""))
+def _(m):
+    c = m.read("conversations").where("turn % 3 in (1, 2)")
+    conversation = F.when(F.col("conv_id") % 7 == 0, -1).otherwise(F.col("conv_id")).cast("long")
+    new = c.select(F.concat(F.lit("artifact:"), "conv_id", F.lit(":"), "turn").alias("artifact_id"), conversation.alias("conversation_id"), F.col("text").alias("title"), F.timestamp_seconds(F.lit(1714067200) + F.col("turn")).alias("created_at"))
+    return changes.with_artifacts(m.conversations(), m.artifacts(), new)[1].select("artifact_id", "conversation_id")
+
+
 _NEW = """, new as (select conv_id + 1000000 as conversation_id, turn, role, text, to_timestamp(1714067200 + turn)::timestamp as created_at from conversations where conv_id % 5 = 0),
 fit as (select * from new where conversation_id in (select conversation_id from convs)),
 f as (select conversation_id, max(created_at) as newest, left(arg_min(text, turn) filter (role = 'user'), 80) as title from fit group by 1)"""

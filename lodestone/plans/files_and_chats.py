@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import agent_runs, chat, ingest
+from lodestone.operators.running import numbered
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import query
 from lodestone.sources import connectors
@@ -75,10 +76,11 @@ def _(m):
     return ingest.discovered(ingest.listed(_entries(m)), "root")
 
 
-@query("drive_browse", "with " + _ENTRIES + " select id, parent_id, name, kind = 'folder' as is_folder from e where kind in ('folder', 'png', 'pdf')")
+@query("drive_browse", "with " + _ENTRIES + " select id, parent_id, name, kind = 'folder' as is_folder, row_number() over (order by kind <> 'folder', name, id, parent_id) - 1 as place from e where kind in ('folder', 'png', 'pdf')")
 def _(m):
-    seen = ingest.folders_first(ingest.browsable(ingest.listed(_entries(m))))
-    return seen.select("id", "parent_id", "name", (F.col("mime") == ingest.FOLDER).alias("is_folder"))
+    seen = ingest.browsable(ingest.listed(_entries(m))).withColumn("is_folder", F.col("mime") == ingest.FOLDER)
+    placed = numbered(seen.withColumn("last", ~F.col("is_folder")), ["last", "name", "id", "parent_id"], "place")
+    return placed.select("id", "parent_id", "name", "is_folder", "place")
 
 
 @query("drive_import", """with x as (select doc_id, 'f' || doc_id || '.' || (['PDF', 'png', 'doc', 'zip', 'txt', 'docx'])[cast(doc_id % 6 as integer) + 1] as file_name from documents)
@@ -127,9 +129,10 @@ def _(m):
     return ingest.next_files(m.files()).select("id", "created_at")
 
 
-@query("file_monitor", with_tables("files", sql=" select id, status from files order by status <> 'processing', created_at desc, id limit 100"))
+@query("file_monitor", with_tables("files", sql=" select id, status, row_number() over (order by status <> 'processing', created_at desc, id) as place from files qualify place <= 100"))
 def _(m):
-    return ingest.running_first(m.files()).limit(100).select("id", "status")
+    top = ingest.running_first(m.files()).limit(100)
+    return top.select("id", "status", (F.monotonically_increasing_id() + 1).alias("place"))  # the limit leaves one partition, in order
 
 
 @query("pipeline_counters", with_tables("files", sql=""" select count(*) filter (stage in ('downloaded', 'extracting', 'extracted', 'embedding', 'embedded', 'kg_done', 'embed_failed', 'kg_failed')) as downloaded,
@@ -190,13 +193,13 @@ def _(m):
     return chat.missing(d.where("doc_id % 4 = 0"), d.where("doc_id % 5 = 1"))
 
 
-@query("attachment_contexts", """with x as (select doc_id, doc_id // 4 as m, 'f' || doc_id as n, left(text, 100) as t from documents)
-select m as message_id, coalesce(string_agg('[Attached: ' || n || ']' || chr(10) || '<file_content>' || chr(10) || t || chr(10) || '</file_content>', chr(10) || chr(10) order by doc_id) filter (doc_id % 4 < 2), '') as context,
+@query("attachment_contexts", """with x as (select doc_id, doc_id // 4 as m, 'f' || doc_id as n, text as t from documents)
+select m as message_id, coalesce(string_agg('[Attached: ' || n || ']' || chr(10) || '<file_content>' || chr(10) || case when doc_id % 4 = 1 then chr(65533) || chr(65533) else '' end || t || chr(10) || '</file_content>', chr(10) || chr(10) order by doc_id) filter (doc_id % 4 < 2), '') as context,
 coalesce(string_agg('data:image/png;base64,' || base64(encode(t)), ' ' order by doc_id) filter (doc_id % 4 = 2), '') as images from x group by m""")
 def _(m):
     i = F.col("doc_id")
     mime = F.when(i % 4 < 2, "text/plain").when(i % 4 == 2, "image/png").otherwise("application/zip")
-    files = m.read("documents").select(F.floor(i / 4).alias("message_id"), i.alias("seq"), F.concat(F.lit("f"), i).alias("file_name"), mime.alias("mime"), F.encode(F.substring("text", 1, 100), "utf-8").alias("content"))
+    files = m.read("documents").select(F.floor(i / 4).alias("message_id"), i.alias("seq"), F.concat(F.lit("f"), i).alias("file_name"), mime.alias("mime"), F.concat(F.when(i % 4 == 1, F.unhex(F.lit("fffe"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "utf-8")).alias("content"))
     return chat.attachment_context(files).select("message_id", "context", F.array_join("images", " ").alias("images"))
 
 

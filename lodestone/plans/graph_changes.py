@@ -9,6 +9,8 @@ from lodestone.operators import clusters, fulltext, graph, kg
 from lodestone.plans import catalog
 from lodestone.plans.model_sql import with_tables
 from lodestone.plans.registry import query, rounded
+from lodestone.sources import jsonl
+from lodestone.sources.scratch import saved, shared_folder
 from lodestone.sources.tables import Model
 
 # ---------------------------------------------------------------- results in full
@@ -73,13 +75,15 @@ def _(m):
     return clusters.tier_view(tree, members, m.entities(), m.relationships(), 1)[0]
 
 
-@query("cluster_deep_tiers", """with parts as (select p_partkey as k from part), n as (select max(k) as n from parts)
-select tier, case when tier = 1 then 'c1' when k = 1 then 'c1' when k % 2 = 0 then 'c2' else 'c3' end as cluster_id, count(*) as nodes from parts, (select unnest([1, 2]) as tier) where k between 1 and 40 group by 1, 2""")
+@query("cluster_deep_tiers", """with recursive p as (select p_partkey as k from part where p_partkey > 0), up as (select k, k as top from p where k < 6 union all select p.k, up.top from up join p on p.k // 3 = up.k where p.k > 5),
+t as (select distinct k, top from up)
+select tier, case when tier = 1 then 'c1' else 'c' || top end as cluster_id, count(*) as nodes from t, (select unnest([1, 2]) as tier) group by 1, 2""")
 def _(m):
-    # two chains below one root, twenty levels deep
+    # every part below the one of a third of its number, the first five below the first
     k = F.col("p_partkey")
-    p = m.read("part").where("p_partkey between 1 and 40")
-    tree = p.select(F.concat(F.lit("c"), k).alias("id"), F.concat(F.lit("c"), k).alias("label"), F.when(k > 3, F.concat(F.lit("c"), k - 2)).when(k > 1, F.lit("c1")).alias("parent_id"))
+    p = m.read("part").where("p_partkey > 0")
+    parent = F.when(k > 3, F.concat(F.lit("c"), F.floor(k / 3))).when(k > 1, F.lit("c1"))
+    tree = p.select(F.concat(F.lit("c"), k).alias("id"), F.concat(F.lit("c"), k).alias("label"), parent.alias("parent_id"))
     members = p.select(F.concat(F.lit("part:"), k).alias("node_id"), F.concat(F.lit("c"), k).alias("cluster_id"))
     tiers = [clusters.node_clusters(tree, members, t).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("nodes")).select(F.lit(t).alias("tier"), "cluster_id", "nodes") for t in (1, 2)]
     return tiers[0].union(tiers[1])
@@ -116,9 +120,9 @@ def _(m):
 
 @query("kg_merge_edges", with_tables("rels", sql=""", u as (select id, source, target, relationship_type, weight / 4 as weight from rels where relationship_type = 'ORDERED' and weight > 0.1
   union all select id || ':more', source, target, 'RATED', 0.75 from rels where relationship_type = 'LOCATED_IN')
-select * from rels where (source, target, relationship_type, id) not in (select (source, target, relationship_type, id) from u) union all select * from u"""))
+select * from rels anti join u using (source, target, relationship_type, id) union all select * from u"""))
 def _(m):
-    r = m.relationships()
+    r = saved(m.relationships(), "relationships")
     changed = r.where("relationship_type = 'ORDERED' and weight > 0.1")
     twice = changed.withColumns({"weight": F.col("weight") / 2, "seq": F.lit(1)}).union(changed.withColumns({"weight": F.col("weight") / 4, "seq": F.lit(2)}))
     added = r.where("relationship_type = 'LOCATED_IN'").withColumns({"id": F.concat("id", F.lit(":more")), "relationship_type": F.lit("RATED"), "weight": F.lit(0.75), "seq": F.lit(1)})
@@ -144,7 +148,26 @@ def _(m):
     return kg.inserted(e, seeds.union(e.where("entity_type = 'Nation'").withColumn("name", F.lit("late"))), ["id"], ["name"])
 
 
-@query("graph_wipe", " select 'entity' as kind, count(*) as n from nation where false union all select 'relationship', count(*) from nation where false")
+@query("graph_wipe", with_tables("ents", "rels", sql=" select 'entity' as kind, count(*) as held, cast(0 as bigint) as n from ents union all select 'relationship', count(*), cast(0 as bigint) from rels"))
+def _(m):
+    tables = {"entity": m.entities(), "relationship": m.relationships()}
+    left = dict(zip(tables, kg.wiped(*tables.values()), strict=True))
+    count = lambda df, kind, name: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias(name))
+    both = [count(tables[k], k, "held").join(count(left[k], k, "n"), "kind") for k in tables]
+    return both[0].union(both[1])
+
+
+@query("graph_export_entities", with_tables("ents", sql=" select id, name, entity_type, description, row_number() over (order by entity_type, name, id) - 1 as place from ents"))
+def _(m):
+    return graph.exported_entities(m.entities())
+
+
+@query("export_shards", with_tables("ents", sql=" select entity_type as kind, count(*) as rows, 0 as too_large, 0 as gaps from ents group by 1"))
 def _(m):
-    edges, nodes = kg.wiped(m.relationships(), m.entities())
-    return nodes.agg(F.lit("entity").alias("kind"), F.count(F.lit(1)).alias("n")).union(edges.agg(F.lit("relationship"), F.count(F.lit(1))))
+    path, bound = shared_folder(m.spark, "shards"), 4096
+    files = jsonl.write_shards(m.entities(), path, "entity_type", ["id"], file_bytes=bound)
+    back = m.spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), (F.octet_length("value") + 1).alias("size"))
+    read = back.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum("size").alias("size"))
+    found = files.withColumn("file", F.url_encode("file")).join(read.withColumn("file", F.url_encode(F.url_decode("file"))), "file")
+    over = F.count_if((F.col("size") > bound) & (F.col("lines") > 1)).cast("int")
+    return found.groupBy("kind").agg(F.sum("lines").alias("rows"), over.alias("too_large"), (F.max("shard") - F.count(F.lit(1))).cast("int").alias("gaps"))

@@ -77,6 +77,14 @@ def _(m):
     return chunking.results(d, most=20_000)
 
 
+_TOTALS = """totals as (select doc_id, cast(sum(length(body)) as bigint) as n from parts where trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by 1)"""
+
+
+@query("section_results", _chunk_sql(_SECTIONS, "select doc_id, coalesce(c.n, 0) as n_chunks, coalesce(t.n, 0) as total_characters, null as error from documents left join (select doc_id, count(*) as n from pieces group by 1) c using (doc_id) left join totals t using (doc_id)").replace("\npieces as (", f"\n{_TOTALS},\npieces as ("))
+def _(m):
+    return chunking.results(_marked(m), by_section=True)
+
+
 @query("document_fetch", with_tables("docs", "pieces", sql=""", x as (select document_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chunk_index) as c, count(*) as n from pieces where chunk_index between 1 and 5 group by 1)
 select id, case when length(text) > 3000 then 'chunks' else 'full' end as mode, case when length(text) > 3000 then coalesce(c, '') else text end as content, cast(case when length(text) > 3000 then coalesce(n, 0) else 1 end as integer) as returned
 from docs left join x on id = document_id"""))
