@@ -9,6 +9,7 @@
    bound; the k scores found there are its first threshold.
 3. It then goes to the ranges whose bound reaches its threshold, and there
    through blocks in order of their bounds, until these fall below its kth.
+   How much this prunes is the data's doing: README has the share.
 4. The partial answers, k rows a query and range at most, are merged.
 """
 
@@ -26,6 +27,8 @@ from lodestone.llm._common import Scratch
 #: Vectors in a block row and in a sub-block; ranges at most (their bounds go to the driver and to every task); queries in a chunk.
 BLOCK, SUB, RANGES, CHUNK = 8192, 64, 4096, 512
 SIGNS = 12
+#: Components of up to so much are held in four bytes.
+NARROW = (1 << 31) - 1
 
 BLOCKS = "part int, dim int, ids binary, values binary, hi binary, lo binary"
 HITS = "q long, query_id long, vec_id long, score long"
@@ -56,9 +59,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, values = rows.column(rows.schema.get_field_index("vec_id")).to_numpy(), _matrix(rows, "v", dim)
             for i in range(0, len(ids), BLOCK):
                 x = values[i : i + BLOCK]
+                held = x.astype(np.int32) if np.abs(x).max() <= NARROW else x
                 edge = np.arange(0, len(x), SUB)
                 hi, lo = np.maximum.reduceat(x, edge, axis=0), np.minimum.reduceat(x, edge, axis=0)
-                columns = [pa.array([part], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in (ids[i : i + BLOCK], x, hi, lo))]
+                columns = [pa.array([part], pa.int32()), pa.array([dim], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in (ids[i : i + BLOCK], held, hi, lo))]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "dim", "ids", "values", "hi", "lo"])
 
 
@@ -144,7 +148,8 @@ def _hits(k: int):
             for r in batch.to_pylist():
                 d = r["dim"]
                 n = len(r["ids"]) // 8
-                values, queries = np.frombuffer(r["values"], np.int64).reshape(n, d), np.frombuffer(r["qv"], np.int64).reshape(len(r["q"]) // 8, d)
+                kind = np.int32 if len(r["values"]) == 4 * n * d else np.int64
+                values, queries = np.frombuffer(r["values"], kind).reshape(n, d), np.frombuffer(r["qv"], np.int64).reshape(len(r["q"]) // 8, d)
                 ids, q, query, least = (np.frombuffer(r[c], np.int64) for c in ("ids", "q", "query", "least"))
                 hi, lo = (np.frombuffer(r[c], np.int64).reshape(-(-n // SUB), d) for c in ("hi", "lo"))
                 out = [(i, a, b) for i, a, b in search_block(values, ids, hi, lo, queries, query, least, k) if len(a)]

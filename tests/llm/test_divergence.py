@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import divergence
@@ -84,3 +85,32 @@ def test_a_hot_source_and_very_long_texts(spark, frame, monkeypatch):
     rows = [(" ".join(rng.choices(words, k=40)), "en", "hot" if i % 2 else f"s{i % 5}") for i in range(300)]
     rows.append((" ".join(rng.choices(words, k=20_000)), "en", "hot"))
     assert result(divergence.source_divergence(frame(rows, SCHEMA), least_docs=5, k=20)) == plain(rows, 5, 20)
+
+
+def test_sums_are_sent_on_when_they_are_many(monkeypatch):
+    rows = corpus(3)
+    batch = pa.table({"lang": [x or "" for _, x, _ in rows], "source": [s or "" for *_, s in rows], "text": [t for t, *_ in rows]}).to_batches()[0]
+    sums = []
+    for held in (1 << 20, 25):
+        monkeypatch.setattr(divergence, "HELD", held)
+        out, batches = Counter(), list(divergence._count_terms(iter([batch])))
+        for b in batches:
+            for r in b.to_pylist():
+                out[r["lang"], r["source"], r["term"], "n"] += r["n"]
+                out[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        sums.append(out)
+    assert sums[0] == sums[1] and len(batches) > 30
+
+
+def test_cells_take_terms_in_slabs(monkeypatch):
+    rng = random.Random(2)
+    names, base = [f"s{i}" for i in range(5)], [3, 5, 5, 9, 1]
+    rows = [("en", s, 0, None, b) for s, b in zip(names, base, strict=True)]
+    p = {(s, f"t{t}"): base[i] + rng.randrange(1, 50) for i, s in enumerate(names) for t in range(40) if rng.random() < 0.4}
+    rows += [("en", s, 0, t, v) for (s, t), v in p.items()]
+    cell = pa.table({n: [r[i] for r in rows] for i, n in enumerate(("lang", "source", "block", "term", "p"))})
+    terms = {t for _, t in p}
+    want = {(a, b): sum(abs(p.get((a, t), base[i]) - p.get((b, t), base[j])) - abs(base[i] - base[j]) for t in terms) for i, a in enumerate(names) for j, b in enumerate(names) if i < j}
+    for slab in (1000, 7):
+        monkeypatch.setattr(divergence, "TERMS", slab)
+        assert {(r["source"], r["item"]): r["more"] for r in divergence._cell_sums(cell).to_pylist()} == want

@@ -2,8 +2,11 @@ import math
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import topk_search
 from lodestone.llm.decontamination import contained_items, decontaminated
 from lodestone.llm.topk_search import top_k
 
@@ -35,6 +38,32 @@ def test_top_k_against_brute_force(spark):
     assert got == brute_top(rows, [i for i, _ in rows if i is not None and i % 50 == 0], 5)
 
 
+@pytest.mark.parametrize("block, wide", [(32, False), (50, True)])
+def test_top_k_over_many_ranges(spark, monkeypatch, block, wide):
+    """Several ranges and blocks, tight clusters that bounds prune, components beyond four bytes."""
+    r = random.Random(block)
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    centres = [[r.choice([-1, 1]) * r.uniform(0.5, 1) for _ in range(12)] for _ in range(9)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 9]]) for i in range(500)]
+    if wide:
+        rows += [(600 + i, [centres[i % 9][0] * 1e7, *centres[i % 9][1:]]) for i in range(60)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(5)
+    rows = [(x.vec_id, x.embedding) for x in df.select("vec_id", "embedding").collect()]
+    got = sorted(tuple(x) for x in top_k(df, df.where("vec_id % 50 = 0")).collect())
+    assert got == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
+
+
+def test_bounds_leave_out_blocks_of_other_clusters():
+    r = np.random.default_rng(2)
+    sub = topk_search.SUB
+    values = np.concatenate([np.round(256 * (c + r.normal(0, 0.02, (4 * sub, 16)))) for c in np.sign(r.normal(0, 1, (8, 16)))]).astype(np.int64)
+    hi, lo = (f(values.reshape(-1, sub, 16), axis=1) for f in (np.max, np.min))
+    query = values[:1]
+    kth = np.sort(query @ values.T)[0, -5]
+    share = (topk_search._bounds(query, hi, lo) >= kth).mean()
+    assert share <= 0.25 and (topk_search._bounds(query, hi, lo)[0] >= (query @ values.T).reshape(-1, sub).max(axis=1)).all()
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], VECTORS)
     assert top_k(df, df).count() == 0
