@@ -40,7 +40,8 @@ SMALL = 32
 #: Segments of the head of a chain that is the key.
 HEAD = 2
 
-ROWS = "key long, start int, fp long, n long, plain boolean"
+#: The key's low four bits say where its chain begins.
+ROWS = "key long, fp long, plain boolean"
 #: Of each byte value its eight bits, highest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -86,7 +87,7 @@ class Ring:
 
     def __init__(self, most: int):
         if not 0 <= most <= 15:
-            raise ValueError("0 <= bits <= 15")
+            raise ValueError("0 <= most <= 15")
         self.most, self.m = most, most + 1
         edges = [64 * i // self.m for i in range(self.m + 1)]
         bits = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
@@ -116,7 +117,7 @@ class Ring:
 
 
 def _chain_keys(most: int):
-    """(fp, n) -> a row for each chain's head as it is (plain), and for each allowed difference from it that this side undoes."""
+    """(fp) -> a row for each chain's head as it is (plain), and for each allowed difference from it that this side undoes."""
     ring = Ring(most)
     errors = [np.array(ring.errors(i), dtype=U64) for i in range(ring.m)]
     salt = splitmix(np.arange(1, ring.m + 1, dtype=U64))
@@ -124,18 +125,18 @@ def _chain_keys(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, ns = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            fps = batch.column(0).to_numpy().view(U64)
             for lo in range(0, len(fps), 4096):
-                fp, n = fps[lo : lo + 4096], ns[lo : lo + 4096]
+                fp = fps[lo : lo + 4096]
                 for i in range(ring.m):
                     e, top = errors[i], tops[i]
                     row, which = np.nonzero((fp[:, None] & top[None, :]) == top[None, :])
                     head = (fp[row] ^ e[which]) & U64(ring.masks[i][ring.head - 1])
-                    key = splitmix(head + salt[i])
+                    key = splitmix(head + salt[i]) & ~U64(15) | U64(i)
                     plain = e[which] == 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(key)), pa.array(np.full(len(row), i, np.int32)), pa.array(signed(fp[row])), pa.array(n[row]), pa.array(plain)],
-                        names=["key", "start", "fp", "n", "plain"],
+                        [pa.array(signed(key)), pa.array(signed(fp[row])), pa.array(plain)],
+                        names=["key", "fp", "plain"],
                     )
 
     return run
@@ -146,10 +147,11 @@ def _chain_keys(most: int):
 
 def fingerprint_links(classes: DataFrame, most: int, scratch: Scratch) -> DataFrame | None:
     """(node, component) of classes (fp, n; saved) that some other class is within ``most`` bits of; None if there are none."""
-    rows = classes.select("fp", "n").mapInArrow(_chain_keys(most), ROWS)
+    rows = classes.select("fp").mapInArrow(_chain_keys(most), ROWS)
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("plain").alias("plain")).where("size > 1 and plain")
     met = scratch.save(met.select("key", "size"), "met")
-    here = scratch.save(spread_join(rows, met, ["key"], F.col("fp"), scratch), "members")
+    here = spread_join(rows, met, ["key"], F.col("fp"), scratch).withColumn("start", F.col("key").bitwiseAND(15).cast("int"))
+    here = scratch.save(here.join(classes.select("fp", "n"), "fp"), "members")
     pivots = here.groupBy("key").agg(F.max_by("fp", F.struct("n", "fp")).alias("p"), F.count(F.lit(1)).alias("size"))
     tested = spread_join(here, scratch.save(pivots, "pivots"), ["key"], F.col("fp"), scratch).where("fp <> p")
     near = tested.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))) <= most).select(F.col("fp").alias("a"), F.col("p").alias("b"))
