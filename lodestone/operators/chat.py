@@ -11,7 +11,9 @@ from lodestone.functions.text import attached, drive_url, snippet
 MISSING = 1000
 IMAGES = ["image/png", "image/jpeg", "image/gif", "image/webp"]
 
-CITATION = "struct<document_id:string,document_name:string,entity_id:string,entity_name:string,entity_type:string,entity_description:string,content:string,similarity:double,score:double,relevance_score:double>"
+#: Fields of a tool's result that a citation is made of (fixed names).
+TEXTS = ["document_id", "document_name", "entity_id", "entity_name", "entity_type", "entity_description", "content"]
+SCORES = ["similarity", "score", "relevance_score"]
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame, user_id: int | None = None, limit: int = 50) -> DataFrame:
@@ -55,12 +57,13 @@ def citations(results: DataFrame) -> DataFrame:
     text = F.when(F.ltrim("result").startswith("["), F.col("result")).otherwise(F.concat(F.lit("["), "result", F.lit("]")))
     raw = results.select("call_id", F.posexplode(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).alias("ordinal", "v"))
     fields = raw.select("call_id", "ordinal", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("f")).where("f is not null")
-    kept = (F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in (x.split(":") for x in CITATION[7:-1].split(",")))
+    kept = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for names, kind in ((TEXTS, "string"), (SCORES, "double")) for name in names]
     items = fields.select("call_id", "ordinal", F.struct(*kept).alias("c"), F.map_keys("f").alias("keys"))
     entity = F.concat("c.entity_name", F.lit(" ("), F.coalesce("c.entity_type", F.lit("")), F.lit("): "), F.coalesce("c.entity_description", F.lit("")))
     content = F.when(F.coalesce("c.content", F.lit("")) != "", F.col("c.content")).otherwise(entity)
-    score = F.when(F.array_contains("keys", "similarity"), F.col("c.similarity")).when(F.array_contains("keys", "score"), F.col("c.score"))
-    score = score.when(F.array_contains("keys", "relevance_score"), F.col("c.relevance_score")).otherwise(0.0)
+    score = F.lit(0.0)
+    for name in reversed(SCORES):
+        score = F.when(F.array_contains("keys", name), F.col(f"c.{name}")).otherwise(score)
     rows = items.select(
         "call_id", "ordinal", "c.document_id", "c.document_name", "c.entity_id", "c.entity_name",
         snippet(content).alias("snippet"), score.alias("score"),

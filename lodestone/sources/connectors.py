@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 PAGE = 100
 FOLDER = "application/vnd.google-apps.folder"
 ENTRIES = "id string, name string, mime string, target_id string, target_mime string, size long, parent_id string, page int"
-#: The directory of entries without a parent; others are named by the hexadecimal digits of the parent's id.
+#: The directory of entries without a parent; others are named by an x and the hexadecimal digits of the parent's id.
 TOP = "top"
 #: Columns that a listing is asked by.
 ASKED = ("parent_id", "mime", "name")
@@ -63,13 +63,13 @@ class DriveReader(DataSourceReader):
     def partitions(self) -> list[Folder]:
         store, root = self._store()
         asked = self.wanted.get("parent_id")
-        places = [root] if asked is None else [f"{root}/folder={p.encode().hex().upper()}" for p in dict.fromkeys(asked) if p is not None]
+        places = [root] if asked is None else [f"{root}/folder=x{p.encode().hex().upper()}" for p in dict.fromkeys(asked) if p is not None]
         found = []
         for place in places:
             for info in store.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True)):
                 if info.type == fs.FileType.File and info.path.endswith(".parquet"):
                     code = info.path.split("/")[-2].removeprefix("folder=")
-                    found.append(Folder(None if code == TOP else bytes.fromhex(code).decode(), info.path))
+                    found.append(Folder(None if code == TOP else bytes.fromhex(code[1:]).decode(), info.path))
         return sorted(found, key=lambda f: f.path)
 
     def read(self, partition: Folder | None) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def write_drive(entries: DataFrame, uri: str) -> None:
     large folder has several files, each a part of that order. Trashed entries
     aren't listed.
     """
-    folder = F.coalesce(F.hex(F.encode("parent_id", "utf-8")), F.lit(TOP)).alias("folder")
+    folder = F.coalesce(F.concat(F.lit("x"), F.hex(F.encode("parent_id", "utf-8"))), F.lit(TOP)).alias("folder")
     order = ["folder", (F.col("mime") != FOLDER).cast("int"), "name", "id"]
     held = entries.where("not coalesce(trashed, false)").select(folder, "id", "name", "mime", "target_id", "target_mime", F.col("size").cast("long").alias("size"))
     held.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(uri)

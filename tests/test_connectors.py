@@ -14,6 +14,7 @@ PDF = ingest.READ[0]
 def drive(spark, tmp_path_factory):
     rows = [("root", None, "Base", connectors.FOLDER, None, None, False, None), ("a/b:ä", "root", "A", connectors.FOLDER, None, None, False, None), ("empty", "root", "E", connectors.FOLDER, None, None, False, None)]
     rows += [(f"f{i}", "a/b:ä", f"n{i:04}", PDF if i % 3 else "image/png", None, None, i % 10 == 9, i) for i in range(500)]
+    rows += [("odd", "", "in a folder without a name", PDF, None, None, False, 1)]
     rows += [("s", "root", "short", ingest.SHORTCUT, "a/b:ä", connectors.FOLDER, None, None)]
     path = f"file://{tmp_path_factory.mktemp('drive')}/d"
     connectors.write_drive(spark.createDataFrame(rows, SCHEMA), path)
@@ -63,6 +64,7 @@ def test_a_frame_without_the_option_can_be_filtered_twice(spark, drive):
     a, b = rows.where("parent_id = 'root'"), rows.where("parent_id = 'a/b:ä'")
     assert a.union(b).count() == 453 and a.count() == 3 and b.count() == 450
     assert rows.where("parent_id is null").count() == 1
+    assert connectors.listing(spark, "drive", {"parent_id": [""]}, path=drive).first()["id"] == "odd"
 
 
 def test_walk_goes_through_shortcuts_once(spark, drive):
