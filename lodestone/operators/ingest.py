@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension, path_leaf, path_parent
-from lodestone.operators.running import numbered
+from lodestone.operators.running import numbered, numbered_within
 from lodestone.sources.scratch import saved
 
 #: Types of files that are read, and what entries without content are (fixed values of the source's API).
@@ -35,6 +36,8 @@ UNEXPORTABLE = ["exportSizeLimitExceeded", "fileNotExportable", "cannotExportFil
 PASSED = ["pending", "downloading", "downloaded", "extracting", "extracted", "embedding", "embed_failed", "embedded", "kg_failed", "kg_done"]
 ENDED = ["kg_done", "failed", "skipped", "embed_failed", "kg_failed", "cancelled"]
 RETRIED = ["failed", "pending", "processing"]
+#: Files of a job in a block when batches are numbered.
+BLOCK = 100_000
 
 
 def entry_action(mime: Column) -> Column:
@@ -191,29 +194,78 @@ def filtered(rows: DataFrame, **equal) -> DataFrame:
     return rows
 
 
-def embed_batches(files: DataFrame, chunks: int = 100, most_files: int = 5) -> DataFrame:
-    """files (job_id, file_id, seq, n_chunks) with the number, from 0, of their job's batch that each goes into, in order of seq.
+def embed_batches(files: DataFrame, chunks: int = 100, most_files: int = 5, block: int = BLOCK) -> DataFrame:
+    """files (job_id, file_id, seq, n_chunks) with the number, from 0, of their job's batch that each goes into, in order of seq, then file_id.
 
-    A batch closes once it has ``chunks`` chunks or ``most_files`` files. Jobs are
-    sorted, and passed through in Arrow batches with three numbers as state,
-    so that a job of any length needs no memory.
-    """
+    A batch closes once it has ``chunks`` chunks or ``most_files`` files. A job is
+    cut into blocks of ``block`` files. What a block needs to know of those before
+    is how many files of an open batch end them, fewer than ``most_files``: a pass
+    over the blocks batches each for every such number, from the last files of the
+    block before, and what a block makes of them leads to the next, a row a block.
+    So a job of any length is as many groups as blocks.
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, batch, held, count = None, 0, 0, 0
+    A null n_chunks counts as none, a null job_id as a job. Columns beyond these are ignored.
+    """
+    if chunks < 1 or most_files < 1 or block < most_files:
+        raise ValueError("chunks and most_files start at 1, and a block holds a batch")
+    rows = files.select(F.col("job_id").cast("string"), F.col("file_id").cast("string"), F.col("seq").cast("long"), F.coalesce(F.col("n_chunks").cast("long"), F.lit(0)).alias("n"), F.col("n_chunks").cast("long"))
+    placed = numbered_within(rows, "job_id", ["seq", "file_id"], "k")
+    own = F.floor(F.col("k") / block)
+    blocks = F.when(F.col("k") % block > block - most_files, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.withColumn("block", F.explode(blocks)).repartition("job_id", "block").sortWithinPartitions("job_id", "block", "k")
+    shape = "job_id string, block long, file_id string, n_chunks long, numbers array<long>, after array<int>, closed array<long>"
+    tried = saved(dealt.select("job_id", "block", "k", "file_id", "n", "n_chunks").mapInArrow(_batched(chunks, most_files, block), shape), "batches")
+
+    def linked(ends: pd.DataFrame) -> pd.DataFrame:
+        at, base, entries = 0, 0, []
+        for b, after, closed in ends.sort_values("block")[["block", "after", "closed"]].itertuples(index=False):
+            at, base = int(after[at]), base + int(closed[at])
+            entries.append((ends["job_id"].iloc[0], b + 1, at, base))
+        return pd.DataFrame(entries, columns=["_job", "_block", "_at", "_base"])
+
+    ends = tried.where("after is not null").select("job_id", "block", "after", "closed")  # a row a block
+    entered = ends.groupBy("job_id").applyInPandas(linked, "_job string, _block long, _at int, _base long")
+    both = tried.join(entered, F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("block") == F.col("_block")), "left")
+    number = F.coalesce("_base", F.lit(0)) + F.get("numbers", F.coalesce("_at", F.lit(0)))
+    return both.select("job_id", "file_id", "n_chunks", number.cast("long").alias("batch"))
+
+
+def _batched(chunks: int, most_files: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks' files, in order and after the last ones of the block before, with their batch's number in the block for each
+    number of files that the batch open at its start has; a full block's last file also with what is open after it, and the batches closed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        #: number of files open at the block's start -> [chunks, files] of the batch now open, and its number
+        ways: dict[int, list[int]] = {}
         for rows in batches:
-            numbers = []
-            for j, n in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                if j != job:
-                    job, batch, held, count = j, 0, 0, 0
-                numbers.append(batch)
-                held, count = held + (n or 0), count + 1
-                if held >= chunks or count >= most_files:
-                    batch, held, count = batch + 1, 0, 0
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(numbers, pa.int64())], names=["job_id", "file_id", "n_chunks", "batch"])
-
-    rows = files.select(F.col("job_id").cast("string"), F.col("file_id").cast("string"), F.col("seq").cast("long"), F.col("n_chunks").cast("long"))
-    return rows.repartition("job_id").sortWithinPartitions("job_id", "seq", "file_id").mapInArrow(number, "job_id string, file_id string, n_chunks long, batch long")
+            out: list[tuple] = []
+            for job, b, k, file, n, kept in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if (job, b) != here:
+                    here, ways = (job, b), {0: [0, 0, 0]}
+                before = b * block - k
+                if before > 0:  # a batch may begin here; those that close before the block aren't open at its start
+                    ways[before] = [0, 0, 0]
+                for c in [c for c in ways if c or before <= 0]:
+                    way = ways[c]
+                    way[0], way[1] = way[0] + n, way[1] + 1
+                    if before > 0 and (way[0] >= chunks or way[1] >= most_files):
+                        del ways[c]
+                if before > 0:
+                    continue
+                numbers = [ways[c][2] if c in ways else None for c in range(most_files)]
+                for way in ways.values():
+                    if way[0] >= chunks or way[1] >= most_files:
+                        way[:] = [0, 0, way[2] + 1]
+                last = k % block == block - 1
+                part = lambda i: [ways[c][i] if c in ways else None for c in range(most_files)] if last else None  # noqa: B023, E731
+                out.append((job, b, file, kept, numbers, part(1), part(2)))
+            if out:
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["job_id", "block", "file_id", "n_chunks", "numbers", "after", "closed"])
+
+    return run
 
 
 def outcome(embedded: Column, linked: Column) -> Column:

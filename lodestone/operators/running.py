@@ -33,3 +33,13 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their number in the order, from 0, in column ``name``."""
     placed = ranged(rows, order)
     return placed.join(F.broadcast(before(placed, F.count(F.lit(1)))), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")  # a row a range
+
+
+def numbered_within(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """rows with their number, from 0, among those of the same value of ``by`` (null is one too), however many share it."""
+    placed = ranged(rows, [by, *order])
+    here = placed.groupBy("_part", F.col(by).alias("_by")).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = here.select(F.col("_part").alias("_at"), "_by", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    both = placed.join(shift, (F.col("_part") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by")))
+    return both.withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_at", "_by", "_shift")
