@@ -147,15 +147,17 @@ def near_duplicates(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     sig = scratch.save(texts.mapInArrow(_signatures(width, bands, rows), SIGNATURE), "signatures")
     some = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy(CLASS).agg(F.min("doc_id").alias("doc_id"))
+    counted = scratch.save(sig.groupBy(CLASS).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("size")), "counted")
+    classes = counted.where("n_shingles > 0 and doc_id is not null")
     # a class goes by its smallest id; where several classes have the same, all but the first go by a hash of theirs
     first = classes.groupBy("doc_id").agg(F.min(F.struct(CLASS)).alias("first"))
     own = F.when(F.struct(CLASS) == F.col("first"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", *CLASS))
     classes = scratch.save(classes.join(first, "doc_id").select(*CLASS, "doc_id", own.alias("rep")), "classes")
     reps = some.join(classes, [*CLASS, "doc_id"]).select("rep", "n_shingles", "bands")
     rows_of = reps.select(F.explode("bands").alias("key"), "rep", "n_shingles")
-    shared = rows_of.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    banded = scratch.save(rows_of.join(shared.select("key"), "key").distinct(), "bands")
+    shared = rows_of.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    shared = scratch.save(shared.select("key", "size"), "shared")
+    banded = scratch.save(spread_join(rows_of, shared, ["key"], F.col("rep"), scratch).distinct(), "bands")
 
     wanted = scratch.save(classes.join(banded.select("rep").distinct(), "rep", "left_semi"), "wanted")
     ids = wanted.select("doc_id").distinct()
@@ -177,11 +179,13 @@ def near_duplicates(
         label = _joined(label, near, scratch)
         scratch.drop(tested, rest, *([here] if turn else []))
         here, turn = following, turn + 1
-    out = sig.drop("bands").join(classes.withColumnRenamed("doc_id", "least"), CLASS, "left")
+    named = classes.withColumnRenamed("doc_id", "least")
     if label is None:
-        out = out.withColumns({"group": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
-    else:
-        out = out.join(_named(label, classes, scratch), out.rep == F.col("node"), "left")
+        named = named.withColumns({"group": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    else:  # a row a class, however many copies it has
+        named = named.join(_named(label, classes, scratch), named.rep == F.col("node"), "left").drop("node")
+    row = F.struct(F.spark_partition_id(), F.monotonically_increasing_id())
+    out = spread_join(sig.drop("bands"), named, CLASS, row, scratch, "left", sizes=counted)
     there = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id"))
     return out.select(
@@ -254,9 +258,9 @@ def _joined(label: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 def _pivot_pairs(here: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb): each key's classes b with its pivot a. here: key, rep, n_shingles."""
     order = F.col("rep") if turn == 0 else F.xxhash64(F.col("rep"), F.lit(turn))
-    pivots = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))).alias("x"))
-    pivots = scratch.save(pivots.select("key", "x.a", "x.na"), "pivots")
-    both = here.join(pivots, "key").where("rep <> a")
+    pivots = here.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))).alias("x"), F.count(F.lit(1)).alias("size"))
+    pivots = scratch.save(pivots.select("key", "x.a", "x.na", "size"), "pivots")
+    both = spread_join(here, pivots, ["key"], F.col("rep"), scratch).where("rep <> a")
     return scratch.save(both.select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct(), "pairs")
 
 
@@ -322,15 +326,15 @@ def _next_keys(rest: DataFrame, sets: DataFrame, percent: int, turn: int, scratc
     need = F.expr(f"greatest(1, cast(ceil({q} * (nb + least) / {w}) as int) - i)")
     more = spread_join(others, one, ["a"], F.col("b"), scratch).join(two, "b").select("a", "b", "nb", "comp", (F.col("nb") - F.col("i") - need + 1).cast("int").alias("most"), F.array_except("y", "x").alias("s"))
     single = more.where("most > 0").select("a", "b", "nb", "comp", "most", F.explode("s").alias("s"))
-    often = single.select("b", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = single.join(often, "s", "left").select("a", "b", "nb", "comp", "most", "s", F.coalesce("f", F.lit(1)).alias("f"))
+    often = single.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.count(F.lit(1)).alias("f"), F.sum("n").alias("size")).where("f > 1")
+    shared = spread_join(single, scratch.save(often, "often"), ["s"], F.col("b"), scratch, "left").select("a", "b", "nb", "comp", "most", "s", F.coalesce("f", F.lit(1)).alias("f"))
     listed = shared.groupBy("a", "b", "nb", "comp", "most").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
     chosen = listed.select("a", "b", "nb", "comp", F.explode(F.slice("x", F.lit(1), F.col("most"))).alias("e")).where("e.f > 1")
     keyed = chosen.select(F.xxhash64("a", "e.s", F.lit(turn)).alias("key"), "b", "nb", "comp")
     members = [F.bit_xor(F.xxhash64("b", F.lit(j))).alias(f"m{j}") for j in (0, 1)]
     mixed = keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m"), *members).where("c0 <> c1")
-    once = mixed.groupBy("m", "m0", "m1").agg(F.min("key").alias("key")).select("key")  # keys of the same classes do the same work
-    return keyed.join(once, "key").select("key", F.col("b").alias("rep"), F.col("nb").alias("n_shingles"), "comp")
+    once = mixed.groupBy("m", "m0", "m1").agg(F.min("key").alias("key")).select("key", F.col("m").alias("size"))  # keys of the same classes do the same work
+    return spread_join(keyed, scratch.save(once, "once"), ["key"], F.col("b"), scratch).select("key", F.col("b").alias("rep"), F.col("nb").alias("n_shingles"), "comp")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_many_variants_of_one_pivot(frame, monkeypatch):
     base = [r.choice(vocabulary) for _ in range(80)]
     rows = [(i, " ".join(changed(base, r.randrange(0, 6), r, vocabulary))) for i in range(150)]
     assert {tuple(x)[:4] for x in near_duplicates(frame(rows)).collect()} == brute(rows)
+
+
+def test_a_third_are_copies_of_one_text(frame):
+    """Exact copies, empty texts and rows without an id, each a large part of all, against brute force."""
+    r = random.Random(25)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [r.choice(vocabulary) for _ in range(60)]
+    rows = [(i, " ".join(base)) for i in range(1, 200)] + [(200 + i, " ".join(changed(base, r.randrange(0, 5), r, vocabulary))) for i in range(60)]
+    rows += [(300 + i, r.choice([None, "", " "])) for i in range(150)] + [(500 + i, " ".join(r.choice(vocabulary) for _ in range(30))) for i in range(40)]
+    unnamed = [(None, " ".join(base))] * 80
+    got = near_duplicates(frame(rows + unnamed)).collect()
+    assert {tuple(x)[:4] for x in got if x.doc_id is not None} == brute(rows)
+    assert [tuple(x)[:5] for x in got if x.doc_id is None] == [(None, len(shingles(" ".join(base))), None, True, None)] * 80
