@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Scratch
+from lodestone.llm._common import Scratch, spread_join
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 #: Records in a file at most, and rows of revisits that are broadcast at most.
@@ -50,8 +50,10 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, date: str = DA
     row = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     full = row.withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
     meta = scratch.save(full.select("page_id", "digest"), "digests")
-    classes = scratch.save(meta.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("latest")).where("n > 1 and latest is not null").select("digest", "latest"), "classes")
-    revisits = meta.join(classes, "digest").where("page_id is null or page_id < latest").select(_key().alias("k"), "latest").distinct()
+    classes = scratch.save(meta.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("latest")).where("n > 1 and latest is not null").select("digest", "latest", F.col("n").alias("size")), "classes")
+    # a payload that very many pages have is dealt over tasks
+    row = F.struct(F.spark_partition_id(), F.monotonically_increasing_id())
+    revisits = spread_join(meta, classes, ["digest"], row, scratch).where("page_id is null or page_id < latest").select(_key().alias("k"), "latest").distinct()
     revisits = scratch.save(revisits, "revisits")
     few = revisits.count() <= BROADCAST_ROWS
     marked = full.withColumn("k", _key()).join(F.broadcast(revisits) if few else revisits, "k", "left")
