@@ -5,7 +5,9 @@ All steps are DataFrame expressions; nothing runs Python on the executors.
 1. Items are split into partitions by the size of their shingle sets, from one
    power of two to the next. A partition's sketch length follows from its upper
    size u: of each item it keeps the floor(u (100 - percent) / 100) + 1 least
-   shingle hashes, its bottom-k MinHash values (all, if it has fewer).
+   shingle hashes, its bottom-k MinHash values (all, if it has fewer). Hashes of
+   shingles that more items have come later, by powers of two, so that a phrase
+   of a template doesn't lead from each of its items to each document with it.
 2. A document that holds ``percent`` of an item's shingles misses at most
    floor(n (100 - percent) / 100) of them, so it holds at least one of the kept
    values: the probe of the documents' hashes finds every such pair.
@@ -14,13 +16,13 @@ All steps are DataFrame expressions; nothing runs Python on the executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import LOW, SPACE_CLASS, UPPER, Scratch, keyed
+from lodestone.llm._common import LOW, SPACE_CLASS, UPPER, Scratch, keyed, spread_join
 
-#: Rows of the items' sketches, and ids of candidate documents, that are broadcast at most; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of the items' sketches, ids of candidate documents, and bytes of the items' shingles that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 128 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -53,22 +55,43 @@ def _pairs(docs: DataFrame, items: DataFrame, percent: int, width: int) -> DataF
     sets = parts.select("item_id", "item", F.array_distinct(shingle_texts(width)).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(width))).alias("hashes"))
     sets = scratch.save(sets.where(F.size("shingles") > 0).withColumn("n_item", F.size("shingles").cast("long")), "items")
 
-    upper = F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1  # of the item's size partition
-    kept = (F.floor(upper * (100 - percent) / 100) + 1).cast("int")
-    sketch = sets.select("item", F.explode(F.slice("hashes", F.lit(1), kept)).alias("h"))
+    sketch = scratch.save(_sketches(sets, percent, scratch), "sketches")
     hashes = texts.select("k", words_of(F.col("text")).alias("words")).select("k", F.explode(shingle_hashes(width)).alias("h"))
-    small = sketch.count() <= BROADCAST_ROWS
-    pairs = scratch.save(hashes.join(F.broadcast(sketch) if small else sketch, "h").select("k", "item").distinct(), "pairs")
+    if sketch.count() <= BROADCAST_ROWS:
+        met = hashes.join(F.broadcast(sketch), "h")
+    else:  # a shingle that very many documents have is dealt over tasks
+        probed = sketch.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+        sizes = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("size")).join(probed, "h").select("h", "size")
+        met = spread_join(hashes, sketch, ["h"], F.col("k"), scratch, sizes=scratch.save(sizes, "sizes"))
+    pairs = scratch.save(met.select("k", "item").distinct(), "pairs")
 
     held = pairs.select("k").distinct()
     few = held.count() <= BROADCAST_ROWS
     here = texts.join(F.broadcast(held) if few else held, "k", "left_semi").dropDuplicates(["k"])
     sizes = here.select("k", "doc_id", words_of(F.col("text")).alias("words")).select("k", "doc_id", F.array_distinct(shingle_texts(width)).alias("found"))
-    both = pairs.join(sizes, "k").join(F.broadcast(sets) if small else sets, "item")
+    length = F.aggregate("shingles", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    if (sets.agg(F.sum(length)).first()[0] or 0) <= BROADCAST_BYTES:
+        both = pairs.join(sizes, "k").join(F.broadcast(sets), "item")
+    else:  # items go to their pairs first: they are the smaller sets
+        needed = {c: scratch.save(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("size")), "needed") for c in ("item", "k")}
+        both = spread_join(pairs, sets, ["item"], F.col("k"), scratch, sizes=needed["item"])
+        both = spread_join(both, sizes, ["k"], F.col("item"), scratch, sizes=needed["k"])
     shared = F.size(F.array_intersect("shingles", "found")).cast("long")
     return both.select("k", "doc_id", "item_id", "n_item", shared.alias("n_shared")).where(f"100 * n_shared >= {percent} * n_item")
 
 
+def _sketches(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(item, h): of each item as many hashes as a document that holds ``percent`` of it can't all miss, in whichever order;
+    here by how many items have them (in powers of two), then by hash. sets: item, n_item, hashes."""
+    upper = F.pow(F.lit(2), F.floor(F.log2("n_item")) + 1) - 1  # of the item's size partition
+    kept = (F.floor(upper * (100 - percent) / 100) + 1).cast("int")
+    rows = sets.select("item", kept.alias("kept"), F.explode("hashes").alias("h"))
+    common = scratch.save(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("often", F.floor(F.log2("size"))), "common")
+    rows = spread_join(rows, common, ["h"], F.col("item"), scratch, "left")
+    place = Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "h")  # an item's own hashes
+    return rows.withColumn("place", F.row_number().over(place)).where("place <= kept").select("item", "h")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """One row per pair found: doc_id, item_id, n_item, n_shared, containment.
 

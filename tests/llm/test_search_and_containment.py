@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import topk_search
+from lodestone.llm import decontamination, topk_search
 from lodestone.llm.decontamination import contained_items, decontaminated
 from lodestone.llm.topk_search import top_k
 
@@ -76,7 +76,11 @@ def shingles(text):
     return set() if not w else {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
 
 
-def test_containment_against_brute_force(spark, frame):
+@pytest.mark.parametrize("most", [None, 0])  # all is broadcast; all is joined by shuffle
+def test_containment_against_brute_force(spark, frame, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
     r = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
     text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
@@ -105,3 +109,23 @@ def test_containment_against_brute_force(spark, frame):
     left = sorted(((x.doc_id, x.text) for x in decontaminated(df, bench).collect()), key=str)
     assert left == sorted(((d, t) for d, t in docs if not dirty(t)), key=str)
     assert contained_items(frame([]), bench).count() == 0 and contained_items(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_templates_of_items_lead_to_no_pairs(spark, frame, monkeypatch, most):
+    """A phrase that all items and most documents have: found as by brute force, and each item is looked for by its own shingles."""
+    if most is not None:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    head = " ".join(f"t{i}" for i in range(12))
+    items = [(i, head + " " + " ".join(f"i{i}w{j}" for j in range(20))) for i in range(40)] + [(99, head)]
+    docs = [(i, f"before {head} " + " ".join(f"d{i}w{j}" for j in range(10))) for i in range(100)]
+    docs += [(200 + i, f"{items[i][1]} after") for i in range(5)] + [(300, "y" * 40 + " " + head.upper() + " " + "long words " * 120_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contained_items(frame(docs), bench).collect()}
+    assert got == {(d, 99) for d, _ in docs} | {(200 + i, i) for i in range(5)}
+    scratch = decontamination.Scratch(spark, "test")
+    sets = bench.select(F.col("item_id").alias("item"), decontamination.words_of(F.col("text")).alias("words"))
+    sets = sets.select("item", F.array_sort(decontamination.shingle_hashes(5)).alias("hashes")).withColumn("n_item", F.size("hashes"))
+    sketch = decontamination._sketches(sets, 75, scratch).where("item <> 99")
+    assert sketch.groupBy("h").count().where("count > 1").count() == 0
