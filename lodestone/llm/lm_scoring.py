@@ -26,10 +26,10 @@ place.
 2. A second scan counts how often guesses are right, each byte (the code is made
    of them), each head, and each task's tokens. Summed over all texts, heads and
    tokens give the bits by slot: every occurrence counts, but is written once.
-3. A bounded sample of training texts only starts weights and refinement, fitted
-   online. A pass over the heads and tokens of all training texts then gives a
-   Newton step of each gate's weights and the refinement, as sums of fixed size.
-   What is predicted is left out of the counts.
+3. Weights start even. Each of a few passes over the heads and tokens of all
+   training texts gives a Newton step of each gate's weights, and the last one,
+   with the weights that stay, the refinement, as sums of fixed size. What is
+   predicted is left out of the counts. No sample has a part in it.
 4. A scan of all texts writes each head and tail of a chunk of texts once, or
    takes it from chunks before. Counts and tails of frequent tokens go with it:
    of N at most ``FREQUENT`` have N / FREQUENT copies or more. The other tokens'
@@ -52,7 +52,7 @@ from lodestone.llm._common import Chunk, Scratch, U64, chunk_ranges, signed, spl
 #: Slots of each predictor, as powers of two, and slots in a block of the shuffled counts.
 BITS = (12, 16, 18, 19, 20)
 BLOCK = 4096
-#: Documents in the sample, and characters of each.
+#: Bounds of a sample that once started the fit; nothing reads them, and no score depends on them.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 3_000
 #: Tokens whose counts are sent to every task at most.
 FREQUENT = 1 << 19
@@ -67,8 +67,9 @@ HEAD, CELLS = 3, 1 << 22
 GUESS_BITS, GUESS_COPIES = 22, 2
 #: Slots in a block of the shuffled guesses, and guesses that a task holds before it writes them.
 GUESS_BLOCK, GUESS_HELD = 256, 1 << 20
-RATE, PASSES, SEED = 0.4, 3, 7
-#: Copies that the start counts for in the refinement.
+#: Newton steps of the weights, a pass over all training heads and tokens each; one more pass gives the refinement.
+STEPS = 2
+#: Copies that the mixed odds as they are count for in the refinement.
 START = 500
 #: How far guesses' odds follow what came true of them in the text so far.
 FOLLOW = 1.0
@@ -425,43 +426,10 @@ def left_out(b: Bits, y: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[li
     return odds, b.place.astype(np.int64) * 4 + _known(np.maximum(n0[last] + n1[last] - 1, 0))
 
 
-def fit(code: Code, counts: np.ndarray, sample: list[bytes]) -> Mixer:
-    """A start of weights and refinement, online over the sample's tokens; counts: (slots, 2) of the training texts."""
+def fit(code: Code, counts: np.ndarray, sample: list[bytes] | None = None) -> Mixer:
+    """Odds from the counts, (slots, 2), of all training texts; weights and refinement before the first pass. Nothing is learned from ``sample``."""
     n0, n1 = counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)
-    mixer = Mixer(code, _odds(n0, n1), _known((n0 + n1)[_OFFSET[-2] :]))
-    t = tokens_of(sample)
-    if not len(t.codes) or not counts.any():
-        return mixer
-    rows, back = distinct(t)
-    heads, which = heads_of(t, rows, back)
-    parts = [(head_tokens(heads), np.arange(len(heads)), np.bincount(which), False), (t, rows, np.bincount(back), True)]
-    rng = np.random.default_rng(SEED)
-    batches = [(part, i) for part in range(2) for i in range(0, len(parts[part][1]), 2048)]
-    step, turns = 0, PASSES * len(batches)
-    for turn in range(PASSES):
-        order = [rng.permutation(len(p[1])) for p in parts]
-        for part, i in (batches[j] for j in rng.permutation(len(batches))):
-            some, at, times, tail = parts[part]
-            own = order[part][i : i + 2048]
-            b = bits_of(some, at[own], code, tail)
-            weight, y = times[own][b.token].astype(np.float32), b.bit.astype(np.float32)
-            odds, gate = left_out(b, y, n0, n1)
-            x = sum(w[gate] * o for w, o in zip(mixer.weights, odds, strict=True))
-            error = (y - 1 / (1 + np.exp(-x))) * weight
-            each = np.bincount(gate, weights=weight, minlength=GATES) + 50
-            rate = RATE * (1 - step / turns) + 0.01
-            for w, o in zip(mixer.weights, odds, strict=True):
-                w += (rate * np.bincount(gate, weights=error * o, minlength=GATES) / each).astype(np.float32)
-            if turn:  # the weights have settled
-                place, low = _knots(x)
-                cell = b.node.astype(np.int64) * KNOTS + np.rint(place).astype(np.int64)
-                size = np.bincount(cell, weights=weight, minlength=256 * KNOTS)
-                ones = np.bincount(cell, weights=weight * y, minlength=256 * KNOTS)
-                flat = mixer.refined.ravel()
-                seen = np.flatnonzero(size)
-                flat[seen] += ((ones[seen] / size[seen] - flat[seen]) * np.minimum(0.5, size[seen] / (size[seen] + 500))).astype(np.float32)
-            step += 1
-    return mixer
+    return Mixer(code, _odds(n0, n1), _known((n0 + n1)[_OFFSET[-2] :]))
 
 
 def round_sums(t: Tokens, times: np.ndarray, tail: bool, code: Code, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -516,13 +484,13 @@ def _total(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _round(shared, tail: bool):
+def _round(shared, weights: np.ndarray, tail: bool):
     """(n, head or token) -> the sums of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(sum(_SIZES))
         for batch in batches:
-            sums += round_sums(_units(batch.column(1)), batch.column(0).to_numpy(), tail, *shared.value)
+            sums += round_sums(_units(batch.column(1)), batch.column(0).to_numpy(), tail, *shared.value, weights)
         yield _flat(sums)
 
     return run
@@ -766,16 +734,6 @@ def _score(shared, frequent, total: int, base: float, new: float):
     return run
 
 
-def _sample(train: DataFrame, docs: int, chars: int) -> list[bytes]:
-    h = F.xxhash64(F.col("doc_id"), F.lit("lm sample"))
-    rows = train.where("text is not null").withColumn("h", h)
-    ids = rows.select("h").distinct().orderBy("h").limit(docs)
-    span = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
-    part = F.substring(F.col("text"), (F.pmod(F.xxhash64("h"), span) + 1).cast("int"), F.lit(chars))
-    got = rows.join(F.broadcast(ids), "h").select("h", part.alias("text")).dropDuplicates(["h"]).orderBy("h").collect()
-    return [r["text"].encode() for r in got]
-
-
 def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 10) = 0") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -795,7 +753,6 @@ def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as stri
     held = F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = rows.where(~held)
-    sample = _sample(train, SAMPLE_DOCS, SAMPLE_CHARS)
     followers = train.select("text").mapInArrow(_followers, "block int, data binary").repartition("block").sortWithinPartitions("block")
     chosen = followers.mapInArrow(_best_guesses, "slot int, h int, n int").toArrow()
     guesses = Guesses(np.zeros(1 << GUESS_BITS, dtype=U32), np.zeros(1 << GUESS_BITS, dtype=np.int32))  # so many rows at most
@@ -824,14 +781,16 @@ def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as stri
     bits = np.zeros((SLOTS // BLOCK, 2 * BLOCK), dtype=np.int64)
     for r in written.repartition("block").mapInArrow(_summed, "block int, data binary").collect():  # SLOTS of 16 bytes at most
         bits[r["block"]] = np.frombuffer(pa.Codec("zstd").decompress(bytes(r["data"]), decompressed_size=BLOCK * 16, asbytes=True), dtype=np.int64)
-    mixer = fit(code, bits.reshape(-1, 2), sample)
+    mixer = fit(code, bits.reshape(-1, 2))
     if total:
         n0, n1 = (np.ascontiguousarray(bits.reshape(-1, 2)[:, i], dtype=np.float32) for i in (0, 1))
-        sent = spark.sparkContext.broadcast((code, n0, n1, mixer.weights))
-        sums = _total(both(lambda tail: _round(sent, tail), "i int, v double"), sum(_SIZES))
-        sent.destroy()
-        stepped(mixer, sums)
+        sent = spark.sparkContext.broadcast((code, n0, n1))
+        for turn in range(STEPS + 1):
+            sums = _total(both(lambda tail: _round(sent, mixer.weights.copy(), tail), "i int, v double"), sum(_SIZES))
+            if turn < STEPS:
+                stepped(mixer, sums)
         refine(mixer, sums)
+        sent.destroy()
         del n0, n1
     del bits
 

@@ -294,6 +294,16 @@ def test_lm_is_fitted_on_all_training_texts(spark, monkeypatch):
     assert abs(start - whole) < 0.02 * abs(whole), (start, whole)
 
 
+def test_lm_takes_no_sample(spark, monkeypatch):
+    """Weights and refinement come from all training texts: the bounds of a sample change no score."""
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(f"{r.choice('abc')}{r.randrange(40)}" for _ in range(30))) for i in range(200)], "doc_id long, text string")
+    whole = {x.doc_id: x.score for x in lm_scoring.score_texts(df).collect()}
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(lm_scoring, "SAMPLE_CHARS", 3)
+    assert all(abs(x.score - whole[x.doc_id]) < 1e-6 * abs(whole[x.doc_id]) for x in lm_scoring.score_texts(df).collect())
+
+
 def test_rare_insults_and_long_texts_are_learned():
     """A term in three of 4,000 texts, all toxic, counts; and a long text goes with all its terms."""
     import pyarrow as pa
