@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,45 +42,47 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None, file_bytes: int
     (out.partitionBy(by) if by else out).json(path)
 
 
-#: Ranges of an export hold so many shards: all of a range but the last are rolled as one pass over the whole would.
-SHARDS = 64
+#: Ranges of an export hold so many shards, and so many bytes, at least: all of a range but the last are rolled as one pass over the whole would.
+SHARDS, RANGE_BYTES = 64, 4 << 20
+#: Files that a task writes, about.
+FILES = 1_000
 
 
 def sharded(df: DataFrame, kind: str, order: list[str], file_bytes: int = 40 << 20) -> DataFrame:
-    """(kind, shard, line): rows as JSON lines, each in a shard (from 1) of at most ``file_bytes`` of its kind.
+    """(kind, shard, line, row): rows as JSON lines, each in a shard (from 1) of at most ``file_bytes`` of its kind; row is its place in that.
 
     A shard takes rows in order until the next would make it larger; a row larger
     than a shard has one of its own. Two passes: the first deals rows to ranges
-    of about SHARDS shards and rolls shards in each, the second adds how many
-    shards the ranges before have. So a shard may be short where a range ends.
+    of about SHARDS shards (RANGE_BYTES, if that is more) and rolls shards in each,
+    the second adds how many shards the ranges before have. So a shard may be short where a range ends.
     """
     line = F.concat(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), F.lit("\n"))
     rows = df.select(F.col(kind).cast("string").alias("kind"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("line"))
     rows = rows.withColumn("bytes", F.octet_length("line").cast("long"))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
-    ranges = max(1, -(-total // (SHARDS * file_bytes)))
+    ranges = max(1, -(-total // max(SHARDS * file_bytes, RANGE_BYTES)))
     keys = ["kind", *(f"_o{i}" for i in range(len(order)))]
     placed = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("kind", "line", "bytes", F.spark_partition_id().alias("_part"))
-    placed = saved(placed.mapInArrow(_rolled(file_bytes), "kind string, line string, _part int, _shard long"), "shards")
+    placed = saved(placed.mapInArrow(_rolled(file_bytes), "kind string, line string, _part int, _shard long, row long"), "shards")
     ahead = before(placed, F.max("_shard") + 1, ["kind"]).select(F.col("_part").alias("_p"), F.col("kind").alias("_k"), "_before")
     joined = placed.join(F.broadcast(ahead), (F.col("_part") == F.col("_p")) & F.col("kind").eqNullSafe(F.col("_k")))  # a row a range and kind in it
-    return joined.select("kind", (F.col("_before") + F.col("_shard") + 1).alias("shard"), "line")
+    return joined.select("kind", (F.col("_before") + F.col("_shard") + 1).alias("shard"), "line", "row")
 
 
 def _rolled(file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, held, shard = object(), 0, -1
+        kind, held, shard, row = object(), 0, -1, 0
         for batch in batches:
             kinds, size = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            out = np.empty(len(size), np.int64)
+            out, place = np.empty((2, len(size)), np.int64)
             for i, (k, n) in enumerate(zip(kinds, size.tolist(), strict=True)):
                 if k != kind:
-                    kind, held, shard = k, 0, 0
+                    kind, held, shard, row = k, 0, 0, 0
                 elif held and held + n > file_bytes:
-                    held, shard = 0, shard + 1
-                held += n
-                out[i] = shard
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out)], names=["kind", "line", "_part", "_shard"])
+                    held, shard, row = 0, shard + 1, 0
+                out[i], place[i] = shard, row
+                held, row = held + n, row + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out), pa.array(place)], names=["kind", "line", "_part", "_shard", "row"])
 
     return run
 
@@ -96,22 +100,46 @@ def write_shards(df: DataFrame, path: str, kind: str, order: list[str], file_byt
     named = files.join(several, F.col("kind").eqNullSafe(F.col("_k"))).select("kind", "shard", F.concat(stem, number, F.lit(".jsonl")).alias("file"), "rows", "bytes")
     named = saved(named, "files")
     lines = shards.join(named.select(F.col("kind").alias("_k"), F.col("shard").alias("_s"), "file"), F.col("kind").eqNullSafe(F.col("_k")) & (F.col("shard") == F.col("_s")))
-    lines = lines.select("file", F.rtrim(F.col("line"), F.lit("\n")).alias("line"))
-    lines.repartition("file").write.partitionBy("file").text(f"{path}/_written")
-    _renamed(df.sparkSession, path)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, named.count() // FILES)
+    lines = lines.repartition(tasks, "file").sortWithinPartitions("file", "kind", "shard", "row").select("file", "line")
+    lines.mapInArrow(_written(_location(df.sparkSession, path)), "files long").agg(F.sum("files")).first()
     return named
 
 
-def _renamed(spark: SparkSession, path: str) -> None:
-    """Moves each file=NAME/part-... to NAME: one rename a file, as a committer does."""
+def _location(spark: SparkSession, path: str) -> str:
+    """The folder, made, as a path (of a local or mounted file system) or an address that tasks can open."""
     context = spark.sparkContext
-    of = context._jvm.org.apache.hadoop.fs.Path
-    store = of(path).getFileSystem(context._jsc.hadoopConfiguration())
-    for folder in store.globStatus(of(f"{path}/_written/file=*")) or []:
-        name = context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("file="))
-        (part,) = store.globStatus(of(f"{folder.getPath()}/part-*"))
-        store.rename(part.getPath(), of(f"{path}/{name}"))
-    store.delete(of(f"{path}/_written"), True)
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    whole = store.makeQualified(folder).toUri()
+    return whole.getPath() if whole.getScheme() == "file" else whole.toString()
+
+
+def _written(location: str):
+    """(file, line) in order of files -> (files): each file is written under a name of its own and then renamed, so that a repeated task does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(location)
+        name, held, n, own = None, [], 0, uuid.uuid4().hex
+
+        def close() -> None:
+            with store.open_output_stream(f"{folder}/.{own}") as out:
+                out.write("".join(held).encode())
+            store.move(f"{folder}/.{own}", f"{folder}/{name}")
+
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != name:
+                    if held:
+                        close()
+                    name, held, n = file, [], n + 1
+                held.append(line)
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["files"])
+
+    return run
 
 
 def files_digest(spark: SparkSession, path: str) -> str:

@@ -31,6 +31,24 @@ def test_shards_keep_the_bound_and_the_order(spark, tmp_path, monkeypatch):
         assert [(x["kind"], x["id"], x["note"]) for x in back] == sorted((x for x in rows() if x[0] == kind), key=lambda x: x[1])
 
 
+def test_files_are_written_by_tasks_over_many_ranges(spark, tmp_path, monkeypatch):
+    """Every task names its own files: the driver renames none, and no range is smaller than RANGE_BYTES."""
+    assert not hasattr(jsonl, "_renamed")
+    df = spark.createDataFrame(rows(), SCHEMA)
+    monkeypatch.setattr(jsonl, "SHARDS", 1)
+    made = {}
+    for least in (1, 4 << 20):
+        monkeypatch.setattr(jsonl, "RANGE_BYTES", least)
+        out = tmp_path / f"out{least}"
+        named = jsonl.write_shards(df, f"file://{out}", "kind", ["id"], file_bytes=900).collect()
+        assert sorted(p.name for p in out.iterdir()) == sorted(r["file"] for r in named)
+        found = {r["file"]: (out / r["file"]).read_bytes() for r in named}
+        assert all(len(found[r["file"]]) == r["bytes"] and (r["bytes"] <= 900 or r["rows"] == 1) for r in named)
+        made[least] = {k: b"".join(found[r["file"]] for r in sorted(named, key=lambda r: r["shard"]) if r["kind"] == k) for k in {r["kind"] for r in named}}
+        made[least, "files"] = len(named)
+    assert made[1] == made[4 << 20] and made[1, "files"] > made[4 << 20, "files"]
+
+
 def test_one_range_rolls_as_a_single_pass(spark, monkeypatch):
     monkeypatch.setattr(jsonl, "SHARDS", 1000)
     df = spark.createDataFrame(rows(), SCHEMA)
