@@ -19,6 +19,10 @@ FORMS = {
 }
 #: A name: capitalised words in a row behind what doesn't end a sentence; first what stands before it, then the name.
 NAME = r"([^.!?\s]+)[ \t]+(\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*)"
+#: NAME as it is run: tried only where a run of such characters begins (or the last match ended), and runs are never shortened; neither loses or changes a match.
+_NAMES = r"(?:\G|(?<![^.!?\s]))[^.!?\s]++[ \t]++\p{Lu}[\p{L}\p{N}]++(?: \p{Lu}[\p{L}\p{N}]++)*+"
+#: A sign without which a text has no mention of the form.
+_SIGNS = {"Email": "@", "Address": ".", "Phone": "+"}
 #: Types of names by the word before them, lower-cased; other names are a Name.
 CONTEXTS = {
     "Place": ["in", "at", "from", "near", "aus", "nach", "von", "en", "à", "desde"],
@@ -29,19 +33,23 @@ CONTEXTS = {
 
 def mentions(text: Column) -> Column:
     """Array of (name, entity_type) in ``text``: those with a form of their own, then names in order of their places."""
-    before, name = (F.regexp_extract_all(text, F.lit(NAME), F.lit(i)) for i in (1, 2))
     kind = lambda b: F.coalesce(*(F.when(F.lower(b).isin(words), t) for t, words in CONTEXTS.items()), F.lit("Name"))
-    names = F.zip_with(before, name, lambda b, n: F.struct(n.alias("name"), kind(b).alias("entity_type")))
+    ends = F.transform(F.regexp_extract_all(text, F.lit(_NAMES), F.lit(0)), lambda x: F.split(x, "[ \t]+", 2))  # what stands before a name has no blank
+    names = F.transform(ends, lambda x: F.struct(x[1].alias("name"), kind(x[0]).alias("entity_type")))
 
     def of_form(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("entity_type")))
+        found = F.when(F.contains(text, F.lit(_SIGNS[kind])), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+        return F.transform(found, lambda x: F.struct(x.alias("name"), F.lit(kind).alias("entity_type")))
 
     return F.concat(*(of_form(*form) for form in FORMS.items()), names)
 
 
 def extracted(chunks: DataFrame) -> DataFrame:
-    """(document_id, chunk, mentions) of chunks (document_id, chunk_index, content) that mention anything; texts are read once."""
-    found = chunks.select("document_id", F.col("chunk_index").alias("chunk"), mentions(F.col("content")).alias("mentions"))
+    """(document_id, chunk, mentions) of chunks (document_id, chunk_index, content) that mention anything; texts are read once.
+
+    Mentions come as a generated column, so that conditions on them don't look for them again.
+    """
+    found = chunks.select("document_id", F.col("chunk_index").alias("chunk"), F.explode(F.array(mentions(F.col("content")))).alias("mentions"))
     return found.where(F.size("mentions") > 0)
 
 

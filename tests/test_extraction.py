@@ -1,6 +1,7 @@
 """Mentions, relations and classifications on small texts and answers."""
 
 import json
+import random
 import re
 
 import pytest
@@ -26,6 +27,39 @@ def test_texts_without_mentions_have_no_row(spark):
     assert found(spark, None, "", "nothing here. Or here. ", "A b C").count() == 0
 
 
+def test_mentions_are_those_of_the_plain_patterns(spark):
+    """Odd texts against NAME and FORMS as they stand; the looked-for patterns try fewer places."""
+    r = random.Random(8)
+    parts = ["Rome", "Éva", "Ab-Cd", "x", "in", " ", "  ", "\t", "\n", ".", "!", "-", "a.b@c.example", "@", "+1 (521) 555-2373", "10.0.0.1", "Ll9", "\u00a0", "\U0001f600", "ÀB c", "B"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = [F.regexp_extract_all("t", F.lit(extraction.NAME), F.lit(g)) for g in (1, 2)] + [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in extraction.FORMS.values()]
+    kind = lambda b: next((t for t, words in extraction.CONTEXTS.items() if b.lower() in words), "Name")
+    for row in df.select("t", *(c.alias(f"c{i}") for i, c in enumerate(plain)), extraction.mentions(F.col("t")).alias("got")).collect():
+        if row["t"] is None:
+            assert row["got"] is None
+            continue
+        want = [(x, k) for k, c in zip(extraction.FORMS, ("c2", "c3", "c4"), strict=True) for x in row[c]] + [(n, kind(b)) for b, n in zip(row["c0"], row["c1"], strict=True)]
+        assert [tuple(x) for x in row["got"]] == want, row["t"]
+
+
+def test_texts_are_looked_through_once(spark):
+    """Conditions on mentions don't repeat the search, and a chunk isn't cut from the whole text again."""
+    f = found(spark, "go to Rome with Ann")
+    for df in (extraction.candidates(f), extraction.co_mentions(f)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 + len(extraction.FORMS), plan
+
+
+def test_chunks_are_pieces_of_equal_length(spark, tmp_path):
+    from lodestone.sources.tables import Model
+
+    texts = ["", None, "x", "é\U0001f600\n" * 7, "\n\r\u2028" * 10, "a" * 20, "b" * 21]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["document_id"], r["chunk_index"], r["content"]) for r in Model(spark, str(tmp_path)).chunks(10).collect())
+    assert got == sorted((f"doc:{i}", j // 10, t[j : j + 10]) for i, t in enumerate(texts) if t for j in range(0, len(t), 10))
+
+
 @pytest.mark.parametrize("window", [1, 3])
 def test_relations_reach_as_far_as_the_window(spark, window):
     names = ["Xa", "Xb", "xa Xa", "Xc", "Xb", "Xd"]
