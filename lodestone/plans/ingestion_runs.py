@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import embedding, vector
@@ -74,11 +74,18 @@ def _files(m: Model) -> DataFrame:
     return d.select(i, F.when(i % 7 != 0, F.col("text")).alias("text"), (F.col("n_chars") * 1000).alias("size_bytes"), fault.alias("fault"), F.lit("pending").alias("stage"), F.lit(None).cast("string").alias("error"))
 
 
+def _count(spark: SparkSession, path: str) -> int:
+    """How many files a folder of Parquet has."""
+    return len(spark.read.parquet(path).inputFiles())
+
+
 def _ran(m: Model) -> staged.Pipeline:
     """The stages over all files, which come as a stream of four batches."""
     root = shared_folder(m.spark, "ingestion")
-    _files(m).repartition(4, "doc_id").write.parquet(f"{root}/incoming")
-    stream = m.spark.readStream.schema(staged.FILES).option("maxFilesPerTrigger", 1).parquet(f"{root}/incoming")
+    tasks = m.spark.sparkContext.defaultParallelism  # a file each, so that a batch's stages have as many
+    _files(m).repartition(4 * tasks, "doc_id").write.parquet(f"{root}/incoming")
+    some = max(1, -(-_count(m.spark, f"{root}/incoming") // 4))
+    stream = m.spark.readStream.schema(staged.FILES).option("maxFilesPerTrigger", some).parquet(f"{root}/incoming")
     failing = F.when(F.col("document_id").cast("long") % 17 == 0, 3)
     pipeline = staged.ingestion(m.spark, f"{root}/stages", most_mb=10, failing=failing)
     pipeline.run(stream)

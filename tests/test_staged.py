@@ -98,3 +98,15 @@ def test_vectors_and_failures(spark):
     assert abs(sum(x * x for x in found[("a", 7)]) - 1) < 1e-6 and set(found[("c", 0)]) == set(found[("d", 0)]) == {0.0}
     near = vector.search(v.select(F.concat("document_id", "chunk_index").alias("chunk_id"), "document_id", "embedding"), embedding.query_vector(spark, "WORD1, again 1", 16), k=2, threshold=0.99)
     assert {r["chunk_id"] for r in near.collect()} == {"a1", "b0"}
+
+
+def test_the_query_has_four_batches_of_many_files(spark, sf_dir, monkeypatch):
+    """A batch is dealt over all tasks, not read from one file."""
+    from lodestone.plans import ingestion_runs
+    from lodestone.sources.tables import Model
+
+    seen = []
+    run = staged.Pipeline.run_batch
+    monkeypatch.setattr(staged.Pipeline, "run_batch", lambda self, files, batch: (seen.append(files.rdd.getNumPartitions()), run(self, files, batch)) and None)
+    assert ingestion_runs._ran(Model(spark, sf_dir)).states(staged.FILES).count() > 0
+    assert len(seen) == 4 and min(seen) > 1
