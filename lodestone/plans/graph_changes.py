@@ -63,7 +63,7 @@ def _(m):
 
 @query("graph_export_edges", with_tables("ents", "rels", sql=" select r.*, s.name as source_name, s.entity_type as source_type, t.name as target_name, t.entity_type as target_type from rels r join ents s on s.id = source join ents t on t.id = target"))
 def _(m):
-    return graph.exported_edges(m.relationships(), m.entities())
+    return graph.exported_edges(m.relationships(by="target"), m.entities())
 
 
 @query("tier_view_nodes", with_tables("tree", "ents", sql=catalog._PLACED[1] + """, c as (select cluster_id, entity_type, count(*) as n, min(node_id) as first from placed join ents on id = node_id group by 1, 2),
