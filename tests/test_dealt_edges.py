@@ -52,3 +52,13 @@ def test_relationships_are_the_same_by_an_end(spark, sf_dir, by):
     found = m.relationships(by)
     assert found.columns == m.relationships().columns and rows(found) == rows(m.relationships())
     assert found.select(by, F.spark_partition_id().alias("p")).distinct().groupBy(by).count().where("count > 1").isEmpty()
+
+
+def test_tasks_hold_a_bounded_number_of_edges(spark, sf_dir, monkeypatch):
+    m = tables.Model(spark, sf_dir)
+    want = rows(entry.queries()["cluster_edges"](spark, sf_dir))
+    monkeypatch.setattr(tables, "LINES", 100, raising=False)
+    many = m.relationships().where("relationship_type in ('SUPPLIED_BY', 'ORDERED')")
+    most = many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 250 < many.count() / 8  # not the rows of one in eight tasks
+    assert rows(entry.queries()["cluster_edges"](spark, sf_dir)) == want
