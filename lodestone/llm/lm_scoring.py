@@ -40,10 +40,12 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,14 +59,16 @@ SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 3_000
 #: Tokens whose counts are sent to every task at most.
 FREQUENT = 1 << 19
 #: Bytes of texts whose distinct tokens are scored together, and tokens handled at once.
-TOGETHER, SLICE = 3 << 20, 1 << 13
-#: Tails that a task keeps from its chunks before, and distinct tokens that it gathers before it writes them.
-KEPT, GATHER_HELD = 1 << 19, 1 << 19
+TOGETHER, SLICE = 1 << 20, 1 << 13
+#: Tails that a task keeps from its chunks before, and tokens and heads that it gathers before it sums them, and writes those of many kinds.
+KEPT, GATHER_HELD = 1 << 19, 1 << 20
+#: Bytes of rows that reach Python as one batch.
+BATCH = 4 << 20
 GATES, KNOTS = 32, 33
 #: Symbols of a token that the bytes before it have a part in; heads by a table up to so many cells.
 HEAD, CELLS = 3, 1 << 22
-#: Slots of guesses, as a power of two; copies of a guess in all training texts before it counts.
-GUESS_BITS, GUESS_COPIES = 22, 2
+#: Slots of guesses, as a power of two; copies of a guess in all training texts before it counts, and as many as make a difference.
+GUESS_BITS, GUESS_COPIES, MOST_COPIES = 22, 2, 255
 #: Slots in a block of the shuffled guesses, and guesses that a task holds before it writes them.
 GUESS_BLOCK, GUESS_HELD = 256, 1 << 20
 #: Newton steps of the weights, a pass over all training heads and tokens each; one more pass gives the refinement.
@@ -153,6 +157,17 @@ def tokens_of(texts: list[bytes | None]) -> Tokens:
     return Tokens(*columns[:5], np.append(columns[5], count))
 
 
+def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """(first row, row after the last, texts) of a batch's rows, TOGETHER bytes at most or one row; the others' texts stay in Arrow."""
+    size = pc.binary_length(batch.column(batch.schema.get_field_index("text"))).fill_null(0).to_pylist()
+    begin = total = 0
+    for i, n in enumerate([*size, TOGETHER]):
+        if i > begin and (total + n > TOGETHER or i == len(size)):
+            yield begin, i, texts_of(batch.slice(begin, i - begin))
+            begin, total = i, 0
+        total += n + 1
+
+
 def distinct(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(one index of each distinct token, in order of codes; which of them each token is)."""
     _, at, back = np.unique(t.codes, return_index=True, return_inverse=True)
@@ -248,7 +263,7 @@ def unpacked(block: int, data: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Guesses:
-    """name (0: none) and count by slot; counts of right guesses by run and sureness, and by name; weights by run."""
+    """name (0: none) and count (MOST_COPIES at most) by slot; counts of right guesses by run and sureness, and by name; weights by run."""
 
     name: np.ndarray
     count: np.ndarray
@@ -259,14 +274,15 @@ class Guesses:
     def look(self, t: Tokens, own: int = 0) -> tuple[np.ndarray, ...]:
         """(is there a guess, is it right, cell by run and sureness, cell by name); own: copies of each token that don't count."""
         slot, name = guess_keys(t)
-        there = (self.name[slot] != 0) & (self.count[slot] - own >= GUESS_COPIES)
+        count = self.count[slot].astype(np.int32) - own
+        there = (self.name[slot] != 0) & (count >= GUESS_COPIES)
         hit = there & (self.name[slot] == name)
         at = np.arange(len(hit))
         before = np.concatenate(([False], hit[:-1]))
         before[t.first[:-1][t.first[:-1] < len(hit)]] = False
         since = at - np.maximum.accumulate(np.where(before, 0, at))
         run = np.minimum(since, 7)
-        sure = np.minimum(np.log2(np.maximum(self.count[slot] - own, 1)).astype(np.int64), 7)
+        sure = np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), 7)
         return there, hit, run * 8 + sure, (self.name[slot] >> U32(20)).astype(np.int64)
 
     def chance(self, cell: np.ndarray, guess: np.ndarray) -> np.ndarray:
@@ -520,27 +536,37 @@ def _gather(shared):
         heads: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def summed() -> int:
+            """Makes one list of tokens and one of heads; how many there are."""
             codes, n = (np.concatenate(x) for x in list(zip(*tokens, strict=True))[:2])
             _, first, at = np.unique(codes, return_index=True, return_inverse=True)
             text = pa.concat_arrays([x[2] for x in tokens]).take(pa.array(first))
-            yield rows_of(TOKEN, signed(codes[first]), np.bincount(at, weights=n), text)
-            yield rows_of(HEADS, *counted(*(np.concatenate(x) for x in zip(*heads, strict=True))))
+            tokens[:] = [(codes[first], np.bincount(at, weights=n).astype(np.int64), text)]
+            heads[:] = [counted(*(np.concatenate(x) for x in zip(*heads, strict=True)))]
+            return len(first) + len(heads[0][0])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            summed()
+            yield rows_of(TOKEN, signed(tokens[0][0]), *tokens[0][1:])
+            yield rows_of(HEADS, *heads[0])
+            tokens.clear()
+            heads.clear()
 
         for batch in batches:
-            texts = texts_of(batch)
-            for lo, hi in chunk_ranges(texts, TOGETHER, len(texts)):
-                t = tokens_of(texts[lo:hi])
+            for _, _, texts in pieces_of(batch):
+                t = tokens_of(texts)
                 hits += guesses.hits(t)
                 octets += np.bincount(t.buf, minlength=256)
                 rows, back = distinct(t)
                 head, which = heads_of(t, rows, back)
                 tokens.append((t.codes[rows], np.bincount(back, minlength=len(rows)), bytes_of(t, rows)))
                 heads.append((head, np.bincount(which, minlength=len(head))))
-                held += len(rows)
+                held += len(rows) + len(head)
                 if held > GATHER_HELD:
-                    yield from flush()
-                    tokens, heads, held = [], [], 0
+                    held = summed()
+                    if held > GATHER_HELD // 2:
+                        yield from flush()
+                        held = 0
         if tokens:
             yield from flush()
         for kind, table in ((HIT, hits), (BYTE, octets)):
@@ -565,9 +591,8 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 512].astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
 
     for batch in batches:
-        texts = texts_of(batch)
-        for lo, hi in chunk_ranges(texts, TOGETHER, len(texts)):
-            slot, name = guess_keys(tokens_of(texts[lo:hi]))
+        for _, _, texts in pieces_of(batch):
+            slot, name = guess_keys(tokens_of(texts))
             held.append((slot.astype(U64) << U64(32)) | name)
             size += len(slot)
             if size > GUESS_HELD:
@@ -696,9 +721,8 @@ def _score(shared, frequent, total: int, base: float, new: float):
         (mixer, guesses), (counts, tails, heads) = shared.value, frequent.value
         own_tails, own_heads = Known(np.zeros(0, U64), np.zeros(0)), Known(np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            texts = texts_of(batch)
-            for lo, hi in chunk_ranges(texts, TOGETHER, len(texts)):
-                t = tokens_of(texts[lo:hi])
+            for lo, hi, texts in pieces_of(batch):
+                t = tokens_of(texts)
                 rows, back = distinct(t)
                 head, which = heads_of(t, rows, back)
                 codes = t.codes[rows]
@@ -726,7 +750,7 @@ def _score(shared, frequent, total: int, base: float, new: float):
                 edge = np.concatenate(([0], np.cumsum(np.bincount(doc[rare], minlength=hi - lo)))).astype(np.int32)
                 sums = lambda w: np.bincount(doc, weights=w, minlength=hi - lo)  # noqa: B023, E731
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(edge), pa.array(x))  # noqa: B023, E731
-                size = np.array([len(x or b"") for x in texts[lo:hi]], dtype=np.int64)
+                size = np.array([len(x or b"") for x in texts], dtype=np.int64)
                 columns = [pa.array(np.diff(t.first)), pa.array(size), pa.array(sums(~rare).astype(np.int64)), pa.array(sums(np.where(rare, 0.0, log))), pa.array(sums(found))]
                 tail = [lists(signed(t.codes[rare])), lists(rest[rare].astype(np.float32)), lists(share[rare].astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), *columns, *tail], names=[x.split()[0] for x in SCORED.split(", ")])
@@ -734,6 +758,18 @@ def _score(shared, frequent, total: int, base: float, new: float):
     return run
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Until its end, rows reach Python in batches of some BATCH bytes: else 10,000 texts are one, in the executor and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)), 10) = 0") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -748,6 +784,11 @@ def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as stri
     every slot is unknown, N and V are 0. Other columns are ignored. An empty
     table gives none.
     """
+    with small_batches(docs.sparkSession):  # all steps in Python run in here, and their results are saved
+        return _score_texts(docs, held_out)
+
+
+def _score_texts(docs: DataFrame, held_out: str) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-scoring")
     held = F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")
@@ -755,9 +796,9 @@ def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as stri
     train = rows.where(~held)
     followers = train.select("text").mapInArrow(_followers, "block int, data binary").repartition("block").sortWithinPartitions("block")
     chosen = followers.mapInArrow(_best_guesses, "slot int, h int, n int").toArrow()
-    guesses = Guesses(np.zeros(1 << GUESS_BITS, dtype=U32), np.zeros(1 << GUESS_BITS, dtype=np.int32))  # so many rows at most
+    guesses = Guesses(np.zeros(1 << GUESS_BITS, dtype=U32), np.zeros(1 << GUESS_BITS, dtype=np.uint8))  # so many rows at most
     place = chosen.column("slot").to_numpy()
-    guesses.name[place], guesses.count[place] = chosen.column("h").to_numpy().view(U32), chosen.column("n").to_numpy()
+    guesses.name[place], guesses.count[place] = chosen.column("h").to_numpy().view(U32), np.minimum(chosen.column("n").to_numpy(), MOST_COPIES)
     sent = spark.sparkContext.broadcast(guesses)
     del followers, chosen
     scratch.free()
@@ -811,6 +852,8 @@ def score_texts(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as stri
 
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", held, "text")
     scored = scratch.save(keyed.mapInArrow(_score(shared, frequent, total, base, new), SCORED), "scored")
+    shared.destroy()
+    frequent.destroy()
     tail = scored.select("row", F.explode(F.arrays_zip("rare", "rest", "share")).alias("e")).select("row", F.col("e.rare").alias("h"), "e.rest", "e.share")
     tail = tail.join(counts.where(F.col("n") < least), "h")
     more = F.col("share").cast("double") * F.col("n")
