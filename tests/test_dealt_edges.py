@@ -62,3 +62,13 @@ def test_tasks_hold_a_bounded_number_of_edges(spark, sf_dir, monkeypatch):
     most = many.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < 250 < many.count() / 8  # not the rows of one in eight tasks
     assert rows(entry.queries()["cluster_edges"](spark, sf_dir)) == want
+
+
+def test_many_nodes_are_not_sent_whole_to_each_task(spark, sf_dir, monkeypatch):
+    want = rows(entry.queries()["cluster_edges"](spark, sf_dir))
+    monkeypatch.setattr("lodestone.operators.clusters.BROADCAST", 10)
+    out = entry.queries()["cluster_edges"](spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [target" not in plan and "BroadcastHashJoin [source" not in plan, plan
+    assert not re.search(r"hashpartitioning\((source|target)#\d+, \d+\), ENSURE_REQUIREMENTS", plan), plan  # edges come by their sources
+    assert rows(out) == want
