@@ -69,8 +69,10 @@ GATES, KNOTS = 32, 33
 HEAD, CELLS = 3, 1 << 22
 #: Slots of guesses, as a power of two; copies of a guess in all training texts before it counts, and as many as make a difference.
 GUESS_BITS, GUESS_COPIES, MOST_COPIES = 22, 2, 255
+#: How sure a guess is by its copies, MOST_COPIES at most.
+SURE = np.minimum(np.log2(np.maximum(np.arange(MOST_COPIES + 1), 1)).astype(np.int64), 7)
 #: Slots in a block of the shuffled guesses, and guesses that a task holds before it writes them.
-GUESS_BLOCK, GUESS_HELD = 256, 1 << 20
+GUESS_BLOCK, GUESS_HELD = 2048, 1 << 20
 #: Newton steps of the weights, a pass over all training heads and tokens each; one more pass gives the refinement.
 STEPS = 2
 #: Copies that the mixed odds as they are count for in the refinement.
@@ -170,8 +172,12 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes | No
 
 def distinct(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(one index of each distinct token, in order of codes; which of them each token is)."""
-    _, at, back = np.unique(t.codes, return_index=True, return_inverse=True)
-    return at, back
+    order = np.argsort(t.codes)
+    codes = t.codes[order]
+    new = np.concatenate((np.ones(min(len(codes), 1), dtype=bool), codes[1:] != codes[:-1]))
+    back = np.empty(len(codes), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 def heads_of(t: Tokens, rows: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,19 +252,21 @@ def counted(key: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarra
     return key[first], n.astype(np.int64)
 
 
-def packed(key: np.ndarray, n: np.ndarray, codec: pa.Codec) -> bytes:
-    """Guesses of one block, by slot and name, as bytes: places in the block, names, counts."""
-    head = np.array([len(key)], dtype=U32)
-    place = ((key >> U64(32)) & U64(GUESS_BLOCK - 1)).astype(np.uint8)
-    data = b"".join(x.tobytes() for x in (head, place, key.astype(U32), n))
-    return head.tobytes() + codec.compress(data, asbytes=True)
+def packed(key: np.ndarray, n: np.ndarray, edge: np.ndarray, codec: pa.Codec) -> list[bytes]:
+    """Guesses by slot and name, each block's (``edge[i]`` to ``edge[i + 1]``) as bytes: places in the block, names, counts."""
+    place, name, times = ((key >> U64(32)) & U64(GUESS_BLOCK - 1)).astype(np.uint16), key.astype(U32), n.astype(U32)
+    out = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        data = b"".join((place[a:b].tobytes(), name[a:b].tobytes(), times[a:b].tobytes()))
+        out.append((b - a).to_bytes(4, "little") + codec.compress(data, asbytes=True))
+    return out
 
 
 def unpacked(block: int, data: bytes, codec: pa.Codec) -> tuple[np.ndarray, np.ndarray]:
-    size = int(np.frombuffer(data, dtype=U32, count=1)[0])
-    raw = codec.decompress(data[4:], decompressed_size=4 + 13 * size, asbytes=True)
-    place, name = np.frombuffer(raw, np.uint8, size, 4), np.frombuffer(raw, U32, size, 4 + size)
-    return ((place.astype(U64) + U64(block * GUESS_BLOCK)) << U64(32)) | name, np.frombuffer(raw, np.int64, size, 4 + 5 * size)
+    size = int.from_bytes(data[:4], "little")
+    raw = codec.decompress(data[4:], decompressed_size=10 * size, asbytes=True)
+    place, name, n = np.frombuffer(raw, np.uint16, size), np.frombuffer(raw, U32, size, 2 * size), np.frombuffer(raw, U32, size, 6 * size)
+    return ((place.astype(U64) + U64(block * GUESS_BLOCK)) << U64(32)) | name, n.astype(np.int64)
 
 
 @dataclass
@@ -274,16 +282,16 @@ class Guesses:
     def look(self, t: Tokens, own: int = 0) -> tuple[np.ndarray, ...]:
         """(is there a guess, is it right, cell by run and sureness, cell by name); own: copies of each token that don't count."""
         slot, name = guess_keys(t)
-        count = self.count[slot].astype(np.int32) - own
-        there = (self.name[slot] != 0) & (count >= GUESS_COPIES)
-        hit = there & (self.name[slot] == name)
+        count, guess = self.count.take(slot).astype(np.int32) - own, self.name.take(slot)
+        there = (guess != 0) & (count >= GUESS_COPIES)
+        hit = there & (guess == name)
         at = np.arange(len(hit))
         before = np.concatenate(([False], hit[:-1]))
         before[t.first[:-1][t.first[:-1] < len(hit)]] = False
         since = at - np.maximum.accumulate(np.where(before, 0, at))
         run = np.minimum(since, 7)
-        sure = np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), 7)
-        return there, hit, run * 8 + sure, (self.name[slot] >> U32(20)).astype(np.int64)
+        sure = SURE.take(np.clip(count, 0, MOST_COPIES))
+        return there, hit, run * 8 + sure, (guess >> U32(20)).astype(np.int64)
 
     def chance(self, cell: np.ndarray, guess: np.ndarray) -> np.ndarray:
         x = self.weights[0][cell // 8] * self._odds(self.by_run)[cell] + self.weights[1][cell // 8] * self._odds(self.by_name)[guess]
@@ -364,21 +372,25 @@ def bits_of(t: Tokens, rows: np.ndarray, code: Code, tail: bool) -> Bits:
     ]
     value = text[symbols]
     count = (code.first[1:] - code.first[:-1])[value]
-    event = np.repeat(code.first[value] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    node = code.node[event]
+    own = np.repeat(np.arange(len(symbols)), count)  # the symbol of each bit
+    event = (code.first[value] - (np.cumsum(count) - count)).take(own)
+    event += np.arange(len(event))
+    node = code.node.take(event)
     mixed = node * U32(0xC2B2AE35)
     slots = []
     for i, (c, b) in enumerate(zip(contexts, BITS, strict=True)):
         c = c * U32(0x9E3779B1)
         c ^= c >> U32(16)
         c *= U32(0x7FEB352D)
-        x = np.repeat(c, count)
+        x = c.take(own)
         x += mixed
         x ^= x >> U32(15)
         x *= U32(0x846CA68B)
         x >>= U32(32 - b)
-        slots.append(x.astype(np.int64) + _OFFSET[i])
-    return Bits(slots, node, code.bit[event], np.repeat(place, count), np.repeat(owner[symbols], count))
+        at = x.astype(np.int64)
+        at += _OFFSET[i]
+        slots.append(at)
+    return Bits(slots, node, code.bit.take(event), place.take(own), owner[symbols].take(own))
 
 
 @dataclass
@@ -392,12 +404,12 @@ class Mixer:
     refined: np.ndarray = field(default_factory=lambda: np.tile(1 / (1 + np.exp(-(np.arange(KNOTS) - 16) / 2.0)), (256, 1)).astype(np.float32))
 
     def gates(self, b: Bits) -> np.ndarray:
-        return b.place.astype(np.int64) * 4 + self.known[b.slots[-1] - _OFFSET[-2]]
+        return b.place.astype(np.int64) * 4 + self.known.take(b.slots[-1] - _OFFSET[-2])
 
     def mixed(self, b: Bits, gate: np.ndarray) -> np.ndarray:
         x = np.zeros(len(gate), dtype=np.float32)
         for w, s in zip(self.weights, b.slots, strict=True):
-            x += w[gate] * self.odds[s]
+            x += w.take(gate) * self.odds.take(s)
         return x
 
     def final(self, node: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -406,7 +418,7 @@ class Mixer:
         cell = node.astype(np.int64) * KNOTS + low
         flat = self.refined.ravel()
         part = place - low
-        p = flat[cell] * (1 - part) + flat[cell + 1] * part
+        p = flat.take(cell) * (1 - part) + flat.take(cell + 1) * part
         return np.clip((p + 1 / (1 + np.exp(-x))) / 2, 1e-6, 1 - 1e-6)
 
     def log10(self, t: Tokens, rows: np.ndarray, tail: bool) -> np.ndarray:
@@ -433,13 +445,21 @@ def _known(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.uint8) + (n > 3) + (n > 30)
 
 
-def left_out(b: Bits, y: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(odds of each predictor, gate) by the counts without the bit itself."""
-    odds = []
-    for s in b.slots:
-        odds.append(_odds(np.maximum(n0[s] - (1 - y), 0), np.maximum(n1[s] - y, 0)))
-    last = b.slots[-1]
-    return odds, b.place.astype(np.int64) * 4 + _known(np.maximum(n0[last] + n1[last] - 1, 0))
+@dataclass
+class LeftOut:
+    """What the counts say of a bit without the bit itself: odds by slot and bit, and how well the longest context is known."""
+
+    odds: np.ndarray
+    known: np.ndarray
+
+    @staticmethod
+    def of(n0: np.ndarray, n1: np.ndarray) -> LeftOut:
+        odds = np.stack((_odds(np.maximum(n0 - 1, 0), n1), _odds(n0, np.maximum(n1 - 1, 0))), axis=1)
+        return LeftOut(odds.ravel(), _known(np.maximum((n0 + n1)[_OFFSET[-2] :] - 1, 0)))
+
+    def look(self, b: Bits) -> tuple[list[np.ndarray], np.ndarray]:
+        """(odds of each predictor, gate)."""
+        return [self.odds.take(s * 2 + b.bit) for s in b.slots], b.place.astype(np.int64) * 4 + self.known.take(b.slots[-1] - _OFFSET[-2])
 
 
 def fit(code: Code, counts: np.ndarray, sample: list[bytes] | None = None) -> Mixer:
@@ -448,28 +468,30 @@ def fit(code: Code, counts: np.ndarray, sample: list[bytes] | None = None) -> Mi
     return Mixer(code, _odds(n0, n1), _known((n0 + n1)[_OFFSET[-2] :]))
 
 
-def round_sums(t: Tokens, times: np.ndarray, tail: bool, code: Code, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Of these heads' or tails' bits, ``times`` each: gates' errors and curvatures by predictor, and bits and ones by node and knot."""
+def round_sums(t: Tokens, times: np.ndarray, tail: bool, code: Code, counts: LeftOut, weights: np.ndarray, last: bool) -> np.ndarray:
+    """Of these heads' or tails' bits, ``times`` each: gates' errors and curvatures by predictor, or in the last round bits and ones by node and knot."""
     k = len(BITS)
     out = [np.zeros(n) for n in _SIZES]
     slope, curve = out[0].reshape(GATES, k), out[1].reshape(GATES, k, k)
     for i in range(0, len(times), SLICE):
         b = bits_of(t, np.arange(i, min(i + SLICE, len(times))), code, tail)
-        weight, y = times[i : i + SLICE][b.token].astype(np.float32), b.bit.astype(np.float32)
-        odds, gate = left_out(b, y, n0, n1)
-        x = sum(w[gate] * o for w, o in zip(weights, odds, strict=True))
+        weight, y = times[i : i + SLICE].astype(np.float32).take(b.token), b.bit.astype(np.float32)
+        odds, gate = counts.look(b)
+        x = sum(w.take(gate) * o for w, o in zip(weights, odds, strict=True))
+        if last:
+            cell = b.node.astype(np.int64) * KNOTS + np.rint(_knots(x)[0]).astype(np.int64)
+            out[2] += np.bincount(cell, weights=weight, minlength=_SIZES[2])
+            out[3] += np.bincount(cell, weights=weight * y, minlength=_SIZES[3])
+            continue
         p = 1 / (1 + np.exp(-x))
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        sorted_odds = np.stack([o[order] for o in odds])
-        error, bend = ((y - p) * weight)[order], (p * (1 - p) * weight)[order]
+        sorted_odds = np.stack([o.take(order) for o in odds])
+        error, bend = ((y - p) * weight).take(order), (p * (1 - p) * weight).take(order)
         edge = np.concatenate(([0], np.cumsum(np.bincount(gate, minlength=GATES))))
         for g in np.flatnonzero(np.diff(edge)):
             part = sorted_odds[:, edge[g] : edge[g + 1]]
             slope[g] += part @ error[edge[g] : edge[g + 1]]
             curve[g] += (part * bend[edge[g] : edge[g + 1]]) @ part.T
-        cell = b.node.astype(np.int64) * KNOTS + np.rint(_knots(x)[0]).astype(np.int64)
-        out[2] += np.bincount(cell, weights=weight, minlength=_SIZES[2])
-        out[3] += np.bincount(cell, weights=weight * y, minlength=_SIZES[3])
     return np.concatenate(out)
 
 
@@ -500,13 +522,13 @@ def _total(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _round(shared, weights: np.ndarray, tail: bool):
+def _round(shared, weights: np.ndarray, tail: bool, last: bool):
     """(n, head or token) -> the sums of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(sum(_SIZES))
         for batch in batches:
-            sums += round_sums(_units(batch.column(1)), batch.column(0).to_numpy(), tail, *shared.value, weights)
+            sums += round_sums(_units(batch.column(1)), batch.column(0).to_numpy(), tail, *shared.value, weights, last)
         yield _flat(sums)
 
     return run
@@ -587,7 +609,7 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, first = np.unique(block, return_index=True)
         edge = np.append(first, len(key))
         for i in range(0, len(some), 512):
-            data = [packed(key[a:b], n[a:b], codec) for a, b in zip(edge[i : i + 512], edge[i + 1 : i + 513])]
+            data = packed(key, n, edge[i : i + 513], codec)
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 512].astype(np.int32)), pa.array(data, pa.binary())], names=["block", "data"])
 
     for batch in batches:
@@ -614,19 +636,20 @@ def _best_guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def best() -> pa.RecordBatch:
         key, n = summed()
         slot = (key >> U64(32)).astype(np.int32)
-        order = np.lexsort((-n, slot))
-        first = order[np.concatenate(([True], slot[order][1:] != slot[order][:-1]))]
-        first = first[n[first] >= GUESS_COPIES]
+        edge = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        most = np.repeat(np.maximum.reduceat(n, edge), np.diff(np.append(edge, len(n))))
+        first = np.flatnonzero((n == most) & (n >= GUESS_COPIES))  # names are in order
+        first = first[np.concatenate((np.ones(min(len(first), 1), dtype=bool), slot[first][1:] != slot[first][:-1]))]
         name = (key[first] & U64(0xFFFFFFFF)).astype(U32).view(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.array(name), pa.array(np.minimum(n[first], 1 << 30).astype(np.int32))], names=["slot", "h", "n"])
 
     for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if block != now and held:
                 yield best()
                 held, size = [], 0
             now = block
-            held.append(unpacked(block, data.as_py(), codec))
+            held.append(unpacked(block, data, codec))
             size += len(held[-1][0])
             if size > 2 * GUESS_HELD and len(held) > 1:
                 held = [summed()]
@@ -825,14 +848,14 @@ def _score_texts(docs: DataFrame, held_out: str) -> DataFrame:
     mixer = fit(code, bits.reshape(-1, 2))
     if total:
         n0, n1 = (np.ascontiguousarray(bits.reshape(-1, 2)[:, i], dtype=np.float32) for i in (0, 1))
-        sent = spark.sparkContext.broadcast((code, n0, n1))
+        sent = spark.sparkContext.broadcast((code, LeftOut.of(n0, n1)))
+        del n0, n1
         for turn in range(STEPS + 1):
-            sums = _total(both(lambda tail: _round(sent, mixer.weights.copy(), tail), "i int, v double"), sum(_SIZES))
+            sums = _total(both(lambda tail: _round(sent, mixer.weights.copy(), tail, turn == STEPS), "i int, v double"), sum(_SIZES))
             if turn < STEPS:
                 stepped(mixer, sums)
         refine(mixer, sums)
         sent.destroy()
-        del n0, n1
     del bits
 
     base = total + 0.1 * (size + 1)
