@@ -31,9 +31,9 @@ place.
    with the weights that stay, the refinement, as sums of fixed size. What is
    predicted is left out of the counts. No sample has a part in it.
 4. A scan of all texts writes each head and tail of a chunk of texts once, or
-   takes it from chunks before. Counts and tails of frequent tokens go with it:
-   of N at most ``FREQUENT`` have N / FREQUENT copies or more. The other tokens'
-   counts are joined by shuffle; no such token can be hot.
+   takes it from chunks before. Counts and tails of the ``FREQUENT`` most frequent
+   tokens go with it, and as many heads. The other tokens' counts are joined by
+   shuffle: of N tokens each has N / FREQUENT copies at most, so none can be hot.
 """
 
 from __future__ import annotations
@@ -56,10 +56,10 @@ BITS = (12, 16, 18, 19, 20)
 BLOCK = 4096
 #: Bounds of a sample that once started the fit; nothing reads them, and no score depends on them.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 3_000
-#: Tokens whose counts are sent to every task at most.
+#: Tokens whose counts are sent to every task at most, and heads.
 FREQUENT = 1 << 19
 #: Bytes of texts whose distinct tokens are scored together, and tokens handled at once.
-TOGETHER, SLICE = 1 << 20, 1 << 13
+TOGETHER, SLICE = 1 << 20, 1 << 11
 #: Tails that a task keeps from its chunks before, and tokens and heads that it gathers before it sums them, and writes those of many kinds.
 KEPT, GATHER_HELD = 1 << 19, 1 << 20
 #: Bytes of rows that reach Python as one batch.
@@ -538,6 +538,19 @@ def _units(x: pa.Array) -> Tokens:
     return listed(x) if pa.types.is_binary(x.type) else head_tokens(x.to_numpy())
 
 
+def histogram(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of n, how many rows have each): of N copies in all, the root of 2 N values at most."""
+    got = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).toArrow()
+    return got.column("n").to_numpy(), got.column("rows").to_numpy()
+
+
+def least_count(n: np.ndarray, rows: np.ndarray, most: int) -> int:
+    """The smallest count that ``most`` rows at most reach."""
+    order = np.argsort(-n)
+    fits = np.count_nonzero(np.cumsum(rows[order]) <= most)
+    return int(n[order[fits]]) + 1 if fits < len(n) else 1
+
+
 #: Kinds of gathered rows: a right or wrong guess's cell, a byte, a head, a token.
 HIT, BYTE, HEADS, TOKEN = range(4)
 GATHERED = "kind int, key long, n long, token binary"
@@ -604,7 +617,9 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def blocks() -> Iterator[pa.RecordBatch]:
-        key, n = counted(np.concatenate(held))
+        key = np.concatenate(held)
+        held.clear()
+        key, n = counted(key)
         block = (key >> U64(32)).astype(np.int64) // GUESS_BLOCK
         some, first = np.unique(block, return_index=True)
         edge = np.append(first, len(key))
@@ -619,7 +634,7 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(slot)
             if size > GUESS_HELD:
                 yield from blocks()
-                held, size = [], 0
+                size = 0
     if size:
         yield from blocks()
 
@@ -682,12 +697,12 @@ def _bit_counts(code: Code, tail: bool):
 
 
 def _written(mixer: Mixer, tail: bool):
-    """(key, head or token) -> (key, log): how the model writes them."""
+    """(key, head or token, n) -> (key, log, n): how the model writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             log = mixer.log10(_units(batch.column(1)), np.arange(batch.num_rows), tail)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log)], names=["key", "log"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log), batch.column(2)], names=["key", "log", "n"])
 
     return run
 
@@ -705,7 +720,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Known:
-    """Values by sorted key."""
+    """Values, or rows of values, by sorted key."""
 
     key: np.ndarray
     value: np.ndarray
@@ -741,7 +756,7 @@ def _score(shared, frequent, total: int, base: float, new: float):
     """new: the share of spelling in a token's probability; of the others, the count's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (mixer, guesses), (counts, tails, heads) = shared.value, frequent.value
+        (mixer, guesses), (words, heads) = shared.value, frequent.value
         own_tails, own_heads = Known(np.zeros(0, U64), np.zeros(0)), Known(np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             for lo, hi, texts in pieces_of(batch):
@@ -749,9 +764,10 @@ def _score(shared, frequent, total: int, base: float, new: float):
                 rows, back = distinct(t)
                 head, which = heads_of(t, rows, back)
                 codes = t.codes[rows]
-                n, tail, front = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), np.nan), np.full(len(head), np.nan)
-                counts.look(codes, n)
-                for known, wanted, out in ((tails, codes, tail), (own_tails, codes, tail), (heads, head, front), (own_heads, head, front)):
+                found, front = np.tile([np.nan, 0.0], (len(rows), 1)), np.full(len(head), np.nan)
+                words.look(codes, found)
+                tail, n = found[:, 0].copy(), found[:, 1].astype(np.int64)
+                for known, wanted, out in ((own_tails, codes, tail), (heads, head, front), (own_heads, head, front)):
                     known.look(wanted, out)
                 other = np.flatnonzero(np.isnan(tail))
                 tail[other] = mixer.log10(t, rows[other], True)
@@ -832,7 +848,8 @@ def _score_texts(docs: DataFrame, held_out: str) -> DataFrame:
     words = scratch.save(of(TOKEN).groupBy(F.col("key").alias("h"), "token").agg(F.sum("n").alias("n")), "words")
     heads = scratch.save(of(HEADS).groupBy(F.col("key").alias("head")).agg(F.sum("n").alias("n")), "heads")
     counts = words.select("h", "n")
-    total, size, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+    copies, kinds = histogram(counts)
+    total, size, once = int((copies * kinds).sum()), int(kinds.sum()), int(kinds[copies == 1].sum())
     octets = _total(of(BYTE).select(F.col("key").alias("i"), F.col("n").alias("v")), 256)
     octets[SEPARATORS] = 0
     octets[BLANK] = total
@@ -859,16 +876,15 @@ def _score_texts(docs: DataFrame, held_out: str) -> DataFrame:
     del bits
 
     base = total + 0.1 * (size + 1)
-    least = total / FREQUENT  # of N tokens, so many distinct ones at most reach it
+    least, least_head = least_count(copies, kinds, FREQUENT), least_count(*histogram(heads), FREQUENT)
     new = min(0.5, max(1e-4, once / total)) if total else 1.0
-    often = counts.where(F.col("n") >= least).toArrow()
-    table = lambda df, tail: df.mapInArrow(_written(mixer, tail), "key long, log double").toArrow()
-    tails = table(words.where(F.col("n") >= least).select("h", "token"), True)
-    fronts = table(heads.where(F.col("n") >= least).select("head", "head"), False)
+    table = lambda df, tail: df.mapInArrow(_written(mixer, tail), "key long, log double, n long").toArrow()
+    often = table(words.where(F.col("n") >= least).select("h", "token", "n"), True)
+    fronts = table(heads.where(F.col("n") >= least_head).select("head", F.col("head").alias("same"), "n"), False)
     column = lambda x, name: x.column(name).to_numpy()
     shared = spark.sparkContext.broadcast((mixer, guesses))
     frequent = spark.sparkContext.broadcast((
-        Known.of(column(often, "h").view(U64), column(often, "n")), Known.of(column(tails, "key").view(U64), column(tails, "log")), Known.of(column(fronts, "key"), column(fronts, "log")),
+        Known.of(column(often, "key").view(U64), np.stack((column(often, "log"), column(often, "n")), axis=1)), Known.of(column(fronts, "key"), column(fronts, "log")),
     ))
     scratch.drop(heads)
     unseen = float(np.log10(0.1 / base))

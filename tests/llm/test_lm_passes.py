@@ -1,7 +1,10 @@
 """What op2's passes cost: rows of guesses follow from blocks of many slots; what leaves a bit out is looked up, not computed."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lodestone.llm import lm_scoring
 
@@ -75,3 +78,34 @@ def test_distinct_tokens_are_all_tokens():
     rows, back = lm_scoring.distinct(t)
     assert (np.diff(t.codes[rows].astype(object)) > 0).all() and (t.codes[rows][back] == t.codes).all()
     assert [len(x) for x in lm_scoring.distinct(lm_scoring.tokens_of([]))] == [0, 0]
+
+
+def test_as_many_tokens_are_frequent_as_may_be():
+    n, rows = np.array([1, 50, 3, 2]), np.array([700, 1, 20, 100])
+    assert [lm_scoring.least_count(n, rows, k) for k in (821, 820, 121, 120, 21, 20, 1, 0)] == [1, 2, 2, 3, 3, 4, 4, 51]
+    assert lm_scoring.least_count(n[:0], rows[:0], 5) == 1
+
+
+def test_scores_are_the_same_however_counts_come(spark, monkeypatch):
+    """Tokens below the bound go by the join, so many as the bound leaves, with the same results."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"word{int(r.random() ** 3 * 60)}" for _ in range(30)) + " new" * (i % 3) + f" one{i}") for i in range(150)], "doc_id long, text string")
+    score, sent = lm_scoring._score, []
+
+    def spy(shared, frequent, *more):
+        sent.append([len(x.key) for x in frequent.value])
+        return score(shared, frequent, *more)
+
+    monkeypatch.setattr(lm_scoring, "_score", spy)
+    found = []
+    for most in (1 << 19, 40, 0):
+        monkeypatch.setattr(lm_scoring, "FREQUENT", most)
+        found.append({x.doc_id: x for x in lm_scoring.score_texts(df).collect()})
+    words = df.where(~F.expr("pmod(crc32(cast(doc_id as string)), 10) = 0")).select(F.explode(F.split("text", " ")))
+    assert sent[0][0] == words.distinct().count() + 1 and sent[0][1] > 0  # all, and the end
+    assert 30 <= sent[1][0] <= 40 and 0 < sent[1][1] <= 40 and sent[2] == [0, 0]
+    for other in found[1:]:
+        for d, x in found[0].items():
+            y = other[d]
+            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (y.held_out, y.n_tokens, y.n_known, y.train_tokens)
+            assert abs(x.base_score - y.base_score) < 1e-9 * abs(x.base_score) and abs(x.score - y.score) < 1e-6 * abs(x.score)
