@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import attached, drive_url, snippet
@@ -15,6 +15,9 @@ IMAGES = ["image/png", "image/jpeg", "image/gif", "image/webp"]
 TEXTS = ["document_id", "document_name", "entity_id", "entity_name", "entity_type", "entity_description", "content"]
 SCORES = ["similarity", "score", "relevance_score"]
 
+#: JSON as strict as parse_json's, but with texts of any length; parse_json takes one of over 20,000,000 characters for broken.
+JSON = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def conversation_list(conversations: DataFrame, messages: DataFrame, user_id: int | None = None, limit: int = 50) -> DataFrame:
     """Newest conversations with their number of messages, 0 for those without any."""
@@ -48,14 +51,27 @@ def usage_by_model(calls: DataFrame) -> DataFrame:
     return both.select("model", "calls", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"), F.round("cost", 6).alias("cost"))
 
 
-def citations(results: DataFrame) -> DataFrame:
+def _items(text: Column) -> Column:
+    """Items of a JSON list as variants; null if it is broken.
+
+    A variant holds 128 MiB. A list with a larger item is read as texts, and the
+    fields of its items that make a citation are what goes into variants, those
+    that end in a snippet as far as it goes. There, a text that reads as an object counts as one.
+    """
+    long = ["entity_description", "content"]
+    kept = lambda x: F.map_filter(F.from_json(x, "map<string,string>", JSON), lambda k, _: k.isin(TEXTS + SCORES))
+    lean = F.transform(F.from_json(text, "array<string>", JSON), lambda x: F.transform_values(kept(x), lambda k, v: F.when(k.isin(long), snippet(v)).otherwise(v)))
+    return F.coalesce(F.from_json(text, "array<variant>", JSON), F.from_json(F.to_json(lean, {"ignoreNullFields": "false"}), "array<variant>", JSON))
+
+
+def citations(results: DataFrame, bare: bool = False) -> DataFrame:
     """Citations in tool results (call_id, result: JSON of one or a list): those with content, scored by the first measure that is there, null or not.
     What isn't an object is skipped.
 
-    An entity without content cites its name, type and description.
+    An entity without content cites its name, type and description. bare: a document is cited without content, too.
     """
     text = F.when(F.ltrim("result").startswith("["), F.col("result")).otherwise(F.concat(F.lit("["), "result", F.lit("]")))
-    raw = results.select("call_id", F.posexplode(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")).alias("ordinal", "v"))
+    raw = results.select("call_id", F.posexplode(_items(text)).alias("ordinal", "v"))
     fields = raw.select("call_id", "ordinal", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("f")).where("f is not null")
     kept = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for names, kind in ((TEXTS, "string"), (SCORES, "double")) for name in names]
     items = fields.select("call_id", "ordinal", F.struct(*kept).alias("c"), F.map_keys("f").alias("keys"))
@@ -68,7 +84,7 @@ def citations(results: DataFrame) -> DataFrame:
         "call_id", "ordinal", "c.document_id", "c.document_name", "c.entity_id", "c.entity_name",
         snippet(content).alias("snippet"), score.alias("score"),
     )
-    return rows.where("snippet is not null and snippet <> ''")
+    return rows.where("snippet <> '' or document_id <> ''" if bare else "snippet <> ''")
 
 
 def first_citations(cited: DataFrame) -> DataFrame:
