@@ -68,7 +68,8 @@ def citations(results: DataFrame, bare: bool = False) -> DataFrame:
     """Citations in tool results (call_id, result: JSON of one or a list): those with content, scored by the first measure that is there, null or not.
     What isn't an object is skipped.
 
-    An entity without content cites its name, type and description. bare: a document is cited without content, too.
+    An entity without content cites its name, type and description. bare: a document is cited without content, too,
+    with a snippet that is empty or null as its content is.
     """
     text = F.when(F.ltrim("result").startswith("["), F.col("result")).otherwise(F.concat(F.lit("["), "result", F.lit("]")))
     raw = results.select("call_id", F.posexplode(_items(text)).alias("ordinal", "v"))
@@ -76,7 +77,7 @@ def citations(results: DataFrame, bare: bool = False) -> DataFrame:
     kept = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for names, kind in ((TEXTS, "string"), (SCORES, "double")) for name in names]
     items = fields.select("call_id", "ordinal", F.struct(*kept).alias("c"), F.map_keys("f").alias("keys"))
     entity = F.concat("c.entity_name", F.lit(" ("), F.coalesce("c.entity_type", F.lit("")), F.lit("): "), F.coalesce("c.entity_description", F.lit("")))
-    content = F.when(F.coalesce("c.content", F.lit("")) != "", F.col("c.content")).otherwise(entity)
+    content = F.when(F.coalesce("c.content", F.lit("")) != "", F.col("c.content")).otherwise(F.coalesce(entity, "c.content"))
     score = F.lit(0.0)
     for name in reversed(SCORES):
         score = F.when(F.array_contains("keys", name), F.col(f"c.{name}")).otherwise(score)

@@ -22,7 +22,7 @@ def texts(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["citations_enrich"])
+@pytest.mark.parametrize("name", ["citations_enrich", "citations_extract", "citations_dedup"])
 def test_documents_without_text_and_with_a_long_one(spark, texts, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{texts}/documents.parquet/*.parquet')")
@@ -32,9 +32,9 @@ def test_documents_without_text_and_with_a_long_one(spark, texts, name):
 
 
 def test_bare_documents_are_cited_only_when_asked_for(spark):
-    rows = spark.createDataFrame([(1, '[{"document_id": "d"}, {"document_id": "e", "content": "x"}, {"document_id": ""}, {"content": ""}]')], "call_id long, result string")
+    rows = spark.createDataFrame([(1, '[{"document_id": "d"}, {"document_id": "e", "content": "x"}, {"document_id": "f", "content": ""}, {"document_id": ""}, {"content": ""}]')], "call_id long, result string")
     assert [r["document_id"] for r in chat.citations(rows).collect()] == ["e"]
-    assert [r["document_id"] for r in chat.citations(rows, bare=True).collect()] == ["d", "e"]
+    assert [(r["document_id"], r["snippet"]) for r in chat.citations(rows, bare=True).collect()] == [("d", None), ("e", "x"), ("f", "")]
 
 
 def test_items_beyond_a_variant(spark):
